@@ -65,12 +65,14 @@ def leading(vector: str | Column, n: int) -> Column:
 
 
 def scaled_to_unit(vector: str | Column) -> Column:
-    """Divide by the length; a zero vector stays as it is."""
+    """Divide by the length; a zero vector stays as it is.
+
+    The length is the element of an outer one-element array, so that it is
+    computed once per vector and not once per component.
+    """
     vector = col(vector)
-    length = norm(vector)
-    return F.when(length == 0.0, vector).otherwise(
-        F.transform(vector, lambda x: x.cast("double") / length)
-    )
+    divisor = F.transform(F.array(norm(vector)), lambda n: F.when(n == 0.0, F.lit(1.0)).otherwise(n))
+    return F.transform(divisor, lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
 def distance_to_similarity(distance: str | Column, kind: str = "cosine") -> Column:

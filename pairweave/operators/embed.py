@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pairweave.functions.text import char_gram_slots, text_key, words
 from pairweave.functions.vectors import clamp01, cosine, norm, scaled_to_unit
 from pairweave.operators.joins import salted_join
-from pairweave.session import spread
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -38,14 +37,11 @@ def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, salts: int
     sums are plain columns, so they are combined before the last shuffle.
     """
     counted = (
-        spread(texts)
-        .select("text_key", F.explode(words("text")).alias("word"))
+        texts.select("text_key", F.explode(words("text")).alias("word"))
         .groupBy("text_key", "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    units = word_vectors.where(norm("vector") > 0).select(
-        "word", F.transform(scaled_to_unit("vector"), lambda x: x.cast("double")).alias("vector")
-    )
+    units = word_vectors.where(norm("vector") > 0).select("word", scaled_to_unit("vector").alias("vector"))
     joined = salted_join(counted, units, "word", "text_key", salts)
     sums = joined.groupBy("text_key").agg(
         F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
@@ -63,7 +59,7 @@ def hashed_ngrams(texts: DataFrame, n: int = 3, dim: int = 64) -> DataFrame:
     All n-grams of the whole text count. The first aggregate sees one text's
     grams together, so at most ``dim`` rows per text are shuffled.
     """
-    grams = spread(texts).select("text_key", F.explode(char_gram_slots("text", n, dim)).alias("slot"))
+    grams = texts.select("text_key", F.explode(char_gram_slots("text", n, dim)).alias("slot"))
     counted = grams.groupBy("text_key", "slot").agg(F.count(F.lit(1)).alias("n"))
     sparse = counted.groupBy("text_key").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts")
@@ -90,7 +86,7 @@ def model_vectors(texts: DataFrame, load: Callable[[], Callable[[list[str]], lis
                 [batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["text_key", "vector"]
             )
 
-    return spread(texts).select("text_key", "text").mapInArrow(run, "text_key string, vector array<double>")
+    return texts.select("text_key", "text").mapInArrow(run, "text_key string, vector array<double>")
 
 
 def embed_column(df: DataFrame, text: str, embed: Embedder, name: str = "vector", salts: int = 8) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.functions.vectors import check_metric
+from pairweave.functions.vectors import check_metric, scaled_to_unit
 from pairweave.operators.retrieve import (
     BLOCK_ROWS,
     PARTIAL_SCHEMA,
@@ -30,7 +30,6 @@ from pairweave.operators.retrieve import (
     matrix_of,
     unit_rows,
 )
-from pairweave.session import spread
 
 TRAINING_ROWS_PER_CELL = 1_000
 
@@ -83,13 +82,11 @@ def build_index(
     Training sees an even sample once the corpus has more rows than the cells
     need; the assignment always covers every item.
     """
-    items = spread(as_items(corpus, item_id, vector))
+    items = as_items(corpus, item_id, vector)
     total = items.count()
     fraction = min(1.0, cells * TRAINING_ROWS_PER_CELL / max(1, total))
     sample = items if fraction >= 1.0 else items.sample(fraction, seed)
-    from pairweave.functions.vectors import scaled_to_unit
-
-    training = sample.select(array_to_vector(F.transform(scaled_to_unit("vector"), lambda x: x.cast("double"))).alias("features"))
+    training = sample.select(array_to_vector(scaled_to_unit("vector")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=20).fit(training)
     centers = np.array([np.asarray(c, "f8") for c in model.clusterCenters()])
     spark = corpus.sparkSession
@@ -131,7 +128,7 @@ def index_topk(
     check_k(k)
     rows = index.centroids.orderBy("cell").toArrow()
     centers = matrix_of(rows["vector"])
-    left = nearest_cells(spread(as_queries(queries, query_id, vector)), centers, "query_id", probes)
+    left = nearest_cells(as_queries(queries, query_id, vector), centers, "query_id", probes)
     right = index.items
     blocks = lambda counted, name: counted.groupBy("cell").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name)

@@ -8,8 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pairweave.session import spread
-
 Predict = Callable[[pd.DataFrame], Sequence[float]]
 
 
@@ -62,4 +60,4 @@ def model_map(
             if release is not None:
                 release(predict)
 
-    return spread(df).mapInPandas(run, T.StructType(fields))
+    return df.mapInPandas(run, T.StructType(fields))

@@ -24,7 +24,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairweave.functions.vectors import RANK_DIGITS, check_metric, similarity
-from pairweave.session import spread
 
 PARTIAL_SCHEMA = "query_id long, item_id long, similarity double"
 BROADCAST_BYTES = 64 << 20
@@ -192,7 +191,7 @@ def scan_topk(queries: DataFrame, items: DataFrame, k: int, metric: str, exclude
     shared = queries.sparkSession.sparkContext.broadcast(
         (table["query_id"].to_numpy(), unit_rows(matrix) if metric == "cosine" else matrix)
     )
-    partial = spread(items).mapInArrow(scan_kernel(shared, k, metric, exclude_self), PARTIAL_SCHEMA)
+    partial = items.mapInArrow(scan_kernel(shared, k, metric, exclude_self), PARTIAL_SCHEMA)
     return best_k(partial, k)
 
 

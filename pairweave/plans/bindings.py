@@ -11,6 +11,7 @@ from pairweave.operators.eval_retrieval import positives_by_class, with_approach
 from pairweave.operators.rerank import rerank_apply, responses_from_scores
 from pairweave.operators.retrieve import exact_topk
 from pairweave.schemas import SCORE_COLUMNS
+from pairweave.session import spread
 
 DIM = 64
 TOP_K = 5
@@ -23,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def busy_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A scan whose rows cost much work: on all cores even when it is one file."""
+    df = table(spark, sf_dir, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def r6(c: str | Column) -> Column:
     """6 decimals, never minus zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
@@ -105,7 +112,8 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(word, vector)``: every word of the documents with one of the vectors."""
     e = table(spark, sf_dir, "embeddings")
     n = e.agg(F.count(F.lit(1))).scalar()
-    vocabulary = table(spark, sf_dir, "documents").select(F.explode(words("text")).alias("word")).distinct()
+    documents = busy_table(spark, sf_dir, "documents", "text")
+    vocabulary = documents.select(F.explode(words("text")).alias("word")).distinct()
     chosen = vocabulary.withColumn("vec_id", digest_number(F.md5("word")) % n)
     return chosen.join(e, "vec_id").select("word", F.col("embedding").alias("vector"))
 
@@ -126,7 +134,7 @@ def query_table(spark: SparkSession, sf_dir: str, reach: int = 0) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K, dim: int | None = None) -> DataFrame:
     """Top-k of all vectors among all vectors, optionally on leading components."""
-    e = table(spark, sf_dir, "embeddings")
+    e = busy_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     if dim is not None:
         e = e.withColumn("embedding", leading("embedding", dim))
     return exact_topk(e, e, k)

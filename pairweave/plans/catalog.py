@@ -196,14 +196,14 @@ def multi_model_scores(spark, d):
 
 @query
 def embed_word_average(spark, d):
-    documents = B.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("text_key"), "text")
+    documents = B.busy_table(spark, d, "documents", F.col("doc_id").cast("string").alias("text_key"), "text")
     vectors = embed.word_average(documents, B.word_vectors(spark, d), B.DIM)
     return vectors.select(F.col("text_key").cast("long").alias("doc_id"), B.packed("vector").alias("vector"))
 
 
 @query
 def embed_hashed_ngrams(spark, d):
-    vectors = embed.hashed_ngrams(embed.distinct_texts(B.table(spark, d, "documents"), "text"))
+    vectors = embed.hashed_ngrams(embed.distinct_texts(B.busy_table(spark, d, "documents", "text"), "text"))
     return vectors.select("text_key", B.packed("vector").alias("vector"))
 
 
@@ -223,34 +223,34 @@ def exact_topk_query(spark, d):
 
 @query
 def exact_topk_blocked(spark, d):
-    e = B.table(spark, d, "embeddings")
+    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
     return rounded(exact_topk(e, e, B.TOP_K, strategy="grid", block_rows=256), "similarity")
 
 
 @query
 def batch_topk(spark, d):
-    e = B.table(spark, d, "embeddings")
+    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
     short = e.withColumn("embedding", V.leading("embedding", 32))
     return rounded(exact_topk(short, short, 7, metric="dot"), "similarity")
 
 
 @query
 def vector_index_topk(spark, d):
-    e = B.table(spark, d, "embeddings")
+    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
     index = build_index(e, cells=16, path=work_path(spark, "index"))
     return rounded(index_topk(e, index, B.TOP_K, probes=4, exclude_self=True), "similarity")
 
 
 @query
 def vector_index_all_cells(spark, d):
-    e = B.table(spark, d, "embeddings")
+    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
     index = build_index(e, cells=8)
     return rounded(index_topk(e, index, B.TOP_K, probes=8, exclude_self=True, block_rows=200), "similarity")
 
 
 @query
 def vector_index_recall(spark, d):
-    e = B.table(spark, d, "embeddings")
+    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
     index = build_index(e, cells=16)
     return recall_against(index_topk(e, index, B.TOP_K, probes=4, exclude_self=True), B.hits(spark, d))
 

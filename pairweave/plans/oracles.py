@@ -156,9 +156,9 @@ CTES: dict[str, str] = {
         from (select t.text, r.slot from texts t cross join range(64) r(slot)) s
         left join gcounts using (text, slot) group by text""",
     "units": """
-        select text, case when list_sum(list_transform(v, lambda x: x * x)) = 0 then v
-                     else list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) end as v
-        from gvecs""",
+        select text, list_transform(v, lambda x: x / len_) as v
+        from (select text, v, case when s = 0 then 1.0 else sqrt(s) end as len_
+              from (select text, v, list_inner_product(v, v) as s from gvecs))""",
 }
 
 # Which fragments a fragment reads.
@@ -287,8 +287,10 @@ ORACLES: dict[str, str] = {
         tokens="select doc_id, word, count(*) as n from words group by all",
         vocabulary="select distinct word from words",
         vecs=f"""select word, generate_subscripts(embedding, 1) as i,
-                unnest(list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[])))) as x
-                from vocabulary join embeddings on vec_id = {hexnum('md5(word)')} % {N}""",
+                unnest(embedding) / len_ as x
+                from (select word, embedding::double[] as embedding,
+                      sqrt(list_inner_product(embedding::double[], embedding::double[])) as len_
+                      from vocabulary join embeddings on vec_id = {hexnum('md5(word)')} % {N})""",
     ),
     "embed_hashed_ngrams": sql(f"select sha256(text) as text_key, {packed('v')} as vector from units", "units"),
     "embed_reuse": sql(

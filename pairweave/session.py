@@ -78,7 +78,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a scan of a few files as many tasks as there are cores.
 
     A scan that already has enough splits is left alone, so large inputs are
-    never shuffled just to be redistributed.
+    never shuffled just to be redistributed. Meant for scans and what is
+    projected or filtered from them: asking a plan with shuffles for its
+    partitions would run those shuffles.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
