@@ -1,4 +1,4 @@
-"""Text column expressions: tokens, character n-grams and seeded positions."""
+"""Text column expressions: tokens, digests and seeded numbers."""
 
 from __future__ import annotations
 
@@ -35,18 +35,3 @@ def digest_number(digest: Column, first: int = 1, digits: int = 8) -> Column:
 
 def seeded_number(key: str | Column, seed: int | str) -> Column:
     return digest_number(seeded_digest(key, seed))
-
-
-def char_gram_slots(text: str | Column, n: int, slots: int) -> Column:
-    """Slot number of every character n-gram, whole text, one linear pass.
-
-    The n code points are the digits of a base-31 number taken modulo the
-    number of slots. Splitting first avoids repeated substring scans of UTF-8.
-    """
-    codes = F.transform(F.split(col(text), ""), lambda ch: F.ascii(ch).cast("bigint"))
-    count = F.size(codes) - (n - 1)
-    rolled = F.slice(codes, 1, F.greatest(count, F.lit(0)))
-    for step in range(1, n):
-        shifted = F.slice(codes, step + 1, F.greatest(count, F.lit(0)))
-        rolled = F.zip_with(rolled, shifted, lambda x, y: x * 31 + y)
-    return F.transform(rolled, lambda x: F.pmod(x, F.lit(slots)).cast("int"))

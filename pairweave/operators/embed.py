@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.functions.text import char_gram_slots, text_key, words
+from pairweave.functions.ngrams import ngram_vector
+from pairweave.functions.text import text_key, words
 from pairweave.functions.vectors import clamp01, cosine, norm, scaled_to_unit
-from pairweave.operators.joins import salted_join
+from pairweave.operators.joins import skew_join
 
 Embedder = Callable[[DataFrame], DataFrame]
 
@@ -29,20 +30,17 @@ def distinct_texts(df: DataFrame, *columns: str) -> DataFrame:
     return texts.groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text"))
 
 
-def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, salts: int = 8) -> DataFrame:
+def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, sample: float = 0.01) -> DataFrame:
     """Mean of the unit-length vectors of a text's known words; zero without any.
 
     ``word_vectors``: ``(word, vector)``. Words are counted per text before the
-    join, and the join is salted because word frequencies are very uneven. The
-    sums are plain columns, so they are combined before the last shuffle.
+    join. Frequent words, found on a sample of the texts, are spread over many
+    tasks. The sums are plain columns, so they are combined before the last shuffle.
     """
-    counted = (
-        texts.select("text_key", F.explode(words("text")).alias("word"))
-        .groupBy("text_key", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    each_word = lambda df: df.select("text_key", F.explode(words("text")).alias("word"))
+    counted = each_word(texts).groupBy("text_key", "word").agg(F.count(F.lit(1)).alias("n"))
     units = word_vectors.where(norm("vector") > 0).select("word", scaled_to_unit("vector").alias("vector"))
-    joined = salted_join(counted, units, "word", "text_key", salts)
+    joined = skew_join(counted, units, "word", "text_key", probe=each_word(texts.sample(sample, 7)))
     sums = joined.groupBy("text_key").agg(
         F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
     )
@@ -54,25 +52,8 @@ def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, salts: int
 
 
 def hashed_ngrams(texts: DataFrame, n: int = 3, dim: int = 64) -> DataFrame:
-    """Unit-length vector of hashed character n-gram counts; needs no model.
-
-    All n-grams of the whole text count. The first aggregate sees one text's
-    grams together, so at most ``dim`` rows per text are shuffled.
-    """
-    grams = texts.select("text_key", F.explode(char_gram_slots("text", n, dim)).alias("slot"))
-    counted = grams.groupBy("text_key", "slot").agg(F.count(F.lit(1)).alias("n"))
-    sparse = counted.groupBy("text_key").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("counts")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.col("counts")[i], F.lit(0)).cast("double"),
-    )
-    known = sparse.select("text_key", dense.alias("vector"))
-    unit = known.select("text_key", scaled_to_unit("vector").alias("vector"))
-    return texts.select("text_key").join(unit, "text_key", "left").select(
-        "text_key", F.coalesce("vector", zero_vector(dim)).alias("vector")
-    )
+    """Unit-length vector of hashed character n-gram counts; needs no model."""
+    return texts.select("text_key", ngram_vector(n, dim)("text").alias("vector"))
 
 
 def model_vectors(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
@@ -89,26 +70,42 @@ def model_vectors(texts: DataFrame, load: Callable[[], Callable[[list[str]], lis
     return texts.select("text_key", "text").mapInArrow(run, "text_key string, vector array<double>")
 
 
-def embed_column(df: DataFrame, text: str, embed: Embedder, name: str = "vector", salts: int = 8) -> DataFrame:
+def embed_column(df: DataFrame, text: str, embed: Embedder, name: str = "vector") -> DataFrame:
     """Add the vector of a text column; every distinct text is embedded once.
 
-    The join back carries the digest instead of the text and is salted by the
-    row itself, since one text may be copied into a large share of the rows.
+    The join back carries the digest instead of the text; a text copied into a
+    large share of the rows is spread by the other values of its rows.
     """
     vectors = embed(distinct_texts(df, text)).withColumnRenamed("vector", name)
     keyed = df.withColumn("text_key", text_key(text)).withColumn("__row", F.xxhash64(*df.columns))
-    return salted_join(keyed, vectors, "text_key", "__row", salts, "left").drop("text_key", "__row")
+    probe = df.sample(0.01, 7).select(text_key(text).alias("text_key"))
+    return skew_join(keyed, vectors, "text_key", "__row", probe, "left").drop("text_key", "__row")
 
 
-def pair_similarity(pairs: DataFrame, embed: Embedder, name: str = "similarity", salts: int = 8) -> DataFrame:
-    """Clamped cosine of the two sentences of each row; empty or missing gives 0."""
+def clamped_score(vector1: Column | str, vector2: Column | str) -> Column:
+    """Clamped cosine; null or empty sentences and failed vectors give 0."""
+    usable = (F.length("sentence1") > 0) & (F.length("sentence2") > 0)
+    return F.coalesce(F.when(usable, clamp01(cosine(vector1, vector2))), F.lit(0.0))
+
+
+def pair_similarity(
+    pairs: DataFrame, vectorize: Callable[[Column], Column], name: str = "similarity"
+) -> DataFrame:
+    """Score each pair in its own row; for embedders that are column functions.
+
+    Nothing is shuffled. ``vectorize`` turns a text column into a vector column.
+    """
+    embedded = pairs.withColumn("__v1", vectorize(F.col("sentence1"))).withColumn("__v2", vectorize(F.col("sentence2")))
+    return embedded.withColumn(name, clamped_score("__v1", "__v2")).drop("__v1", "__v2")
+
+
+def pair_similarity_reusing(pairs: DataFrame, embed: Embedder, name: str = "similarity") -> DataFrame:
+    """The same score for costly embedders: each distinct sentence is embedded once."""
     vectors = embed(distinct_texts(pairs, "sentence1", "sentence2"))
     keyed = pairs.withColumn("__row", F.xxhash64(*pairs.columns))
-    for side in ("sentence1", "sentence2"):
-        named = vectors.select(F.col("text_key").alias(f"__key_{side}"), F.col("vector").alias(f"__vec_{side}"))
-        keyed = keyed.withColumn(f"__key_{side}", text_key(side))
-        keyed = salted_join(keyed, named, f"__key_{side}", "__row", salts, "left").drop(f"__key_{side}")
-    usable = (F.length("sentence1") > 0) & (F.length("sentence2") > 0)
-    score = clamp01(cosine("__vec_sentence1", "__vec_sentence2"))
-    scored = keyed.withColumn(name, F.coalesce(F.when(usable, score), F.lit(0.0)))
-    return scored.drop("__row", "__vec_sentence1", "__vec_sentence2")
+    for side, vector in (("sentence1", "__v1"), ("sentence2", "__v2")):
+        named = vectors.select(F.col("text_key").alias("__key"), F.col("vector").alias(vector))
+        keyed = keyed.withColumn("__key", text_key(side))
+        probe = pairs.sample(0.01, 7).select(text_key(side).alias("__key"))
+        keyed = skew_join(keyed, named, "__key", "__row", probe, "left").drop("__key")
+    return keyed.withColumn(name, clamped_score("__v1", "__v2")).drop("__row", "__v1", "__v2")

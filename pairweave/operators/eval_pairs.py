@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.operators.ordering import running_totals
+from pairweave.session import materialize
 
 SCORE_DIGITS = 6
 # The 18 thresholds 0.10, 0.15 ... 0.95.
@@ -58,10 +59,13 @@ def score_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFr
 def cumulative_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Per threshold (score >= threshold): tp, fp and the class totals P and N.
 
+    The counts are stored first, so the pairs are read once although running
+    totals take two passes; every curve and summary below starts from here.
     Unrounded scores (``digits=None``) get a thousand times finer buckets.
     """
     per_unit = 1_000 if digits is not None else 1_000_000
-    counted = score_counts(scores, digits).withColumn("bucket", F.floor(F.col("score") * per_unit))
+    stored = materialize(score_counts(scores, digits), "score-counts")
+    counted = stored.withColumn("bucket", F.floor(F.col("score") * per_unit))
     running = running_totals(
         counted,
         {"tp": "pos", "fp": "neg"},

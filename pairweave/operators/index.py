@@ -87,7 +87,7 @@ def build_index(
     fraction = min(1.0, cells * TRAINING_ROWS_PER_CELL / max(1, total))
     sample = items if fraction >= 1.0 else items.sample(fraction, seed)
     training = sample.select(array_to_vector(scaled_to_unit("vector")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=20).fit(training)
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
     centers = np.array([np.asarray(c, "f8") for c in model.clusterCenters()])
     spark = corpus.sparkSession
     centroids = spark.createDataFrame(

@@ -98,13 +98,13 @@ def augment_pairs(
     has at least ``min_words``. New ids continue after the largest id, copy by
     copy in id order.
     """
-    positives = df.where(F.col("label") == 1)
-    ordered = global_index(positives, "id", "__order")
-    largest = df.agg(F.max("id")).scalar()
-    count = positives.agg(F.count(F.lit(1))).scalar()
-    copies = ordered.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(factor - 1)))) if factor > 1 else None
-    if copies is None:
+    if factor <= 1:
         return df
+    largest, count = df.agg(F.max("id"), F.count_if(F.col("label") == 1)).first()
+    if not count:
+        return df
+    ordered = global_index(df.where(F.col("label") == 1), "id", "__order")
+    copies = ordered.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(factor - 1))))
     token = F.concat_ws(":", F.col("__copy"), F.col("id"))
     copies = copies.withColumn("__side", seeded_number(token, f"{seed}-side") % 2).withColumn(
         "__word", seeded_number(token, f"{seed}-word")
@@ -118,7 +118,7 @@ def augment_pairs(
         )
         return F.when((F.col("__side") == side) & (F.size(parts) >= min_words), changed).otherwise(F.col(column))
 
-    new_id = largest + 1 + (F.col("__copy") - 1) * count + F.col("__order")
+    new_id = F.lit(largest + 1) + (F.col("__copy") - 1) * count + F.col("__order")
     new = copies.select(
         *[
             {

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairweave.functions import vectors as V
+from pairweave.functions.ngrams import ngram_vector
 from pairweave.functions.text import text_key
 from pairweave.operators import embed, eval_pairs, incremental, quality, rerank
 from pairweave.operators import eval_retrieval as ev
@@ -19,7 +20,7 @@ from pairweave.operators.retrieve import exact_topk, similarity_to_vector, with_
 from pairweave.plans import bindings as B
 from pairweave.plans.bindings import r6
 from pairweave.schemas import SCORE_COLUMNS
-from pairweave.session import work_path
+from pairweave.session import materialize, work_path
 from pairweave.sources import pairs as pair_source
 from pairweave.sources import results
 from pairweave.streaming import scoring
@@ -59,7 +60,7 @@ def project_pairs(spark, d):
 
 @query
 def indexed_scan(spark, d):
-    scanned = incremental.indexed_scan(B.text_pairs(spark, d), "id", SCORE_COLUMNS)
+    scanned = incremental.indexed_scan(materialize(B.text_pairs(spark, d), "pairs"), "id", SCORE_COLUMNS)
     empty = sum(F.col(c).isNull().cast("int") for c in SCORE_COLUMNS)
     return scanned.select("id", "global_index", empty.alias("empty_results"))
 
@@ -80,9 +81,10 @@ def write_results(spark, d):
 @query
 def eval_json_roundtrip(spark, d):
     path = work_path(spark, "evaluation")
-    judged = ev.judge_by_class(B.approach_hits(spark, d), *B.classes(spark, d))
+    hits = materialize(B.approach_hits(spark, d), "approach-hits")
+    judged = ev.judge_by_class(hits, *B.classes(spark, d))
     averages = ev.macro_average(ev.score_queries(B.approach_queries(spark, d), judged, ["approach"]), ["approach"])
-    results.save_evaluation(results.evaluation_records(B.approach_hits(spark, d), averages), path)
+    results.save_evaluation(results.evaluation_records(hits, averages), path)
     loaded = results.load_evaluation(spark, path)
     return loaded.select(
         F.col("approach_name").alias("approach"),
@@ -184,11 +186,17 @@ def distance_to_similarity(spark, d):
 
 @query
 def pair_similarity(spark, d):
-    return embed.pair_similarity(B.answered_turns(spark, d), embed.hashed_ngrams).select(
+    return embed.pair_similarity(B.answered_turns(spark, d), ngram_vector()).select(
         "id", r6("similarity").alias("similarity")
     )
 
 
+@query
+def pair_similarity_reusing(spark, d):
+    scored = embed.pair_similarity_reusing(B.answered_turns(spark, d), embed.hashed_ngrams)
+    return scored.select("id", r6("similarity").alias("similarity"))
+
+
 @query
 def multi_model_scores(spark, d):
     return B.partly_scored_pairs(spark, d)
@@ -505,7 +513,7 @@ def dataset_metadata(spark, d):
 
 @query
 def augment_pairs(spark, d):
-    return quality.augment_pairs(B.text_pairs(spark, d), factor=3, suffix="~")
+    return quality.augment_pairs(materialize(B.text_pairs(spark, d), "pairs"), factor=3, suffix="~")
 
 
 @query

@@ -561,4 +561,5 @@ ORACLES: dict[str, str] = {
                case when b.vec_id is null then 'ValueError: missing vector' else '' end as error
         from embeddings a left join embeddings b on b.vec_id = a.vec_id * 3 + 1""",
 }
+ORACLES["pair_similarity_reusing"] = ORACLES["pair_similarity"]
 ORACLES["eval_summary_csv"] = ORACLES["pair_eval_summary"]
