@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -106,30 +107,25 @@ def augment_pairs(
     ordered = global_index(df.where(F.col("label") == 1), "id", "__order")
     copies = ordered.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(factor - 1))))
     token = F.concat_ws(":", F.col("__copy"), F.col("id"))
-    copies = copies.withColumn("__side", seeded_number(token, f"{seed}-side") % 2).withColumn(
-        "__word", seeded_number(token, f"{seed}-word")
+    first = seeded_number(token, f"{seed}-side") % 2 == 0
+    chosen = copies.withColumn("__first", first).withColumn(
+        "__parts", F.split(F.when(first, F.col("sentence1")).otherwise(F.col("sentence2")), re.escape(separator))
     )
-
-    def edited(side: int, column: str) -> Column:
-        parts = F.split(F.col(column), separator)
-        at = F.pmod(F.col("__word"), F.size(parts))
-        changed = F.array_join(
-            F.transform(parts, lambda w, i: F.when(i == at, F.concat(w, F.lit(suffix))).otherwise(w)), separator
-        )
-        return F.when((F.col("__side") == side) & (F.size(parts) >= min_words), changed).otherwise(F.col(column))
-
-    new_id = F.lit(largest + 1) + (F.col("__copy") - 1) * count + F.col("__order")
-    new = copies.select(
-        *[
-            {
-                "id": new_id.alias("id"),
-                "sentence1": edited(0, "sentence1").alias("sentence1"),
-                "sentence2": edited(1, "sentence2").alias("sentence2"),
-            }.get(c, F.col(c))
-            for c in df.columns
-        ]
+    word = F.pmod(seeded_number(token, f"{seed}-word"), F.size("__parts")).cast("int")
+    marked = F.concat(
+        F.slice("__parts", 1, F.col("__at")),
+        F.array(F.concat(F.get("__parts", F.col("__at")), F.lit(suffix))),
+        F.slice("__parts", F.col("__at") + 2, F.size("__parts")),
+    )
+    edited = chosen.withColumn("__at", word).withColumn(
+        "__edited", F.when(F.size("__parts") >= min_words, F.array_join(marked, separator))
     )
-    return df.unionByName(new)
+    values = {
+        "id": F.lit(largest + 1) + (F.col("__copy") - 1) * count + F.col("__order"),
+        "sentence1": F.coalesce(F.when(F.col("__first"), F.col("__edited")), F.col("sentence1")),
+        "sentence2": F.coalesce(F.when(~F.col("__first"), F.col("__edited")), F.col("sentence2")),
+    }
+    return df.unionByName(edited.select(*[values.get(c, F.col(c)).alias(c) for c in df.columns]))
 
 
 def generate_pairs(pool: DataFrame, seed: int = 42) -> DataFrame:

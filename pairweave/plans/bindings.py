@@ -134,10 +134,11 @@ def query_table(spark: SparkSession, sf_dir: str, reach: int = 0) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K, dim: int | None = None) -> DataFrame:
     """Top-k of all vectors among all vectors, optionally on leading components."""
-    e = busy_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    queries = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    corpus = busy_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     if dim is not None:
-        e = e.withColumn("embedding", leading("embedding", dim))
-    return exact_topk(e, e, k)
+        queries, corpus = (df.withColumn("embedding", leading("embedding", dim)) for df in (queries, corpus))
+    return exact_topk(queries, corpus, k, exclude_self=True)
 
 
 def candidates_with_second_score(spark: SparkSession, sf_dir: str) -> DataFrame:
