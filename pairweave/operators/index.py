@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from pairweave.functions.vectors import check_metric, scaled_to_unit
 from pairweave.operators.retrieve import (
-    BLOCK_ROWS,
     PARTIAL_SCHEMA,
     as_items,
     as_queries,
     best_k,
+    block_rows_for,
     cell_kernel,
     check_k,
     matrix_of,
@@ -118,7 +118,7 @@ def index_topk(
     vector: str = "embedding",
     metric: str = "cosine",
     exclude_self: bool = False,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Top-k among the items of the ``probes`` cells nearest to each query.
 
@@ -128,6 +128,7 @@ def index_topk(
     check_k(k)
     rows = index.centroids.orderBy("cell").toArrow()
     centers = matrix_of(rows["vector"])
+    block_rows = block_rows or block_rows_for(centers.shape[1])
     left = nearest_cells(as_queries(queries, query_id, vector), centers, "query_id", probes)
     right = index.items
     blocks = lambda counted, name: counted.groupBy("cell").agg(

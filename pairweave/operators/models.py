@@ -27,6 +27,29 @@ def predict_rows(predict: Predict, inputs: pd.DataFrame) -> tuple[list[float | N
         return scores, errors
 
 
+def score_models(
+    df: DataFrame, loaders: dict[str, Callable[[], Predict]], inputs: Sequence[str]
+) -> DataFrame:
+    """One score column per model in one pass; a row a model fails on gets null there.
+
+    A model that cannot be loaded fails the task, as no row could be scored.
+    """
+    kept = [f for f in df.schema.fields if f.name not in loaders]
+    schema = T.StructType([*kept, *[T.StructField(name, T.DoubleType()) for name in loaders]])
+    names, wanted = [f.name for f in kept], list(inputs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {name: load() for name, load in loaders.items()}
+        for batch in batches:
+            scores = {
+                name: pd.Series(predict_rows(model, batch[wanted])[0], index=batch.index, dtype="float64")
+                for name, model in models.items()
+            }
+            yield batch[names].assign(**scores)
+
+    return df.mapInPandas(run, schema)
+
+
 def model_map(
     df: DataFrame,
     load: Callable[[], Predict],

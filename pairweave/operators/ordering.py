@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairweave.functions.text import digest_number, seeded_digest
+from pairweave.session import materialize
 
 DIGEST_DIGITS = 3  # 16 ** 3 = 4096 buckets per group
 
@@ -93,31 +93,29 @@ def digest_position(
     return placed.drop("__digest", "__bucket", "__n")
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Number of the quantile range a numeric key falls in.
+def global_index(df: DataFrame, key: str, name: str = "global_index") -> DataFrame:
+    """Contiguous 0-based row number in the order of a unique key.
 
-    The boundaries come from a mergeable quantile sketch; only ``buckets``
-    numbers reach the driver. Ranges are even for skewed key values too.
+    One range shuffle sorts the rows; each row then knows its partition and its
+    place inside it, and that is stored in the shared folder, so the numbers are
+    data and cannot change when a task runs again. What is left is to add the
+    number of rows in earlier partitions, a table of one row per partition.
     """
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(key, probabilities, 0.2 / buckets)))
-    if not cuts:
-        return df.withColumn(name, F.lit(0.0))
-    splits = [float("-inf"), *cuts, float("inf")]
-    numeric = df.withColumn("__as_double", F.col(key).cast("double"))
-    cutter = Bucketizer(splits=splits, inputCol="__as_double", outputCol=name, handleInvalid="error")
-    return cutter.transform(numeric).drop("__as_double")
-
-
-def global_index(df: DataFrame, key: str, name: str = "global_index", buckets: int = 256) -> DataFrame:
-    """Contiguous 0-based row number in the order of a unique numeric key."""
-    cut = range_bucket(df, key, buckets, "__bucket")
-    placed = running_totals(cut, {"__n": F.lit(1).cast("bigint")}, [F.col(key)], "__bucket")
-    return placed.withColumn(name, F.col("__n") - 1).drop("__bucket", "__n")
+    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    stored = materialize(
+        ordered.select("*", F.spark_partition_id().alias("__part"), place.alias("__place")), "ordered"
+    )
+    sizes = stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    return stored.join(F.broadcast(starts), "__part").select(
+        *df.columns, (F.col("__start") + F.col("__place")).alias(name)
+    )
 
 
 def first_rows(df: DataFrame, key: str, n: int, small: int = 100_000) -> DataFrame:
-    """The first ``n`` rows by a unique numeric key.
+    """The first ``n`` rows by a unique key.
 
     A small ``n`` is a top-n heap per task; a larger one is a filter on the
     distributed position, because a limit ends in a single task.

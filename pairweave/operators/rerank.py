@@ -6,6 +6,9 @@ one query and hold at most the first-stage k entries.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +80,32 @@ def responses_from_scores(candidates: DataFrame, score: str) -> DataFrame:
     )
     numbers = F.transform("list", lambda c: c["rank"].cast("string"))
     return listed.select("query_id", F.array_join(numbers, ", ").alias("response"))
+
+
+def model_responses(prompts: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """Answer every prompt with a text model, loaded once per task.
+
+    A prompt the model fails on gets a null response, which keeps the first k.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            answers: list[str | None] = []
+            for prompt in batch.column(1).to_pylist():
+                try:
+                    answers.append(model(prompt))
+                except Exception:
+                    answers.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(answers, pa.string())], names=["query_id", "response"]
+            )
+
+    return prompts.select("query_id", "prompt").mapInArrow(run, "query_id long, response string")
+
+
+def rerank(
+    candidates: DataFrame, queries: DataFrame, respond: Callable[[DataFrame], DataFrame], k: int = 5
+) -> DataFrame:
+    """Prompts, answers and new ranks in one go; ``candidates`` carry their sentence."""
+    return rerank_apply(candidates, respond(rerank_prompts(candidates, queries, k)), k)

@@ -27,7 +27,8 @@ from pairweave.functions.vectors import RANK_DIGITS, check_metric, similarity
 
 PARTIAL_SCHEMA = "query_id long, item_id long, similarity double"
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 32_768
+BLOCK_BYTES = 32 << 20
+PARTIAL_ROWS = 100_000_000
 SCORES_IN_MEMORY = 4_000_000  # one score matrix in a task: 32 MB of doubles
 
 
@@ -174,6 +175,11 @@ def check_k(k: int) -> int:
     return k
 
 
+def block_rows_for(width: int) -> int:
+    """Vectors of this length that make a block of ``BLOCK_BYTES`` floats."""
+    return max(1_024, BLOCK_BYTES // (4 * max(1, width)))
+
+
 def measured(vectors: DataFrame) -> tuple[int, int]:
     """Row count and vector length, by one small aggregate."""
     n, shortest, longest = vectors.agg(
@@ -184,22 +190,35 @@ def measured(vectors: DataFrame) -> tuple[int, int]:
     return n, longest or 0
 
 
-def scan_topk(queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    """Broadcast form; the caller has checked the size of ``queries``."""
+def scan_topk(
+    queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool, n_queries: int
+) -> DataFrame:
+    """Broadcast form; the caller has checked the size of ``queries``.
+
+    Every task may emit k rows per query. With many queries the scan therefore
+    runs in fewer, longer tasks, by joining splits without a shuffle, but never
+    in fewer than four per core.
+    """
+    context = queries.sparkSession.sparkContext
     table = queries.toArrow()
     matrix = matrix_of(table["vector"])
-    shared = queries.sparkSession.sparkContext.broadcast(
+    shared = context.broadcast(
         (table["query_id"].to_numpy(), unit_rows(matrix) if metric == "cosine" else matrix)
     )
-    partial = items.mapInArrow(scan_kernel(shared, k, metric, exclude_self), PARTIAL_SCHEMA)
+    tasks = max(4 * context.defaultParallelism, PARTIAL_ROWS // max(1, n_queries * k))
+    partial = items.coalesce(tasks).mapInArrow(scan_kernel(shared, k, metric, exclude_self), PARTIAL_SCHEMA)
     return best_k(partial, k)
 
 
 def grid_topk(
-    queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int
+    queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool, n_queries: int, block_rows: int
 ) -> DataFrame:
-    """Grid form: cells of at most about ``block_rows`` x ``block_rows`` vectors."""
-    query_blocks = max(1, -(-queries.count() // block_rows))
+    """Grid form: cells of about ``block_rows`` x ``block_rows`` vectors.
+
+    Blocks are made by the hash of unique ids, so they are even; each side is
+    copied once per block of the other, which large blocks keep low.
+    """
+    query_blocks = max(1, -(-n_queries // block_rows))
     item_blocks = max(1, -(-items.count() // block_rows))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))
@@ -223,7 +242,7 @@ def exact_topk(
     exclude_self: bool | None = None,
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """The k most similar corpus items of every query.
 
@@ -242,14 +261,14 @@ def exact_topk(
         return left.sparkSession.createDataFrame([], "query_id long, rank int, item_id long, similarity double")
     if strategy not in ("auto", "broadcast", "grid"):
         raise ValueError(f"unknown strategy: {strategy!r}")
+    n, width = measured(left)
     if strategy != "grid":
-        n, width = measured(left)
         fits = n * (width * 8 + 16 * k) <= broadcast_bytes
         if strategy == "broadcast" and not fits:
             raise ValueError(f"{n} query vectors exceed broadcast_bytes={broadcast_bytes}")
         if fits:
-            return scan_topk(left, right, k, metric, exclude_self)
-    return grid_topk(left, right, k, metric, exclude_self, block_rows)
+            return scan_topk(left, right, k, metric, exclude_self, n)
+    return grid_topk(left, right, k, metric, exclude_self, n, block_rows or block_rows_for(width))
 
 
 def similarity_to_vector(

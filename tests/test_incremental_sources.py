@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from pairweave.operators import eval_pairs as ep
 from pairweave.operators import incremental as inc
-from pairweave.operators.models import model_map
+from pairweave.operators.models import model_map, score_models
 from pairweave.schemas import SCORE_COLUMNS
 from pairweave.sources import pairs as src
 from pairweave.sources import results
@@ -157,3 +157,17 @@ def test_stream_quality_adds_up(spark, tmp_path):
         scoring.track_quality(spark, source, df.schema, partials, sink, log, files_per_batch=1)
     got = {r.chunk: (r.rows, r.scored, r.correct, r.completion) for r in scoring.quality_report(spark, sink).collect()}
     assert got == {0: (10, 9, 9, 90.0), 1: (10, 10, 10, 100.0), 2: (10, 10, 10, 100.0)}
+
+
+def test_models_fail_independently(spark):
+    def picky():
+        def predict(batch):
+            if (batch["x"] == 2).any():
+                raise ValueError("two")
+            return batch["x"] * 10.0
+
+        return predict
+
+    df = spark.createDataFrame([(i, float(i), 9.0) for i in range(4)], "id long, x double, old double")
+    out = {r.id: (r.a, r.old) for r in score_models(df, {"a": picky, "old": lambda: lambda b: b["x"] + 1}, ["x"]).collect()}
+    assert out == {0: (0.0, 1.0), 1: (10.0, 2.0), 2: (None, 3.0), 3: (30.0, 4.0)}

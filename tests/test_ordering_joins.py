@@ -23,7 +23,7 @@ def test_digest_position_with_hot_and_null_groups(spark):
 def test_global_index_is_contiguous(spark, keys):
     keys = list(keys)
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(4)
-    got = {r.k: r.global_index for r in o.global_index(df, "k", buckets=8).collect()}
+    got = {r.k: r.global_index for r in o.global_index(df, "k").collect()}
     assert got == {k: n for n, k in enumerate(sorted(keys))}
 
 

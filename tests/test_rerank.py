@@ -1,6 +1,6 @@
 import pytest
 
-from pairweave.operators.rerank import rerank_apply, rerank_prompts, responses_from_scores
+from pairweave.operators.rerank import model_responses, rerank, rerank_apply, rerank_prompts, responses_from_scores
 
 
 def reorder(spark, response, k, ids=(10, 20, 30, 40)):
@@ -52,3 +52,21 @@ def test_prompt_numbers_candidates_in_rank_order(spark):
     assert len(row) == 1 and row[0].n_candidates == 3
     assert '"what?"' in row[0].prompt and row[0].prompt.endswith("1. first\n2. second\n3. ")
     assert "2 closest" in row[0].prompt
+
+
+def test_model_answers_and_failures(spark):
+    rows = [(q, r, q * 10 + r, 1.0 - r / 10, f"sentence {r}") for q in (1, 2) for r in (1, 2, 3)]
+    candidates = spark.createDataFrame(rows, "query_id long, rank int, item_id long, similarity double, sentence string")
+    queries = spark.createDataFrame([(1, "fine"), (2, "broken")], "query_id long, query string")
+
+    def load():
+        def model(prompt):
+            if "broken" in prompt:
+                raise RuntimeError("no answer")
+            return "3 and 1"
+
+        return model
+
+    out = rerank(candidates, queries, lambda p: model_responses(p, load), 2)
+    got = {q: [r.item_id for r in out.orderBy("rank").collect() if r.query_id == q] for q in (1, 2)}
+    assert got == {1: [13, 11], 2: [21, 22]}
