@@ -19,6 +19,8 @@ from pairweave.operators.ordering import first_rows
 from pairweave.operators.retrieve import exact_topk, similarity_to_vector, with_text
 from pairweave.plans import bindings as B
 from pairweave.plans.bindings import r6
+from pairweave.plans.workflows import Approach
+from pairweave.plans.workflows import retrieval_experiment as run_experiment
 from pairweave.schemas import SCORE_COLUMNS
 from pairweave.session import materialize, work_path
 from pairweave.sources import pairs as pair_source
@@ -421,6 +423,14 @@ def compare_approaches(spark, d):
     return rounded(ev.compare_approaches(approach_averages(spark, d), B.APPROACHES), *B.APPROACHES)
 
 
+@query
+def retrieval_experiment(spark, d):
+    pairs = materialize(B.text_pairs(spark, d), "pairs")
+    swapped = lambda prompts: prompts.select("query_id", F.lit("3, 1 and 2").alias("response"))
+    approaches = [Approach("direct", embed.hashed_ngrams), Approach("answered", embed.hashed_ngrams, respond=swapped)]
+    return rounded(run_experiment(pairs, approaches, k=2).averages, *ev.METRICS)
+
+
 @query
 def approach_timing(spark, d):
     log = B.table(spark, d, "events").select(

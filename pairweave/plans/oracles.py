@@ -433,6 +433,19 @@ ORACLES: dict[str, str] = {
         m=metrics_sql("aqueries", "ajudged", "approach, "),
         avgs=averages("approach").replace("count(*) as queries, ", ""),
     ),
+    "retrieval_experiment": sql(
+        averages("approach"),
+        "tpairs", "units",
+        ranked="""select q.id as query_id, c.id as item_id, c.label as rel, row_number() over (partition by q.id
+                order by round(list_cosine_similarity(qu.v, cu.v), 12) desc, c.id) as place
+            from tpairs q join units qu on qu.text = q.sentence1
+            cross join tpairs c join units cu on cu.text = c.sentence2""",
+        placed="""select 'direct' as approach, query_id, place as rank, rel from ranked where place <= 2 union all
+            select 'answered', query_id, case place when 3 then 1 else 2 end, rel from ranked where place in (3, 1)""",
+        qs="""select id as query_id, approach, (select sum(label) from tpairs) as positives
+            from tpairs cross join (values ('direct'), ('answered')) a(approach)""",
+        m=metrics_sql("qs", "placed", "approach, "),
+    ).replace("select distinct text from documents", "select distinct text from conversations"),
     "approach_timing": f"""
         select event_type as approach, {r6('coalesce(sum(value) filter (event_id % 10 = 0), 0.0)')} as indexing_time,
                {r6('avg(value) filter (event_id % 10 <> 0)')} as avg_retrieval_time,
