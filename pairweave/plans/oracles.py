@@ -277,20 +277,17 @@ ORACLES: dict[str, str] = {
     ),
     "multi_model_scores": sql("select * from partly", "partly"),
     "embed_word_average": sql(
-        f"""select d.doc_id, coalesce(v.vector, array_to_string(list_transform(range(64), lambda x: '0'), ',')) as vector
+        f"""select d.doc_id, coalesce({packed('v.means')}, array_to_string(list_transform(range(64), lambda x: '0'), ',')) as vector
             from documents d left join (
-                select doc_id, {packed('list(m order by i)')} as vector from (
-                    select doc_id, i, sum(n * x) / sum(n) as m from vecs join tokens using (word) group by doc_id, i
-                ) group by doc_id
+                select doc_id, [{', '.join(f'sum(n * u[{i}]) / sum(n)' for i in range(1, 65))}] as means
+                from tokens join vecs using (word) group by doc_id
             ) v using (doc_id)""",
         "words",
         tokens="select doc_id, word, count(*) as n from words group by all",
-        vocabulary="select distinct word from words",
-        vecs=f"""select word, generate_subscripts(embedding, 1) as i,
-                unnest(embedding) / len_ as x
-                from (select word, embedding::double[] as embedding,
+        vecs=f"""select word, list_transform(e, lambda x: x / len_) as u
+                from (select word, embedding::double[] as e,
                       sqrt(list_inner_product(embedding::double[], embedding::double[])) as len_
-                      from vocabulary join embeddings on vec_id = {hexnum('md5(word)')} % {N})""",
+                      from (select distinct word from words) join embeddings on vec_id = {hexnum('md5(word)')} % {N})""",
     ),
     "embed_hashed_ngrams": sql(f"select sha256(text) as text_key, {packed('v')} as vector from units", "units"),
     "embed_reuse": sql(
