@@ -284,10 +284,12 @@ ORACLES: dict[str, str] = {
             ) v using (doc_id)""",
         "words",
         tokens="select doc_id, word, count(*) as n from words group by all",
-        vecs=f"""select word, list_transform(e, lambda x: x / len_) as u
-                from (select word, embedding::double[] as e,
-                      sqrt(list_inner_product(embedding::double[], embedding::double[])) as len_
-                      from (select distinct word from words) join embeddings on vec_id = {hexnum('md5(word)')} % {N})""",
+        unit="""select vec_id, list_transform(e, lambda x: x / len_) as u
+                from (select vec_id, embedding::double[] as e,
+                      sqrt(list_inner_product(embedding::double[], embedding::double[])) as len_ from embeddings)""",
+        vocabulary=f"""select word, {hexnum('md5(word)')} % n as vec_id from (select distinct word from words)
+            cross join (select count(*) as n from embeddings)""",
+        vecs="select word, u from vocabulary join unit using (vec_id)",
     ),
     "embed_hashed_ngrams": sql(f"select sha256(text) as text_key, {packed('v')} as vector from units", "units"),
     "embed_reuse": sql(
