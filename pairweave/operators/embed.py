@@ -40,7 +40,7 @@ def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, sample: fl
     each_word = lambda df: df.select("text_key", F.explode(words("text")).alias("word"))
     counted = each_word(texts).groupBy("text_key", "word").agg(F.count(F.lit(1)).alias("n"))
     units = word_vectors.where(norm("vector") > 0).select("word", scaled_to_unit("vector").alias("vector"))
-    joined = skew_join(counted, units, "word", "text_key", probe=each_word(texts.sample(sample, 7)))
+    joined = skew_join(counted, units, "word", ["text_key"], probe=each_word(texts.sample(sample, 7)))
     sums = joined.groupBy("text_key").agg(
         F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
     )
@@ -74,12 +74,12 @@ def embed_column(df: DataFrame, text: str, embed: Embedder, name: str = "vector"
     """Add the vector of a text column; every distinct text is embedded once.
 
     The join back carries the digest instead of the text; a text copied into a
-    large share of the rows is spread by the other values of its rows.
+    large share of the rows is spread over many tasks.
     """
     vectors = embed(distinct_texts(df, text)).withColumnRenamed("vector", name)
-    keyed = df.withColumn("text_key", text_key(text)).withColumn("__row", F.xxhash64(*df.columns))
+    keyed = df.withColumn("text_key", text_key(text))
     probe = df.sample(0.01, 7).select(text_key(text).alias("text_key"))
-    return skew_join(keyed, vectors, "text_key", "__row", probe, "left").drop("text_key", "__row")
+    return skew_join(keyed, vectors, "text_key", df.columns, probe, "left").drop("text_key")
 
 
 def clamped_score(vector1: Column | str, vector2: Column | str) -> Column:
@@ -102,10 +102,10 @@ def pair_similarity(
 def pair_similarity_reusing(pairs: DataFrame, embed: Embedder, name: str = "similarity") -> DataFrame:
     """The same score for costly embedders: each distinct sentence is embedded once."""
     vectors = embed(distinct_texts(pairs, "sentence1", "sentence2"))
-    keyed = pairs.withColumn("__row", F.xxhash64(*pairs.columns))
+    keyed = pairs
     for side, vector in (("sentence1", "__v1"), ("sentence2", "__v2")):
         named = vectors.select(F.col("text_key").alias("__key"), F.col("vector").alias(vector))
         keyed = keyed.withColumn("__key", text_key(side))
         probe = pairs.sample(0.01, 7).select(text_key(side).alias("__key"))
-        keyed = skew_join(keyed, named, "__key", "__row", probe, "left").drop("__key")
-    return keyed.withColumn(name, clamped_score("__v1", "__v2")).drop("__row", "__v1", "__v2")
+        keyed = skew_join(keyed, named, "__key", pairs.columns, probe, "left").drop("__key")
+    return keyed.withColumn(name, clamped_score("__v1", "__v2")).drop("__v1", "__v2")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pairweave.functions.vectors import check_metric, scaled_to_unit
 from pairweave.operators.retrieve import (
+    BROADCAST_BYTES,
     PARTIAL_SCHEMA,
     as_items,
     as_queries,
@@ -69,6 +70,13 @@ def nearest_cells(df: DataFrame, centroids: np.ndarray, id_name: str, probes: in
     return df.mapInArrow(run, schema)
 
 
+def check_centroids(centers: np.ndarray) -> np.ndarray:
+    """Centroids go to every task, so their size is limited like that of query vectors."""
+    if centers.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"{len(centers)} centroids take {centers.nbytes} bytes, limit {BROADCAST_BYTES}")
+    return centers
+
+
 def build_index(
     corpus: DataFrame,
     cells: int = 16,
@@ -88,7 +96,7 @@ def build_index(
     sample = items if fraction >= 1.0 else items.sample(fraction, seed)
     training = sample.select(array_to_vector(scaled_to_unit("vector")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
-    centers = np.array([np.asarray(c, "f8") for c in model.clusterCenters()])
+    centers = check_centroids(np.array([np.asarray(c, "f8") for c in model.clusterCenters()]))
     spark = corpus.sparkSession
     centroids = spark.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell int, vector array<double>"

@@ -55,10 +55,19 @@ def test_skew_join_equals_plain_join(spark):
     )
     right = spark.range(90).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
-        got = sorted(map(repr, skew_join(left, right, "k", "row", probe=left, how=how).select("row", "k", "v").collect()))
+        got = sorted(map(repr, skew_join(left, right, "k", ["row"], probe=left, how=how).select("row", "k", "v").collect()))
         assert got == sorted(map(repr, left.join(right, "k", how).select("row", "k", "v").collect()))
 
 
 def test_hot_key_list_is_bounded(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"))
     assert [r.k for r in hot_keys(df, "k", 0.1).collect()] == [7]
+
+
+def test_exact_copies_of_a_hot_row_are_spread(spark):
+    left = spark.range(0, 4000, 1, 16).select(F.lit(5).alias("k"))
+    right = spark.createDataFrame([(5, 1)], "k int, v int")
+    joined = skew_join(left, right, "k", ["k"], probe=left, salts=8)
+    assert joined.count() == 4000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" in plan and "spark_partition_id" in plan.lower()
