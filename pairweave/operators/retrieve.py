@@ -29,7 +29,9 @@ PARTIAL_SCHEMA = "query_id long, item_id long, similarity double"
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
 PARTIAL_ROWS = 100_000_000
-SCORES_IN_MEMORY = 4_000_000  # one score matrix in a task: 32 MB of doubles
+SCORES_IN_MEMORY = 1_000_000  # one score matrix in a task: 8 MB of doubles
+ITEMS_AT_ONCE = 8_192
+SLACK = 2.0 * 10.0**-RANK_DIGITS
 
 
 def matrix_of(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -61,25 +63,30 @@ def block_candidates(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, item id, score) of all scores that can be in a top-k.
 
-    Keeps everything down to each query's k-th score of this block, ties
-    included, and nothing below ``floor``.
+    Keeps everything down to each query's k-th score, ties included, where the
+    k-th score is that of this block or ``floor``, the one known so far. Only
+    kept scores are rounded; ``SLACK`` covers what rounding can change.
     """
-    step = max(1, SCORES_IN_MEMORY // max(1, len(item_ids)))
+    # a query's own item, if present, may take places among the best
+    places = k + (np.unique(item_ids, return_counts=True)[1].max() if exclude_self else 0)
+    width = len(item_ids)
+    step = max(1, SCORES_IN_MEMORY // max(1, width))
     rows, ids, scores = [], [], []
     for start in range(0, len(query_ids), step):
-        stop = start + step
-        s = np.round(queries[start:stop] @ items.T, RANK_DIGITS)
+        s = queries[start : start + step] @ items.T
+        low = np.full(len(s), -np.inf) if floor is None else floor[start : start + step] - SLACK
+        at = None if np.isneginf(low).any() else np.flatnonzero(s >= low[:, None])
+        if at is None or len(at) > 8 * places * len(s):
+            if width > places:
+                low = np.maximum(low, np.partition(s, width - places, axis=1)[:, width - places] - SLACK)
+            at = np.flatnonzero(s >= low[:, None])
+        r, c = np.divmod(at, width)
         if exclude_self:
-            s[query_ids[start:stop, None] == item_ids[None, :]] = -np.inf
-        kth = np.full(len(s), -np.inf)
-        if s.shape[1] > k:
-            kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        if floor is not None:
-            kth = np.maximum(kth, floor[start:stop])
-        r, c = np.nonzero((s >= kth[:, None]) & (s != -np.inf))
-        rows.append(r + start)
+            other = query_ids[start + r] != item_ids[c]
+            at, r, c = at[other], r[other], c[other]
+        rows.append(start + r)
         ids.append(item_ids[c])
-        scores.append(s[r, c])
+        scores.append(np.round(s.ravel()[at], RANK_DIGITS))
     return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
 
 
@@ -101,31 +108,48 @@ def hits_batch(query_ids, rows, ids, scores) -> pa.RecordBatch:
     )
 
 
+def running_best(
+    queries: np.ndarray,
+    query_ids: np.ndarray,
+    blocks: Iterator[tuple[np.ndarray, np.ndarray]],
+    k: int,
+    exclude_self: bool,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top-k over blocks of (item ids, item vectors) as (query position, item id, score).
+
+    The k-th score found so far is the floor for the next block, so later
+    blocks contribute few candidates.
+    """
+    best = (np.array([], "i8"), np.array([], "i8"), np.array([], "f8"))
+    floor = np.full(len(query_ids), -np.inf)
+    for item_ids, items in blocks:
+        if items.shape[1] != queries.shape[1]:
+            raise ValueError("query and corpus vectors differ in length")
+        new = block_candidates(queries, query_ids, items, item_ids, k, exclude_self, floor)
+        if len(new[0]):
+            rows, ids, scores, place = cut(*[np.concatenate(pair) for pair in zip(best, new)], k)
+            full = place == k - 1
+            floor[rows[full]] = scores[full]
+            best = (rows, ids, scores)
+    return best
+
+
 def scan_kernel(shared, k: int, metric: str, exclude_self: bool):
     """Task body of the broadcast form: running top-k over the corpus batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best = (np.array([], "i8"), np.array([], "i8"), np.array([], "f8"))
-        floor = np.full(len(query_ids), -np.inf)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            items = matrix_of(batch.column(1))
-            if items.shape[1] != queries.shape[1]:
-                raise ValueError("query and corpus vectors differ in length")
-            if metric == "cosine":
-                items = unit_rows(items)
-            ids = batch.column(0).to_numpy()
-            new = block_candidates(queries, query_ids, items, ids, k, exclude_self, floor)
-            merged = [np.concatenate(pair) for pair in zip(best, new)]
-            rows, ids, scores, place = cut(*merged, k)
-            full = place == k - 1
-            floor[rows[full]] = scores[full]
-            best = (rows, ids, scores)
-        for start in range(0, len(best[0]), 100_000):
+
+        def blocks():
+            for batch in batches:
+                if batch.num_rows:
+                    items = matrix_of(batch.column(1))
+                    yield batch.column(0).to_numpy(), unit_rows(items) if metric == "cosine" else items
+
+        rows, ids, scores = running_best(queries, query_ids, blocks(), k, exclude_self)
+        for start in range(0, len(rows), 100_000):
             part = slice(start, start + 100_000)
-            yield hits_batch(query_ids, best[0][part], best[1][part], best[2][part])
+            yield hits_batch(query_ids, rows[part], ids[part], scores[part])
 
     return run
 
@@ -138,14 +162,13 @@ def cell_kernel(k: int, metric: str, exclude_self: bool):
             empty = np.array([], "i8")
             return pa.Table.from_batches([hits_batch(empty, empty, empty, np.array([], "f8"))])
         queries, items = matrix_of(left["vector"]), matrix_of(right["vector"])
-        if items.shape[1] != queries.shape[1]:
-            raise ValueError("query and corpus vectors differ in length")
         if metric == "cosine":
             queries, items = unit_rows(queries), unit_rows(items)
-        query_ids = left["query_id"].to_numpy()
-        found = block_candidates(queries, query_ids, items, right["item_id"].to_numpy(), k, exclude_self)
-        rows, ids, scores, _ = cut(*found, k)
-        return pa.Table.from_batches([hits_batch(query_ids, rows, ids, scores)])
+        query_ids, item_ids = left["query_id"].to_numpy(), right["item_id"].to_numpy()
+        parts = [slice(i, i + ITEMS_AT_ONCE) for i in range(0, len(item_ids), ITEMS_AT_ONCE)]
+        blocks = ((item_ids[p], items[p]) for p in parts)
+        best = running_best(queries, query_ids, blocks, k, exclude_self)
+        return pa.Table.from_batches([hits_batch(query_ids, *best)])
 
     return run
 
