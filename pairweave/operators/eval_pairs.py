@@ -41,19 +41,29 @@ def long_scores(df: DataFrame, models: Sequence[str], label: str = "label") -> D
     return doubles.unpivot(["label"], list(models), "model", "score")
 
 
+def score_units(digits: int) -> Column:
+    """The score in units of its last decimal, half away from zero, as a whole number.
+
+    Plain arithmetic: ``round`` goes through a decimal object per row.
+    """
+    scaled = F.abs(F.col("score")) * float(10**digits) + F.lit(0.5)
+    return F.when(F.col("score") < 0, -F.floor(scaled)).otherwise(F.floor(scaled))
+
+
 def rounded_score(digits: int | None) -> Column:
     """The score at ``digits`` decimals, as it is for None; never minus zero."""
-    score = F.col("score") if digits is None else F.round("score", digits)
-    return score + F.lit(0.0)
+    return F.col("score") + F.lit(0.0) if digits is None else score_units(digits) / float(10**digits)
 
 
 def score_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Positives and negatives per (model, score); combined before the shuffle."""
-    rounded = scores.withColumn("score", rounded_score(digits))
-    return rounded.groupBy("model", "score").agg(
+    key = rounded_score(None) if digits is None else score_units(digits)
+    counted = scores.groupBy("model", key.alias("key")).agg(
         F.sum(F.col("label").cast("long")).alias("pos"),
         F.sum((1 - F.col("label")).cast("long")).alias("neg"),
     )
+    score = F.col("key") if digits is None else F.col("key") / float(10**digits)
+    return counted.select("model", score.alias("score"), "pos", "neg")
 
 
 def cumulative_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFrame:

@@ -8,7 +8,7 @@ exact global order at any size and for any hot group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +18,7 @@ from pairweave.functions.text import digest_number, seeded_digest
 from pairweave.session import materialize
 
 DIGEST_DIGITS = 3  # 16 ** 3 = 4096 buckets per group
+BROADCAST_BUCKETS = 500_000
 
 
 def running_totals(
@@ -93,6 +94,53 @@ def digest_position(
     return placed.drop("__digest", "__bucket", "__n")
 
 
+def digest_parts(
+    df: DataFrame,
+    key: str,
+    seed: int | str,
+    part_of: Callable[[Column, Column], Column],
+    group: Sequence[str] = (),
+    name: str = "part",
+) -> DataFrame:
+    """Part of each row, as a function of its seeded position and its group's size.
+
+    ``part_of(position, size)`` must change at few positions, as a split or a
+    sample does. Bucket counts then settle the part of almost all buckets, whose
+    rows are never shuffled; only the buckets holding a change are ranked.
+    """
+    keyed = df.withColumn("__digest", seeded_digest(key, seed))
+    keyed = keyed.withColumn(
+        "__slot", F.struct(*group, digest_number(F.col("__digest"), 1, DIGEST_DIGITS).alias("bucket"))
+    )
+    counted = keyed.groupBy("__slot").agg(F.count(F.lit(1)).alias("n"))
+    group_cols = [F.col(f"__slot.{g}") for g in group]
+    order = W.partitionBy(*group_cols).orderBy("__slot.bucket").rowsBetween(W.unboundedPreceding, -1)
+    edges = counted.select(
+        "__slot",
+        "n",
+        F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__before"),
+        F.sum("n").over(W.partitionBy(*group_cols)).alias("__size"),
+    )
+    edges = edges.select(
+        "__slot",
+        "__before",
+        "__size",
+        part_of(F.col("__before"), F.col("__size")).alias("__first"),
+        part_of(F.col("__before") + F.col("n") - 1, F.col("__size")).alias("__last"),
+    )
+    stored = materialize(edges, "bucket-edges")
+    if stored.count() <= BROADCAST_BUCKETS:
+        stored = F.broadcast(stored)
+    joined = keyed.join(stored, "__slot")
+    settled = joined.where(F.col("__first") == F.col("__last")).select(*df.columns, F.col("__first").alias(name))
+    inside = W.partitionBy("__slot").orderBy("__digest", key)
+    ranked = joined.where(F.col("__first") != F.col("__last")).withColumn(
+        "__position", F.col("__before") + F.row_number().over(inside) - 1
+    )
+    part = part_of(F.col("__position"), F.col("__size"))
+    return settled.unionByName(ranked.select(*df.columns, part.alias(name)))
+
+
 def global_index(df: DataFrame, key: str, name: str = "global_index") -> DataFrame:
     """Contiguous 0-based row number in the order of a unique key.
 

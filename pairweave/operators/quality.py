@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.functions.text import digest_number, seeded_number, text_key
-from pairweave.operators.ordering import digest_position, global_index, running_totals
+from pairweave.operators.ordering import digest_parts, digest_position, global_index, running_totals
 from pairweave.schemas import PAIR_COLUMNS, require_columns
 
 MIN_LENGTH, MAX_LENGTH = 5, 200
@@ -73,21 +73,23 @@ def stratified_split(
     """Add ``split``: exact percentages within each label, in seeded order."""
     if sum(p for _, p in parts) != 100:
         raise ValueError("split percentages must add up to 100")
-    placed = digest_position(df, key, seed, [label], "__position", total="__size")
-    percent = F.col("__position") * 100
-    limit, split = 0, None
-    for name, share in parts:
-        limit += share
-        reached = percent < F.col("__size") * limit
-        split = F.when(reached, name) if split is None else split.when(reached, name)
-    return placed.withColumn("split", split).drop("__position", "__size")
+
+    def part_of(position: Column, size: Column) -> Column:
+        limit, part = 0, F
+        for name, share in parts:
+            limit += share
+            part = part.when(position * 100 < size * limit, name)
+        return part
+
+    return digest_parts(df, key, seed, part_of, [label], "split")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """Exactly min(n, size) rows without replacement, the same for the same seed."""
     if n < 0:
         raise ValueError("n must not be negative")
-    return digest_position(df, key, seed, name="__position").where(F.col("__position") < n).drop("__position")
+    taken = digest_parts(df, key, seed, lambda position, _: position < n, name="__taken")
+    return taken.where("__taken").drop("__taken")
 
 
 def augment_pairs(
