@@ -12,19 +12,17 @@ Predict = Callable[[pd.DataFrame], Sequence[float]]
 
 
 def predict_rows(predict: Predict, inputs: pd.DataFrame) -> tuple[list[float | None], list[str | None]]:
-    """Score a batch; if the batch fails, its rows one by one, keeping the errors."""
+    """Score a batch; a failing batch is halved until only the failing rows are left."""
     try:
         return [None if pd.isna(s) else float(s) for s in predict(inputs)], [None] * len(inputs)
-    except Exception:
-        scores, errors = [], []
-        for i in range(len(inputs)):
-            try:
-                scores.append(float(predict(inputs.iloc[i : i + 1])[0]))
-                errors.append(None)
-            except Exception as e:
-                scores.append(None)
-                errors.append(f"{type(e).__name__}: {e}")
-        return scores, errors
+    except Exception as e:
+        if len(inputs) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    half = len(inputs) // 2
+    (scores, errors), (more, more_errors) = (
+        predict_rows(predict, part) for part in (inputs.iloc[:half], inputs.iloc[half:])
+    )
+    return scores + more, errors + more_errors
 
 
 def score_models(

@@ -373,7 +373,7 @@ def partner_queries(spark, d) -> DataFrame:
 @query
 def hits_at_k(spark, d):
     wide = B.hits(spark, d, 50)
-    ks = (1, 5, 50)
+    ks = (1, 3, 5, 50)
     return rounded(ev.hit_rates(ev.hits_at(partner_queries(spark, d), wide, ks), ks), *[f"top_{k}_accuracy" for k in ks])
 
 

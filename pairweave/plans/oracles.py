@@ -378,7 +378,7 @@ ORACLES: dict[str, str] = {
     "hits_at_k": sql(
         "select count(*) as queries, "
         + ", ".join(
-            r6(f"avg(case when label = 1 and best <= {k} then 1 else 0 end)") + f" as top_{k}_accuracy" for k in (1, 5, 50)
+            r6(f"avg(case when label = 1 and best <= {k} then 1 else 0 end)") + f" as top_{k}_accuracy" for k in (1, 3, 5, 50)
         )
         + " from vpairs left join (select h.query_id, h.item_id, min(rank) as best from hits50 h group by all) "
         "on query_id = id and item_id = b_id",

@@ -137,6 +137,25 @@ def test_model_map_loads_per_task_and_captures_errors(spark, tmp_path):
         model_map(df, load, ["x"], "y").collect()
 
 
+def test_failing_rows_are_found_by_halving():
+    import pandas as pd
+
+    from pairweave.operators.models import predict_rows
+
+    calls = []
+
+    def predict(batch):
+        calls.append(len(batch))
+        if (batch["x"] == 700).any():
+            raise ValueError("bad")
+        return batch["x"] * 2.0
+
+    scores, errors = predict_rows(predict, pd.DataFrame({"x": range(1000)}))
+    assert [i for i, e in enumerate(errors) if e] == [700] and scores[700] is None
+    assert [s for i, s in enumerate(scores) if i != 700] == [2.0 * i for i in range(1000) if i != 700]
+    assert len(calls) < 25
+
+
 def test_two_runs_score_like_one(spark, tmp_path):
     source, sink, log = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = T.StructType([T.StructField("id", T.LongType())])

@@ -66,6 +66,8 @@ def test_hot_key_list_is_bounded(spark):
 
 def test_exact_copies_of_a_hot_row_are_spread(spark):
     left = spark.range(0, 4000, 1, 16).select(F.lit(5).alias("k"))
+    nulls = left.select(F.lit(None).cast("int").alias("k"))
+    assert skew_join(nulls, left.distinct(), "k", ["k"], probe=left, how="left").count() == 4000
     right = spark.createDataFrame([(5, 1)], "k int, v int")
     joined = skew_join(left, right, "k", ["k"], probe=left, salts=8)
     assert joined.count() == 4000
