@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairweave.functions.ngrams import ngram_vector
 from pairweave.functions.text import text_key, words
-from pairweave.functions.vectors import clamp01, cosine, norm, scaled_to_unit
+from pairweave.functions.vectors import clamp01, cosine, norm
 from pairweave.operators.joins import skew_join
 
 Embedder = Callable[[DataFrame], DataFrame]
@@ -34,15 +34,18 @@ def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, sample: fl
     """Mean of the unit-length vectors of a text's known words; zero without any.
 
     ``word_vectors``: ``(word, vector)``. Words are counted per text before the
-    join. Frequent words, found on a sample of the texts, are spread over many
-    tasks. The sums are plain columns, so they are combined before the last shuffle.
+    join, which carries the vectors as given and their lengths. Frequent words,
+    found on a sample of the texts, are spread over many tasks. The sums are
+    plain columns, so they are combined before the last shuffle.
     """
     each_word = lambda df: df.select("text_key", F.explode(words("text")).alias("word"))
     counted = each_word(texts).groupBy("text_key", "word").agg(F.count(F.lit(1)).alias("n"))
-    units = word_vectors.where(norm("vector") > 0).select("word", scaled_to_unit("vector").alias("vector"))
-    joined = skew_join(counted, units, "word", ["text_key"], probe=each_word(texts.sample(sample, 7)))
-    sums = joined.groupBy("text_key").agg(
-        F.sum("n").alias("total"), *[F.sum(F.col("n") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
+    usable = word_vectors.where(F.exists("vector", lambda x: x != 0))
+    measured = usable.select("word", "vector", norm("vector").alias("length"))
+    joined = skew_join(counted, measured, "word", ["text_key"], probe=each_word(texts.sample(sample, 7)))
+    weighted = joined.select("text_key", "n", (F.col("n") / F.col("length")).alias("w"), "vector")
+    sums = weighted.groupBy("text_key").agg(
+        F.sum("n").alias("total"), *[F.sum(F.col("w") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
     )
     means = F.transform(F.array(*[f"s{i}" for i in range(dim)]), lambda s: s / F.col("total"))
     known = sums.select("text_key", means.alias("vector"))

@@ -141,7 +141,15 @@ def digest_parts(
     return settled.unionByName(ranked.select(*df.columns, part.alias(name)))
 
 
-def global_index(df: DataFrame, key: str, name: str = "global_index") -> DataFrame:
+def range_parts(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Rows cut into key ranges and sorted inside; the session decides how many without a number."""
+    cut = df.repartitionByRange(key) if partitions is None else df.repartitionByRange(partitions, key)
+    return cut.sortWithinPartitions(key)
+
+
+def global_index(
+    df: DataFrame, key: str, name: str = "global_index", partitions: int | None = None
+) -> DataFrame:
     """Contiguous 0-based row number in the order of a unique key.
 
     One range shuffle sorts the rows; each row then knows its partition and its
@@ -149,7 +157,7 @@ def global_index(df: DataFrame, key: str, name: str = "global_index") -> DataFra
     data and cannot change when a task runs again. What is left is to add the
     number of rows in earlier partitions, a table of one row per partition.
     """
-    ordered = df.repartitionByRange(key).sortWithinPartitions(key)
+    ordered = range_parts(df, key, partitions)
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     stored = materialize(
         ordered.select("*", F.spark_partition_id().alias("__part"), place.alias("__place")), "ordered"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairweave.operators.eval_retrieval import METRICS
+from pairweave.operators.ordering import range_parts
 
 EVALUATION = T.StructType(
     [
@@ -35,15 +36,19 @@ SUMMARY_HEADERS = {
 
 
 def write_results(
-    df: DataFrame, path: str, index: str = "global_index", chunk_rows: int = 10_000, fmt: str = "csv"
+    df: DataFrame,
+    path: str,
+    index: str = "global_index",
+    chunk_rows: int = 10_000,
+    fmt: str = "csv",
+    partitions: int | None = None,
 ) -> None:
     """Result table in row order, at most ``chunk_rows`` rows per file.
 
     Files take the place of chunk directories, whose number would grow with the
     table; ranges of the index keep the order and let a parquet reader skip files.
     """
-    ordered = df.repartitionByRange(index).sortWithinPartitions(index)
-    writer = ordered.write.mode("overwrite").option("maxRecordsPerFile", chunk_rows)
+    writer = range_parts(df, index, partitions).write.mode("overwrite").option("maxRecordsPerFile", chunk_rows)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", '""')
     writer.format(fmt).save(path)
