@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -63,17 +64,54 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/pairweave-{name}-{uuid.uuid4().hex}"
 
 
+_OWNED: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and scan it back.
 
     Used where several passes read an expensive result: the files outlive lost
-    executors and the plan behind them is cut.
+    executors and the plan behind them is cut. The table belongs to this
+    process: ``discard`` drops it early, and what is left goes when Python ends.
     """
     path = work_path(df.sparkSession, name)
+    _OWNED[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own(spark: SparkSession, path: str) -> str:
+    """Let ``path`` below the shared folder go with this process."""
+    _OWNED[path] = spark
+    return path
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Delete work tables, given as the frames ``materialize`` returned or as paths.
+
+    Only paths that this process owns are deleted; a plan that still reads one of
+    them must not be run any more.
+    """
+    for table in tables:
+        paths = [table] if isinstance(table, str) else [f.rpartition("/")[0] for f in table.inputFiles()[:1]]
+        for path in [p for p in _OWNED if any(q.rstrip("/").endswith(p.partition(":")[2] or p) for q in paths)]:
+            spark = _OWNED.pop(path)
+            jvm = spark._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def _discard_all() -> None:
+    for path in list(_OWNED):
+        try:
+            discard(path)
+        except Exception:  # the JVM may be gone before us; the names tell what is left
+            return
+
+
+atexit.register(_discard_all)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of a few files as many tasks as there are cores.
 
