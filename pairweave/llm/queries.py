@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairweave.llm.minmax_dedup import near_duplicates
+from pairweave.llm.mixing import mix_sources
+from pairweave.llm.token_store import tokenised
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +62,75 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
 )
 def op10(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), size=4)
+
+
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query("op7_token_store")
+def op7(spark, sf_dir):
+    return tokenised(_table(spark, sf_dir, "documents"), public_tokenizer())
+
+
+MIX = """
+    sized as (
+        select doc_id, source, len(regexp_extract_all(coalesce(text, ''), {words})) as size from {table}
+    ), sources as (
+        select source, count(*) as n, sum(size)::bigint as source_size,
+               [3.0::double, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight
+        from sized group by source
+    ), levels as (
+        select *, 2.0::double * source_size as most,
+               (1.5::double * sum(source_size) over ()
+                - coalesce(sum(2.0::double * source_size) over (f rows between unbounded preceding and 1 preceding), 0))
+               / sum(weight) over (f rows between current row and unbounded following) as level
+        from sources window f as (order by 2.0::double * source_size / weight, source nulls last)
+    ), targets as (
+        select source, source_size, most, weight,
+               least(coalesce((select arg_min(l.level, l.most / l.weight) from levels l where l.level * l.weight <= l.most) * weight, most), most) as target
+        from levels
+    ), plan as (
+        select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as whole,
+               target - (case when source_size > 0 then floor(target / source_size)::bigint else 0 end) * source_size as words
+        from targets
+    ), counted as (
+        select s.source, s.size, count(*)::double as k, any_value(p.words) as words
+        from sized s join plan p on s.source is not distinct from p.source where s.size > 0 group by s.source, s.size
+    ), larger as (
+        select *, coalesce(sum(size * k) over (d rows between unbounded preceding and 1 preceding), 0) as above,
+               sum(size::double * size * k) over (d rows between current row and unbounded following) as squares
+        from counted window d as (partition by source order by size desc)
+    ), factors as (
+        select source, min(size) filter (where sure) as sure_from, coalesce(sum(size * k) filter (where sure), 0) as sure_words,
+               sum(size::double * size * k) filter (where not sure) as open_squares
+        from (select *, size * (words - above) >= squares and words > 0 as sure from larger) group by source
+    ), ready as (
+        select s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.words - coalesce(f.sure_words, 0) as rest,
+               coalesce(s.size >= f.sure_from, false) as sure,
+               least((p.words - coalesce(f.sure_words, 0)) / f.open_squares * s.size, 1.0::double) as chance,
+               (('0x' || substr(md5('9:' || s.doc_id), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u
+        from sized s join plan p on s.source is not distinct from p.source
+        left join factors f on s.source is not distinct from f.source
+    ), ranked as (
+        select *, sum(size) over (partition by source, not sure and rest > 0 and size > 0
+                                  order by u * (1 - chance) / ((1 - u) * chance), doc_id rows unbounded preceding) as upto
+        from ready
+    ), mixed as (
+        select doc_id, size::bigint as size, source_size, target,
+               case when size = 0 then 0 else whole + (sure or (rest > 0 and upto - size / 2.0::double <= rest))::int end as copies
+        from ranked
+    )
+"""
+
+
+@_query(
+    "op9_pareto_mixing",
+    "with " + MIX.format(words=WORDS, table="documents")
+    + "select doc_id, size, source_size, target, copies::bigint as copies, (copies * size)::bigint as taken from mixed",
+)
+def op9(spark, sf_dir):
+    return mix_sources(_table(spark, sf_dir, "documents"))
