@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pairweave.llm.minmax_dedup import near_duplicates
 from pairweave.llm.mixing import mix_sources
 from pairweave.llm.token_store import tokenised
+from pairweave.llm.warc_store import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +135,25 @@ MIX = """
 )
 def op9(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op5_warc_store",
+    """
+    with payloads as (
+        select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages
+    ), digests as (
+        select page_id, body, strlen(body) as n, array_to_string([
+            substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::bigint >> (5 * (3 - k % 4))) & 31)::integer, 1)
+            for k in range(32)], '') as digest
+        from payloads
+    ), firsts as (select *, min(page_id) over (partition by body) as first_id from digests)
+    select page_id, n::bigint as payload_bytes, digest as payload_digest,
+           case when page_id = first_id then 'response' else 'revisit' end as record_type,
+           case when page_id = first_id then null else first_id end as refers_to
+    from firsts
+    """,
+)
+def op5(spark, sf_dir):
+    return archived(_table(spark, sf_dir, "pages"))
