@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairweave.llm.decontaminate import find_leaks
 from pairweave.llm.minmax_dedup import near_duplicates
 from pairweave.llm.mixing import mix_sources
 from pairweave.llm.token_store import tokenised
@@ -157,3 +158,8 @@ def op9(spark, sf_dir):
 )
 def op5(spark, sf_dir):
     return archived(_table(spark, sf_dir, "pages"))
+
+
+@_query("op3_decontamination")
+def op3(spark, sf_dir):
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
