@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.llm.texts import WordHasher, text_views
-from pairweave.session import materialize
+from pairweave.session import discard, materialize
 
 SEED_WORDS = 3
 RARE_SHARE = 1e-3  # a seed in at most this share of all documents is rare
@@ -169,6 +170,19 @@ def _finder(block, least: float):
     return run
 
 
+def _cleaner(block, least: float, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, hasher = block.value, leak_hasher()
+        for batch in batches:
+            clean = [
+                view is None or next(leaks_in(b, hasher.words(view), least), None) is None
+                for view in lowered(batch.column(place))
+            ]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
 def rare_seeds(block: Block, docs: int, frequency: np.ndarray, share: float) -> np.ndarray:
     """Rows of the block's seeds that are rare in the corpus, or rare for their item.
 
@@ -213,29 +227,56 @@ def find_leaks(
     spark = docs.sparkSession
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, item_id long, score double, first_word long, last_word long"
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    # bytes bound words; an item longer than a block stands alone in one
-    items = materialize(items.where("text is not null"), "items")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-total // (4 * block_words)))
     found = None
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        if not rows:
-            continue
-        block = Block([r["item_id"] for r in rows], [r["text"] for r in rows])
-        sent = spark.sparkContext.broadcast(block)
-        counts = texts.select("text").mapInArrow(_counter(sent), "kind long, docs long")
-        counted = counts.groupBy("kind").agg(F.sum("docs").alias("docs")).collect()
-        frequency, n_docs = np.zeros(len(block.kinds), np.int64), 0
-        for r in counted:
-            if r["kind"] < 0:
-                n_docs = r["docs"]
-            else:
-                frequency[r["kind"]] = r["docs"]
-        block.keep(rare_seeds(block, n_docs, frequency, share))
-        leaks = texts.mapInArrow(_finder(spark.sparkContext.broadcast(block), least), schema)
+    for block in _blocks(benchmark, item_id, item_text, block_words):
+        sent = _rare_block(texts, "text", block, share)
+        leaks = texts.mapInArrow(_finder(sent, least), schema)
         found = leaks if found is None else found.unionByName(leaks)
     if found is None:
         found = spark.createDataFrame([], schema)
     return found.withColumnRenamed("id", id)
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    share: float = RARE_SHARE,
+    least: float = LEAST_SCORE,
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Rows of ``docs`` that leak no test item, all columns as they were."""
+    for block in _blocks(benchmark, item_id, item_text, block_words):
+        sent = _rare_block(docs, text, block, share)
+        docs = docs.mapInArrow(_cleaner(sent, least, docs.columns.index(text)), docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[Block]:
+    """All items, a bounded number of words at a time; a longer item stands alone."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    items = materialize(items.where("text is not null"), "items")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # bytes bound words
+    n_blocks = max(1, -(-total // (4 * block_words)))
+    for k in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
+        if rows:
+            yield Block([r["item_id"] for r in rows], [r["text"] for r in rows])
+    discard(items)
+
+
+def _rare_block(docs: DataFrame, text: str, block: Block, share: float):
+    """The block as a broadcast, its seeds reduced to those that are rare in ``docs``."""
+    spark = docs.sparkSession
+    counts = docs.select(text).mapInArrow(_counter(spark.sparkContext.broadcast(block)), "kind long, docs long")
+    frequency, n_docs = np.zeros(len(block.kinds), np.int64), 0
+    for r in counts.groupBy("kind").agg(F.sum("docs").alias("docs")).collect():
+        if r["kind"] < 0:
+            n_docs = r["docs"]
+        else:
+            frequency[r["kind"]] = r["docs"]
+    rare = copy.copy(block)
+    rare.keep(rare_seeds(block, n_docs, frequency, share))
+    return spark.sparkContext.broadcast(rare)

@@ -151,3 +151,15 @@ def mix_sources(
         F.col("id").alias(id), "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken")
     )
 
+
+def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, all columns as they were.
+
+    Rows without an id are told apart by their text; equal ones share a decision.
+    """
+    nameless = F.concat(F.lit("~"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id).cast("string"), nameless))
+    taken = mix_sources(keyed, "__key", text, source, **options).where("copies > 0")
+    taken = taken.groupBy("__key").agg(F.max("copies").alias("__copies"))
+    repeated = keyed.join(taken, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*docs.columns)

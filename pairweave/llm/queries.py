@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairweave.llm.decontaminate import find_leaks
 from pairweave.llm.minmax_dedup import near_duplicates
 from pairweave.llm.mixing import mix_sources
 from pairweave.llm.token_store import tokenised
+from pairweave.llm.toxicity import fit as fit_toxicity
+from pairweave.llm.toxicity import toxicity
 from pairweave.llm.warc_store import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +166,15 @@ def op5(spark, sf_dir):
 @_query("op3_decontamination")
 def op3(spark, sf_dir):
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def held_out() -> F.Column:
+    """Documents that no model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@_query("op6_toxicity")
+def op6(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -30,7 +30,7 @@ from pairweave.llm.texts import WordHasher, groups, text_views
 from pairweave.session import own, work_path
 
 BITS = 8
-MAGIC = b"DACTOK01"
+MAGIC = b"DACTOK02"
 END_ID = 2
 IMAGE_TOKENS = 1 << 20  # an image is closed once it holds this many ids; one document is never cut
 KNOWN_WORDS = 1 << 21  # distinct words a Python worker remembers between batches
@@ -56,9 +56,10 @@ def encode_levels(ids: np.ndarray, bits: int = BITS) -> list[tuple[np.ndarray, n
         rest = rest[more] >> np.uint64(bits)
 
 
-def pack_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: int = BITS) -> bytes:
+def pack_image(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, bits: int = BITS, nameless: int = 0) -> bytes:
+    """The first ``nameless`` documents have no id."""
     levels = encode_levels(ids, bits)
-    out = [MAGIC, struct.pack("<IIQQ", bits, len(levels), len(doc_ids), len(ids))]
+    out = [MAGIC, struct.pack("<IIQQQ", bits, len(levels), len(doc_ids), nameless, len(ids))]
     for chunks, words, ranks in levels:
         out += [struct.pack("<QQ", len(chunks), len(words)), chunks.tobytes(), b"\0" * (-chunks.nbytes % 8)]
         out += [words.tobytes(), ranks.tobytes(), b"\0" * (-ranks.nbytes % 8)]
@@ -72,9 +73,9 @@ class Image:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token image")
-        self.bits, n_levels, n_docs, self.n_tokens = struct.unpack_from("<IIQQ", data, 8)
+        self.bits, n_levels, n_docs, self.nameless, self.n_tokens = struct.unpack_from("<IIQQQ", data, 8)
         kind = np.dtype(np.uint8 if self.bits <= 8 else "<u2")
-        at, self.levels = 32, []
+        at, self.levels = 40, []
         for _ in range(n_levels):
             n, n_words = struct.unpack_from("<QQ", data, at)
             at += 16
@@ -241,12 +242,14 @@ def _writer(path: str, end_id: int, image_tokens: int):
         tokens, part, skip, held, n = _worker_tokens(path), 0, 0, [], 0
 
         def close() -> pa.RecordBatch:
-            docs, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            values = [docs[0], docs[-1], part, skip, len(ids), pack_image(docs, counts, ids)]
+            docs, named, counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            image = pack_image(docs, counts, ids, nameless=int((~named).sum()))
+            values = [docs[0] if named[0] else None, docs[-1] if named[-1] else None, part, skip, len(ids), image]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            docs = batch.column(0).fill_null(0).to_numpy()
             for a, b in groups(batch.column(1)):
                 flat, counts = tokens.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32)
@@ -255,7 +258,8 @@ def _writer(path: str, end_id: int, image_tokens: int):
                 for k, end in enumerate(np.cumsum(counts).tolist()):
                     n += int(counts[k])
                     if n >= image_tokens or k == len(counts) - 1:
-                        held.append((docs[a + first : a + k + 1], counts[first : k + 1], ids[done:end]))
+                        rows = slice(a + first, a + k + 1)
+                        held.append((docs[rows], named[rows], counts[first : k + 1], ids[done:end]))
                         first, done = k + 1, end
                     if n >= image_tokens:
                         yield close()
@@ -279,12 +283,11 @@ def write_tokens(
 
     ``tokenizer`` is the path of a byte-level tokenizer file, the same on every
     executor. One range shuffle sorts the documents. Null text counts as empty;
-    a document always ends with ``end_id``. Rows with a null id are refused: they
-    have no place in the order. Rows repeated under one id are written one after
+    a document always ends with ``end_id``. Documents without an id come first,
+    ordered by their text. Rows repeated under one id are written one after
     the other. Extra columns are not read; an empty table gives no image.
     """
-    key = F.when(F.col(id).isNull(), F.raise_error(F.lit("a document without an id"))).otherwise(F.col(id).cast("long"))
-    ordered = docs.select(key.alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     schema = "first_doc long, last_doc long, part long, skip long, n_tokens long, image binary"
     placed = ordered.mapInArrow(_writer(tokenizer, end_id, image_tokens), schema)
     ranged = placed.withColumn("range", F.spark_partition_id())
@@ -299,7 +302,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             image = Image(data[k].as_py())
             crcs = [zlib.crc32(image.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(image.starts, image.starts[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(image.doc_ids), pa.array(start + image.starts[:-1]), pa.array(np.diff(image.starts)), pa.array(crcs, pa.int64())],
+                [pa.array(image.doc_ids, mask=np.arange(len(image.doc_ids)) < image.nameless), pa.array(start + image.starts[:-1]), pa.array(np.diff(image.starts)), pa.array(crcs, pa.int64())],
                 ["id", "start", "n_tokens", "ids_crc32"],
             )
 

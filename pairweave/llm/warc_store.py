@@ -32,9 +32,9 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " ")
 
 
-def record_id(id: Column) -> Column:
-    """A urn of the page id: the same page has the same record in every run."""
-    h = F.md5(F.concat(F.lit("page:"), id.cast("string")))
+def record_id(id: Column, address: Column) -> Column:
+    """A urn of the page id, or of the payload where there is none: the same in every run."""
+    h = F.md5(F.coalesce(F.concat(F.lit("page:"), id.cast("string")), F.concat(F.lit("payload:"), address)))
     cut = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in cut]), F.lit(">"))
 
@@ -56,17 +56,16 @@ def write_archive(
     the one with the smallest page id is a response, the others are revisits that
     name it; smaller ones are all responses.
 
-    A null html is an empty payload, a null url an empty target URI. Rows with a
-    null id are refused, as records need a name. Rows repeated under one id give
+    A null html is an empty payload, a null url an empty target URI. A page
+    without an id is never the first while another has one. Rows repeated under one id give
     one record each, of the same type. An empty table gives an empty archive.
     Only ids and digests are shuffled to find the first page of a payload, and
     counts are combined before the shuffle, so a payload of very many pages is
     one small row per task; its pages are joined by a skew-aware join. Payload
     bytes are shuffled once, already reduced to one per task.
     """
-    key = F.when(F.col(id).isNull(), F.raise_error(F.lit("a page without an id"))).otherwise(F.col(id).cast("long"))
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(key.alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select("id", "url", "payload", F.sha2("payload", 256).alias("address"))
 
     stored = rows.groupBy("address").agg(F.first("payload").alias("payload"))
@@ -79,13 +78,13 @@ def write_archive(
     )
     first = rows.groupBy("address").agg(F.min("id").alias("first_id"))
     named = light.join(first, "address")
-    revisit = (F.col("n_bytes") >= least_bytes) & (F.col("id") != F.col("first_id"))
+    revisit = (F.col("n_bytes") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first_id"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     uri = _one_line(F.col("url"))
     lines = [
         F.lit(VERSION + BREAK),
         _field("WARC-Type", kind),
-        _field("WARC-Record-ID", record_id(F.col("id"))),
+        _field("WARC-Record-ID", record_id(F.col("id"), F.col("address"))),
         _field("WARC-Date", F.lit(date)),
         _field("WARC-Target-URI", uri),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "sha1")),
@@ -93,11 +92,11 @@ def write_archive(
             revisit,
             F.concat(
                 _field("WARC-Profile", F.lit(IDENTICAL)),
-                _field("WARC-Refers-To", record_id(F.col("first_id"))),
+                _field("WARC-Refers-To", record_id(F.col("first_id"), F.col("address"))),
                 _field("WARC-Refers-To-Page", F.col("first_id").cast("string")),
             ),
         ).otherwise(F.lit("")),
-        _field("WARC-Page", F.col("id").cast("string")),
+        F.coalesce(_field("WARC-Page", F.col("id").cast("string")), F.lit("")),
         _field("Content-Type", F.lit("text/html; charset=UTF-8")),
         _field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes")).cast("string")),
         F.lit(BREAK),

@@ -81,8 +81,11 @@ def test_written_and_read_back(spark, tokenizer, tmp_path):
         ts.read_token(spark, target, len(every))
 
 
-def test_empty_table_and_null_id(spark, tmp_path):
+def test_empty_table_and_null_id(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ts.tokenised(empty, public_tokenizer()).collect() == []
-    with pytest.raises(Exception, match="without an id"):
-        ts.tokenised(spark.createDataFrame([(None, "x")], "doc_id long, text string"), public_tokenizer()).collect()
+    rows = [(None, "x y"), (3, "z"), (None, None), (None, "a"), (3, "b")]
+    got = ts.tokenised(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizer()).collect()
+    assert [(r.doc_id, r.start, r.n_tokens) for r in sorted(got, key=lambda r: r.start)] == [
+        (None, 0, 1), (None, 1, 2), (None, 3, 3), (3, 6, 2), (3, 8, 2),
+    ]

@@ -75,5 +75,8 @@ def test_repeated_rows_null_id_and_empty_table(spark):
     got = sorted((r.page_id, r.record_type, r.refers_to or 0) for r in ws.archived(pages(spark, twice)).collect())
     assert got == [(5, "response", 0), (5, "response", 0), (6, "revisit", 5)]
     assert ws.archived(pages(spark, [])).collect() == []
-    with pytest.raises(Exception, match="without an id"):
-        ws.archived(pages(spark, [(None, "u", "a", "", 0)])).collect()
+    nameless = [(None, None, "a", "", 0), (8, "u", "a", "", 0), (None, "u", "b", "", 0), (None, "u", "b", "", 0)]
+    got = [(r.page_id, r.record_type, r.refers_to) for r in ws.archived(pages(spark, nameless)).collect()]
+    assert sorted(got, key=repr) == [
+        (8, "response", None), (None, "response", None), (None, "response", None), (None, "revisit", 8),
+    ]
