@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairweave.llm.cap_filters import near_vectors
 from pairweave.llm.decontaminate import find_leaks
 from pairweave.llm.minmax_dedup import near_duplicates
 from pairweave.llm.mixing import mix_sources
@@ -178,3 +179,28 @@ def op6(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
     return toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@_query(
+    "op4_cap_filters",
+    """
+    with recursive able as (
+        select vec_id, embedding::double[] as v from embeddings
+        where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), sides as (
+        select x.vec_id as a, y.vec_id as b from able x join able y
+        on x.vec_id <> y.vec_id and len(x.v) = len(y.v) and list_cosine_similarity(x.v, y.v) >= 0.9
+    ), reach as (
+        select a as id, b as other from sides
+        union
+        select r.id, s.b from reach r join sides s on s.a = r.other
+    ), named as (select id, least(id, min(other)) as component_id from reach group by id
+    ), counted as (select a as id, count(*) as n from sides group by a)
+    select e.vec_id, coalesce(c.n, 0)::bigint as n_links, coalesce(m.component_id, e.vec_id) as component_id,
+           coalesce(m.component_id, e.vec_id) = e.vec_id as kept
+    from embeddings e left join counted c on c.id = e.vec_id left join named m on m.id = e.vec_id
+    """,
+)
+def op4(spark, sf_dir):
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
