@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from pairweave.llm.cap_filters import near_vectors
 from pairweave.llm.decontaminate import find_leaks
+from pairweave.llm.importance import resample
+from pairweave.llm.language_id import fit as fit_language
+from pairweave.llm.language_id import identify
 from pairweave.llm.minmax_dedup import near_duplicates
 from pairweave.llm.mixing import mix_sources
 from pairweave.llm.token_store import tokenised
@@ -204,3 +207,17 @@ def op6(spark, sf_dir):
 )
 def op4(spark, sf_dir):
     return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, fit_language(docs, F.col("doc_id").isNotNull() & ~held_out()))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query("op8_importance_resampling")
+def op8(spark, sf_dir):
+    good = _table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id")
+    found = resample(_table(spark, sf_dir, "documents"), good)
+    return found.select("doc_id", held_out().alias("held_out"), "n_grams", "log_weight", "rank_value", "selected")
