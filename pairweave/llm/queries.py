@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairweave.llm.cap_filters import near_vectors
 from pairweave.llm.decontaminate import find_leaks
+from pairweave.llm.html_text import extract
 from pairweave.llm.importance import resample
 from pairweave.llm.language_id import fit as fit_language
 from pairweave.llm.language_id import identify
@@ -221,3 +222,8 @@ def op8(spark, sf_dir):
     good = _table(spark, sf_dir, "labels").where((F.col("quality") == 1) & ~held_out()).select("doc_id")
     found = resample(_table(spark, sf_dir, "documents"), good)
     return found.select("doc_id", held_out().alias("held_out"), "n_grams", "log_weight", "rank_value", "selected")
+
+
+@_query("op1_html_text")
+def op1(spark, sf_dir):
+    return extract(_table(spark, sf_dir, "pages"))
