@@ -1,9 +1,11 @@
-"""Approximate retrieval: k-means cells, probing the cells nearest to a query.
-
-The index is a table of ``(item_id, vector, cell)`` plus the centroids. Only
-the centroids, cells x dimensions numbers, are broadcast. Cells are uneven, so
-a cell is cut into sub-blocks by its measured size on both the item and the
-query side; scoring then works on bounded blocks as in the exact grid.
+"""Approximate retrieval: cells around centroids, walking the cells nearest to a query.
+
+The index is a table of ``(item_id, vector, cell)`` plus the centroids, trained
+by k-means or given. A query walks its nearest cells until it has seen enough of
+them and they hold enough items, so it always gets its k hits. Centroids are
+broadcast while they fit a checked size; beyond it the nearest cells come from
+the block grid of exact retrieval. Cells are uneven, so a cell is cut into
+sub-blocks by its measured size on both the item and the query side.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairweave.functions.vectors import check_metric, scaled_to_unit
@@ -28,11 +31,14 @@ from pairweave.operators.retrieve import (
     block_rows_for,
     cell_kernel,
     check_k,
+    grid_topk,
     matrix_of,
+    measured,
     unit_rows,
 )
+from pairweave.session import discard, materialize
 
-TRAINING_ROWS_PER_CELL = 1_000
+CENTROID_SCHEMA = "cell int, vector array<double>"
 
 
 @dataclass(frozen=True)
@@ -42,27 +48,27 @@ class VectorIndex:
     cells: int
 
 
-def nearest_cells(df: DataFrame, centroids: np.ndarray, id_name: str, probes: int) -> DataFrame:
-    """One row per vector and probed cell, vectors kept."""
-    shared = df.sparkSession.sparkContext.broadcast(centroids)
+def nearest_broadcast(df: DataFrame, id_name: str, numbers: np.ndarray, centers: np.ndarray, sizes, least: int, items: int):
+    """One row per vector and walked cell, in one pass over ``df``."""
+    shared = df.sparkSession.sparkContext.broadcast((numbers, centers, sizes))
     schema = f"{id_name} long, vector array<double>, cell int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
+        names, c, held = shared.value
         half = 0.5 * np.einsum("ij,ij->i", c, c)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             vectors = unit_rows(matrix_of(batch.column(1)))
-            distance = half[None, :] - vectors @ c.T
-            near = np.argsort(distance, axis=1, kind="stable")[:, :probes]
-            width = near.shape[1]
-            rows = np.repeat(np.arange(batch.num_rows), width)
+            order = np.argsort(half[None, :] - vectors @ c.T, axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            walked = (np.arange(len(names))[None, :] < least) | (before < items)
+            rows = np.repeat(np.arange(batch.num_rows), walked.sum(axis=1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows)),
                     batch.column(1).cast(pa.list_(pa.float64())).take(pa.array(rows)),
-                    pa.array(near.ravel().astype("i4")),
+                    pa.array(names[order[walked]].astype("i4")),
                 ],
                 names=[id_name, "vector", "cell"],
             )
@@ -70,11 +76,60 @@ def nearest_cells(df: DataFrame, centroids: np.ndarray, id_name: str, probes: in
     return df.mapInArrow(run, schema)
 
 
-def check_centroids(centers: np.ndarray) -> np.ndarray:
-    """Centroids go to every task, so their size is limited like that of query vectors."""
-    if centers.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"{len(centers)} centroids take {centers.nbytes} bytes, limit {BROADCAST_BYTES}")
-    return centers
+def nearest_grid(df: DataFrame, id_name: str, centroids: DataFrame, sizes: DataFrame | None, least: int, items: int):
+    """The same for any number of centroids.
+
+    The nearest centroid has the largest ``v.c - |c|^2 / 2``: a dot product once
+    both sides have one component more. Every counted cell holds an item, so no
+    walk is longer than ``max(least, items)`` cells.
+    """
+    longest = max(least, items)
+    unit = scaled_to_unit("vector")
+    half = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x) / -2
+    asked = df.select(F.col(id_name).alias("query_id"), F.concat(unit, F.array(F.lit(1.0))).alias("vector"))
+    cells = centroids.select(F.col("cell").cast("long").alias("item_id"), F.concat("vector", F.array(half)).alias("vector"))
+    n, width = measured(asked)
+    near = grid_topk(asked, cells, longest, "dot", False, n, block_rows_for(width))
+    near = near.select(F.col("query_id").alias(id_name), "rank", F.col("item_id").cast("int").alias("cell"))
+    if sizes is not None:
+        order = W.partitionBy(id_name).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+        counted = near.join(sizes, "cell").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+        near = counted.where((F.col("rank") <= least) | (F.col("before") < items))
+    return df.join(near.select(id_name, "cell"), id_name).select(id_name, F.col("vector").cast("array<double>").alias("vector"), "cell")
+
+
+def nearest_cells(
+    df: DataFrame,
+    id_name: str,
+    centroids: DataFrame,
+    sizes: DataFrame | None = None,
+    least: int = 1,
+    items: int = 0,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Cells that each vector walks: ``least`` of them, and more until they hold ``items`` items.
+
+    Without ``sizes`` that is the nearest cells only. What is broadcast is
+    checked, whether the centroids were trained, loaded or handed in.
+    """
+    if sizes is not None:
+        centroids = centroids.join(sizes, "cell")
+    n, width = measured(centroids)
+    if n * (width + 2) * 8 > broadcast_bytes:
+        return nearest_grid(df, id_name, centroids.select("cell", "vector"), sizes, least, items)
+    rows = centroids.orderBy("cell").toArrow()
+    held = rows["n"].to_numpy() if sizes is not None else np.zeros(n, "i8")
+    return nearest_broadcast(df, id_name, rows["cell"].to_numpy(), matrix_of(rows["vector"]), held, least, items)
+
+
+def trained_centroids(items: DataFrame, cells: int, seed: int, share: float = 1.0) -> DataFrame:
+    """k-means over all items, or over a ``share`` of them that the caller chooses."""
+    rows = items if share >= 1.0 else items.where(F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30))
+    training = materialize(rows.select(array_to_vector(scaled_to_unit("vector")).alias("features")), "training")
+    model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    discard(training)
+    return items.sparkSession.createDataFrame(centers, CENTROID_SCHEMA)
 
 
 def build_index(
@@ -84,36 +139,34 @@ def build_index(
     vector: str = "embedding",
     seed: int = 42,
     path: str | None = None,
+    centroids: DataFrame | None = None,
+    training_share: float = 1.0,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> VectorIndex:
-    """Train the cells and assign every item; with ``path`` the index is stored.
+    """Assign every item to its nearest centroid; with ``path`` the index is stored there.
 
-    Training sees an even sample once the corpus has more rows than the cells
-    need; the assignment always covers every item.
+    ``centroids``, ``(cell, vector)`` of any number, take the place of training.
+    The assignment is written once either way.
     """
     items = as_items(corpus, item_id, vector)
-    total = items.count()
-    fraction = min(1.0, cells * TRAINING_ROWS_PER_CELL / max(1, total))
-    sample = items if fraction >= 1.0 else items.sample(fraction, seed)
-    training = sample.select(array_to_vector(scaled_to_unit("vector")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
-    centers = check_centroids(np.array([np.asarray(c, "f8") for c in model.clusterCenters()]))
     spark = corpus.sparkSession
-    centroids = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell int, vector array<double>"
-    )
-    assigned = nearest_cells(items, centers, "item_id", 1)
-    if path is not None:
-        assigned.repartition("cell", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.mode("overwrite").partitionBy(
-            "cell"
-        ).parquet(f"{path}/items")
-        centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-        return load_index(spark, path)
-    return VectorIndex(assigned, centroids, len(centers))
+    if centroids is None:
+        centroids = trained_centroids(items, cells, seed, training_share)
+    given = centroids.select(F.col("cell").cast("int").alias("cell"), F.col("vector").cast("array<double>").alias("vector"))
+    centroids = materialize(given, "centroids") if path is None else given
+    assigned = nearest_cells(items, "item_id", centroids, broadcast_bytes=broadcast_bytes)
+    if path is None:
+        return VectorIndex(materialize(assigned, "index"), centroids, centroids.count())
+    assigned.repartition("cell", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.mode("overwrite").partitionBy(
+        "cell"
+    ).parquet(f"{path}/items")
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> VectorIndex:
     items = spark.read.schema("item_id long, vector array<double>, cell int").parquet(f"{path}/items")
-    centroids = spark.read.schema("cell int, vector array<double>").parquet(f"{path}/centroids")
+    centroids = spark.read.schema(CENTROID_SCHEMA).parquet(f"{path}/centroids")
     return VectorIndex(items, centroids, centroids.count())
 
 
@@ -127,31 +180,36 @@ def index_topk(
     metric: str = "cosine",
     exclude_self: bool = False,
     block_rows: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Top-k among the items of the ``probes`` cells nearest to each query.
+    """Top-k among the items of the cells nearest to each query.
 
-    Exact when ``probes`` reaches the number of cells.
+    A query walks ``probes`` non-empty cells, and further ones until they hold k
+    items besides itself; it gets min(k, items) hits. Exact when ``probes``
+    reaches the number of cells.
     """
     check_metric(metric)
     check_k(k)
-    rows = index.centroids.orderBy("cell").toArrow()
-    centers = matrix_of(rows["vector"])
-    block_rows = block_rows or block_rows_for(centers.shape[1])
-    left = nearest_cells(as_queries(queries, query_id, vector), centers, "query_id", probes)
-    right = index.items
-    blocks = lambda counted, name: counted.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name)
+    width = measured(index.centroids)[1]
+    block_rows = block_rows or block_rows_for(width)
+    sizes = materialize(index.items.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
+    asked = as_queries(queries, query_id, vector)
+    walked = nearest_cells(
+        asked, "query_id", index.centroids, sizes, probes, k + int(exclude_self), broadcast_bytes
     )
-    # one row per cell on each side: bounded by the number of cells
-    sizes = F.broadcast(blocks(right, "item_blocks").join(blocks(left, "query_blocks"), "cell"))
-    left = left.join(sizes, "cell").select(
+    left = materialize(walked, "walks")
+    right = index.items
+    blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
+    asked_sizes = left.groupBy("cell").agg(blocks(F.count(F.lit(1))).alias("query_blocks"))
+    both = sizes.select("cell", blocks(F.col("n")).alias("item_blocks")).join(asked_sizes, "cell")
+    left = left.join(both, "cell").select(
         "query_id",
         "vector",
         "cell",
         F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.col("item_blocks") - 1)).alias("cb"),
     )
-    right = right.join(sizes, "cell").select(
+    right = right.join(both, "cell").select(
         "item_id",
         "vector",
         "cell",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairweave.functions.text import digest_number, words
 from pairweave.functions.vectors import cosine, leading
 from pairweave.operators.eval_retrieval import positives_by_class, with_approaches
+from pairweave.operators.index import build_index, index_topk
 from pairweave.operators.rerank import rerank_apply, responses_from_scores
 from pairweave.operators.retrieve import exact_topk
 from pairweave.schemas import SCORE_COLUMNS
@@ -118,6 +119,21 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.join(e, "vec_id").select("word", F.col("embedding").alias("vector"))
 
 
+def class_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(cell, vector)``: the mean vector of each class, to 6 decimals, as given centroids."""
+    placed = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("place", "x"))
+    means = placed.groupBy("label", "place").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+    ordered = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("xs"))
+    return ordered.select(F.col("label").alias("cell"), F.col("xs.x").alias("vector"))
+
+
+def class_index_hits(spark: SparkSession, sf_dir: str, probes: int = 2, path: str | None = None) -> DataFrame:
+    """Top-k of all vectors in an index whose cells lie around the class means."""
+    e = busy_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    index = build_index(e, centroids=class_means(spark, sf_dir), path=path)
+    return index_topk(e, index, TOP_K, probes, exclude_self=True)
+
+
 def classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     return (

@@ -22,7 +22,7 @@ from pairweave.plans.bindings import r6
 from pairweave.plans.workflows import Approach
 from pairweave.plans.workflows import retrieval_experiment as run_experiment
 from pairweave.schemas import SCORE_COLUMNS
-from pairweave.session import materialize, work_path
+from pairweave.session import materialize, own, work_path
 from pairweave.sources import pairs as pair_source
 from pairweave.sources import results
 from pairweave.streaming import scoring
@@ -240,15 +240,12 @@ def exact_topk_blocked(spark, d):
 @query
 def batch_topk(spark, d):
     e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
-    short = e.withColumn("embedding", V.leading("embedding", 32))
-    return rounded(exact_topk(short, short, 7, metric="dot"), "similarity")
+    return rounded(exact_topk(e, e, 7, metric="dot"), "similarity")
 
 
 @query
 def vector_index_topk(spark, d):
-    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
-    index = build_index(e, cells=16, path=work_path(spark, "index"))
-    return rounded(index_topk(e, index, B.TOP_K, probes=4, exclude_self=True), "similarity")
+    return rounded(B.class_index_hits(spark, d, path=own(spark, work_path(spark, "index"))), "similarity")
 
 
 @query
@@ -260,9 +257,15 @@ def vector_index_all_cells(spark, d):
 
 @query
 def vector_index_recall(spark, d):
+    found = recall_against(B.class_index_hits(spark, d), B.hits(spark, d))
+    return rounded(found, "recall")
+
+
+@query
+def vector_index_trained(spark, d):
     e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
-    index = build_index(e, cells=16)
-    return recall_against(index_topk(e, index, B.TOP_K, probes=4, exclude_self=True), B.hits(spark, d))
+    found = index_topk(e, build_index(e, cells=16), B.TOP_K, probes=4, exclude_self=True)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("rank").alias("last_rank"))
 
 
 @query

@@ -49,6 +49,32 @@ def qn(seed: str, key: str) -> str:
 
 
 CTES: dict[str, str] = {
+    "centers": """
+        select label as cell, list(x order by place) as c from (
+            select label, place, round(avg(x), 6) as x from (
+                select label, unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as place from embeddings
+            ) group by label, place
+        ) group by label""",
+    "cell_order": """
+        select vec_id, cell, row_number() over (partition by vec_id order by d, cell) as place from (
+            select vec_id, cell, 0.5 * list_inner_product(c, c)
+                   - list_inner_product(v, c) / sqrt(list_inner_product(v, v)) as d
+            from (select vec_id, embedding::double[] as v from embeddings) cross join centers)""",
+    "assigned": "select vec_id, cell from cell_order where place = 1",
+    "walked": """
+        select vec_id, cell from (
+            select o.vec_id, o.cell, row_number() over w as r, coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0) as before
+            from cell_order o join (select cell, count(*) as n from assigned group by cell) s using (cell)
+            window w as (partition by o.vec_id order by o.place)
+        ) where r <= 2 or before < 6""",
+    "index_hits": """
+        select query_id, rank::int as rank, item_id, similarity from (
+            select *, row_number() over (partition by query_id order by similarity desc, item_id) as rank from (
+                select w.vec_id as query_id, a.vec_id as item_id,
+                       round(list_cosine_similarity(q.embedding::double[], i.embedding::double[]), 12) as similarity
+                from walked w join assigned a on a.cell = w.cell and a.vec_id <> w.vec_id
+                join embeddings q on q.vec_id = w.vec_id join embeddings i on i.vec_id = a.vec_id)
+        ) where rank <= 5""",
     "vpairs": f"""
         select a.vec_id as id, b.vec_id as b_id, a.embedding::double[] as va, b.embedding::double[] as vb,
                (a.label = b.label)::int as label
@@ -305,7 +331,16 @@ ORACLES: dict[str, str] = {
     # retrieval
     "exact_topk": sql(f"select {HIT_ROW} from hits", "hits"),
     "exact_topk_blocked": sql(f"select {HIT_ROW} from hits", "hits"),
-    "batch_topk": sql(f"select {HIT_ROW} from dots", dots=topk_cte(7, 32, "list_inner_product")),
+    "batch_topk": sql(f"select {HIT_ROW} from dots", dots=topk_cte(7, 64, "list_inner_product")),
+    "vector_index_topk": sql(f"select {HIT_ROW} from index_hits", "centers", "cell_order", "assigned", "walked", "index_hits"),
+    "vector_index_recall": sql(
+        f"""select count(*) as exact_hits, count(i.item_id)::bigint as found_hits, {r6('count(i.item_id)::double / count(*)')} as recall
+            from hits h left join index_hits i using (query_id, item_id)""",
+        "hits", "centers", "cell_order", "assigned", "walked", "index_hits",
+    ),
+    "vector_index_trained": sql(
+        f"select vec_id as query_id, least(5, {N} - 1)::bigint as n_hits, least(5, {N} - 1)::int as last_rank from embeddings"
+    ),
     "vector_index_all_cells": sql(f"select {HIT_ROW} from hits", "hits"),
     "retrieval_with_text": sql(
         f"select {HIT_ROW}, coalesce(text, '') as sentence from hits left join documents on doc_id = item_id", "hits"

@@ -105,3 +105,17 @@ def test_vector_against_many_and_text(spark, vectors):
     attached = with_text(hits, texts, "doc")
     assert attached.count() == hits.count()
     assert {r.sentence for r in attached.collect() if r.item_id == 1} <= {"one"}
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_index_walks_until_k_items(spark, vectors, limit):
+    """Tiny cells, given centroids, few probes: every query still gets min(k, n - 1) hits, the same in both forms."""
+    matrix, df = vectors
+    centers = spark.createDataFrame([(i * 3, [float(x) for x in matrix[i]]) for i in range(0, 40, 2) if matrix[i].any()], "cell int, vector array<double>")
+    index = build_index(df, centroids=centers, broadcast_bytes=limit)
+    for k in (1, 7, 50):
+        rows = index_topk(df, index, k, probes=1, exclude_self=True, broadcast_bytes=limit).collect()
+        for i in range(40):
+            assert sorted(r.rank for r in rows if r.query_id == i) == list(range(1, min(k, 39) + 1))
+    everything = index_topk(df, index, 5, probes=40, exclude_self=True, broadcast_bytes=limit)
+    assert rows_of(everything) == rows_of(exact_topk(df, df, 5, exclude_self=True))
