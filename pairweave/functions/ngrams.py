@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 CHARS_AT_ONCE = 4_000_000
 BASE = 31
+PRIME = 8191  # takes all bits of a number into its slot
 
 
 def slot_counts(texts: list[str], n: int, slots: int) -> np.ndarray:
     """Row i counts the n-grams of text i by slot.
 
     The n code points of a gram are digits in base 31; its slot is that number
-    modulo ``slots``.
+    modulo a prime, modulo ``slots``.
     """
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype("i8")
     lengths = np.array([len(t) for t in texts], "i8")
@@ -27,7 +28,7 @@ def slot_counts(texts: list[str], n: int, slots: int) -> np.ndarray:
         return np.zeros((len(texts), slots))
     number = np.zeros(width, "i8")
     for step in range(n):
-        number = number * BASE + codes[step : step + width]
+        number = (number * BASE + codes[step : step + width]) % PRIME
     whole = rows[:width] == rows[n - 1 :]  # grams that do not run into the next text
     cells = rows[:width][whole] * slots + number[whole] % slots
     return np.bincount(cells, minlength=len(texts) * slots).reshape(len(texts), slots).astype("f8")

@@ -64,6 +64,20 @@ def leading(vector: str | Column, n: int) -> Column:
     return F.slice(col(vector), 1, n)
 
 
+def rooted(vector: str | Column) -> Column:
+    """Square root of every component, signs kept: large components weigh less in the cosine."""
+    return F.transform(col(vector), lambda x: F.signum(x.cast("double")) * F.sqrt(F.abs(x.cast("double"))))
+
+
+def absolute_similarity(a: str | Column, b: str | Column) -> Column:
+    """1 minus the sum of absolute differences over the sum of absolute components; 0 for two zero vectors."""
+    a, b = col(a), col(b)
+    size = lambda v: total(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    apart = total(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+    scale = size(a) + size(b)
+    return F.when(F.size(a) == F.size(b), F.when(scale == 0.0, F.lit(0.0)).otherwise(1.0 - apart / scale))
+
+
 def scaled_to_unit(vector: str | Column) -> Column:
     """Divide by the length; a zero vector stays as it is.
 

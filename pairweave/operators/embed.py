@@ -6,18 +6,25 @@ Every text is identified by a digest (``text_key``); embedders take
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.functions.ngrams import ngram_vector
-from pairweave.functions.text import text_key, words
+from pairweave.functions.text import BLANKS, text_key
 from pairweave.functions.vectors import clamp01, cosine, norm
 from pairweave.operators.joins import skew_join
+from pairweave.operators.retrieve import matrix_of
+from pairweave.session import materialize
 
 Embedder = Callable[[DataFrame], DataFrame]
+WORD_BLOCK_BYTES = 64 << 20
+WORD_BLOCKS = 16
 
 
 def zero_vector(dim: int):
@@ -30,23 +37,79 @@ def distinct_texts(df: DataFrame, *columns: str) -> DataFrame:
     return texts.groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text"))
 
 
-def word_average(texts: DataFrame, word_vectors: DataFrame, dim: int, sample: float = 0.01) -> DataFrame:
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each different word of a text with its count; a text is one row, so nothing needs a shuffle."""
+    cut = re.compile(BLANKS)
+    for batch in batches:
+        found = [Counter(w for w in cut.split(t or "") if w) for t in batch.column(1).to_pylist()]
+        rows = np.repeat(np.arange(len(found)), [len(c) for c in found])
+        words_ = pa.array([w for c in found for w in c], pa.string())
+        counts = pa.array([n for c in found for n in c.values()], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), words_, counts], ["text_key", "word", "n"])
+
+
+def block_sums(shared, dim: int):
+    """Per text: how many of its words the block knows, and the sum of their unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units = shared.value
+        place, cut = {w: i for i, w in enumerate(names)}, re.compile(BLANKS)
+        for batch in batches:
+            total, sums = np.zeros(batch.num_rows, "i8"), np.zeros((batch.num_rows, dim))
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                known = Counter(place[w] for w in cut.split(text or "") if w in place)
+                if known:
+                    n = np.fromiter(known.values(), "f8", len(known))
+                    total[row], sums[row] = n.sum(), n @ units[list(known)]
+            hit = pa.array(np.flatnonzero(total))
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(hit), pa.array(total).take(hit), vectors.take(hit)], ["text_key", "total", "sums"]
+            )
+
+    return run
+
+
+def word_average(
+    texts: DataFrame, word_vectors: DataFrame, dim: int, sample: float = 0.01, block_bytes: int = WORD_BLOCK_BYTES
+) -> DataFrame:
     """Mean of the unit-length vectors of a text's known words; zero without any.
 
-    ``word_vectors``: ``(word, vector)``. Words are counted per text before the
-    join, which carries the vectors as given and their lengths. Frequent words,
-    found on a sample of the texts, are spread over many tasks. The sums are
-    plain columns, so they are combined before the last shuffle.
+    ``texts``: ``(text_key, text)`` with unique keys. ``word_vectors``:
+    ``(word, vector)``. The word table's size is counted first. Up to
+    ``WORD_BLOCKS`` blocks of ``block_bytes`` are broadcast one after the other,
+    and each is a scan of the texts that gives one row per text. A larger table
+    is joined: words are counted inside their row, the join carries vectors and
+    lengths, and frequent words, found on a sample, are spread over many tasks.
+    Both forms give the same numbers.
     """
-    each_word = lambda df: df.select("text_key", F.explode(words("text")).alias("word"))
-    counted = each_word(texts).groupBy("text_key", "word").agg(F.count(F.lit(1)).alias("n"))
     usable = word_vectors.where(F.exists("vector", lambda x: x != 0))
     measured = usable.select("word", "vector", norm("vector").alias("length"))
-    joined = skew_join(counted, measured, "word", ["text_key"], probe=each_word(texts.sample(sample, 7)))
-    weighted = joined.select("text_key", "n", (F.col("n") / F.col("length")).alias("w"), "vector")
-    sums = weighted.groupBy("text_key").agg(
-        F.sum("n").alias("total"), *[F.sum(F.col("w") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
-    )
+    measured = materialize(measured, "word-vectors")
+    n, letters = measured.agg(F.count(F.lit(1)), F.sum(F.octet_length("word"))).first()
+    blocks = -(-(n * (dim * 8 + 100) + (letters or 0)) // block_bytes)
+    if blocks <= WORD_BLOCKS:
+        found = None
+        for b in range(blocks):
+            table = measured.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b).toArrow()
+            if not table.num_rows:
+                continue
+            units = matrix_of(table["vector"]) / table["length"].to_numpy()[:, None]
+            shared = texts.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), units))
+            part = texts.select("text_key", "text").mapInArrow(block_sums(shared, dim), "text_key string, total long, sums array<double>")
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            return texts.select("text_key", zero_vector(dim).alias("vector"))
+        sums = found.groupBy("text_key").agg(
+            F.sum("total").alias("total"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim)]
+        )
+    else:
+        count = lambda df: df.select("text_key", "text").mapInArrow(word_counts, "text_key string, word string, n long")
+        joined = skew_join(count(texts), measured, "word", ["text_key"], probe=count(texts.sample(sample, 7)))
+        weighted = joined.select("text_key", "n", (F.col("n") / F.col("length")).alias("w"), "vector")
+        sums = weighted.groupBy("text_key").agg(
+            F.sum("n").alias("total"), *[F.sum(F.col("w") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
+        )
     means = F.transform(F.array(*[f"s{i}" for i in range(dim)]), lambda s: s / F.col("total"))
     known = sums.select("text_key", means.alias("vector"))
     return texts.select("text_key").join(known, "text_key", "left").select(

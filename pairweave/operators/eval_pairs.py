@@ -1,9 +1,10 @@
 """Pair classification metrics for any number of score columns in one pass.
 
 Scores go to long form and are counted per (model, score) before anything is
-ordered. That table is small: with 6 decimals a model has at most two million
-different cosines, however many pairs there are. Running counts are cut into
-score buckets of width 1/1000, so no window task sees more than a thousand rows.
+ordered. Scores are taken as they are, so that a threshold found here predicts
+what it says; ``digits`` rounds them first, which bounds the number of different
+scores. Running counts are cut into ranges of the stored scores, so the windows
+stay even whatever scale the scores have.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from pairweave.operators.ordering import running_totals
 from pairweave.session import materialize
 
-SCORE_DIGITS = 6
 # The 18 thresholds 0.10, 0.15 ... 0.95.
 SENSITIVITY_THRESHOLDS = tuple((10 + 5 * i) / 100.0 for i in range(18))
 
@@ -55,7 +55,7 @@ def rounded_score(digits: int | None) -> Column:
     return F.col("score") + F.lit(0.0) if digits is None else score_units(digits) / float(10**digits)
 
 
-def score_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFrame:
+def score_counts(scores: DataFrame, digits: int | None = None) -> DataFrame:
     """Positives and negatives per (model, score); combined before the shuffle."""
     key = rounded_score(None) if digits is None else score_units(digits)
     counted = scores.groupBy("model", key.alias("key")).agg(
@@ -66,18 +66,17 @@ def score_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFr
     return counted.select("model", score.alias("score"), "pos", "neg")
 
 
-def cumulative_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> DataFrame:
+def cumulative_counts(scores: DataFrame, digits: int | None = None) -> DataFrame:
     """Per threshold (score >= threshold): tp, fp and the class totals P and N.
 
-    The counts are stored first, so the pairs are read once although running
-    totals take two passes; every curve and summary below starts from here.
-    Unrounded scores (``digits=None``) get a thousand times finer buckets.
+    The counts are stored in score ranges, one bucket per range, so the pairs
+    are read once although running totals take two passes. The result is stored
+    as well; every curve and summary below starts from it.
     """
-    per_unit = 1_000 if digits is not None else 1_000_000
-    stored = materialize(score_counts(scores, digits), "score-counts")
-    counted = stored.withColumn("bucket", F.floor(F.col("score") * per_unit))
+    ranged = score_counts(scores, digits).repartitionByRange("score")
+    stored = materialize(ranged.withColumn("bucket", F.spark_partition_id()), "score-counts")
     running = running_totals(
-        counted,
+        stored,
         {"tp": "pos", "fp": "neg"},
         [F.desc("score")],
         "bucket",
@@ -85,10 +84,11 @@ def cumulative_counts(scores: DataFrame, digits: int | None = SCORE_DIGITS) -> D
         bucket_descending=True,
         grand_totals=True,
     )
-    return running.select(
+    counts = running.select(
         "model", F.col("score").alias("threshold"), "pos", "neg", "tp", "fp",
         F.col("total_tp").alias("P"), F.col("total_fp").alias("N"),
     )
+    return materialize(counts, "running-counts")
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -194,7 +194,7 @@ def pair_eval_summary(counts: DataFrame) -> DataFrame:
 def threshold_sensitivity(
     scores: DataFrame,
     thresholds: Sequence[float] = SENSITIVITY_THRESHOLDS,
-    digits: int | None = SCORE_DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """Accuracy, precision, recall, specificity and F1 at each threshold.
 

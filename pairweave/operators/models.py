@@ -26,24 +26,26 @@ def predict_rows(predict: Predict, inputs: pd.DataFrame) -> tuple[list[float | N
 
 
 def score_models(
-    df: DataFrame, loaders: dict[str, Callable[[], Predict]], inputs: Sequence[str]
+    df: DataFrame, loaders: dict[str, Callable[[], Predict]], inputs: Sequence[str], errors: bool = True
 ) -> DataFrame:
     """One score column per model in one pass; a row a model fails on gets null there.
 
-    A model that cannot be loaded fails the task, as no row could be scored.
+    With ``errors`` a column ``<model>_error`` tells why, null where it worked. A model that cannot be loaded fails the task, as no row could be scored.
     """
-    kept = [f for f in df.schema.fields if f.name not in loaders]
-    schema = T.StructType([*kept, *[T.StructField(name, T.DoubleType()) for name in loaders]])
+    told = [f"{name}_error" for name in loaders] if errors else []
+    kept = [f for f in df.schema.fields if f.name not in loaders and f.name not in told]
+    scored = [T.StructField(name, T.DoubleType()) for name in loaders]
+    schema = T.StructType([*kept, *scored, *[T.StructField(name, T.StringType()) for name in told]])
     names, wanted = [f.name for f in kept], list(inputs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = {name: load() for name, load in loaders.items()}
         for batch in batches:
-            scores = {
-                name: pd.Series(predict_rows(model, batch[wanted])[0], index=batch.index, dtype="float64")
-                for name, model in models.items()
-            }
-            yield batch[names].assign(**scores)
+            found = {name: predict_rows(model, batch[wanted]) for name, model in models.items()}
+            out = {n: pd.Series(scores, index=batch.index, dtype="float64") for n, (scores, _) in found.items()}
+            if errors:
+                out |= {f"{n}_error": reasons for n, (_, reasons) in found.items()}
+            yield batch[names].assign(**out)
 
     return df.mapInPandas(run, schema)
 

@@ -17,10 +17,18 @@ from pyspark.sql import functions as F
 from pairweave.functions.text import digest_number, seeded_digest
 from pairweave.session import materialize
 
-DIGEST_DIGITS = 3  # 16 ** 3 = 4096 buckets per group
+BUCKET_ROWS = 4_096  # rows aimed at in a bucket, which one task orders
 BROADCAST_BUCKETS = 500_000
 
 
+def bucket_digits(rows: int) -> int:
+    """Leading hex digits of a digest that cut so many rows into buckets of about ``BUCKET_ROWS``."""
+    digits = 1
+    while 16**digits * BUCKET_ROWS < rows:
+        digits += 1
+    return digits
+
+
 def running_totals(
     df: DataFrame,
     sums: dict[str, str | Column],
@@ -79,7 +87,7 @@ def digest_position(
     whatever the keys look like, and a hot group is spread over all of them.
     """
     keyed = df.withColumn("__digest", seeded_digest(key, seed))
-    keyed = keyed.withColumn("__bucket", digest_number(F.col("__digest"), 1, DIGEST_DIGITS))
+    keyed = keyed.withColumn("__bucket", digest_number(F.col("__digest"), 1, bucket_digits(df.count())))
     placed = running_totals(
         keyed,
         {"__n": F.lit(1).cast("bigint")},
@@ -110,7 +118,7 @@ def digest_parts(
     """
     keyed = df.withColumn("__digest", seeded_digest(key, seed))
     keyed = keyed.withColumn(
-        "__slot", F.struct(*group, digest_number(F.col("__digest"), 1, DIGEST_DIGITS).alias("bucket"))
+        "__slot", F.struct(*group, digest_number(F.col("__digest"), 1, bucket_digits(df.count())).alias("bucket"))
     )
     counted = keyed.groupBy("__slot").agg(F.count(F.lit(1)).alias("n"))
     group_cols = [F.col(f"__slot.{g}") for g in group]
@@ -170,14 +178,8 @@ def global_index(
     )
 
 
-def first_rows(df: DataFrame, key: str, n: int, small: int = 100_000) -> DataFrame:
-    """The first ``n`` rows by a unique key.
-
-    A small ``n`` is a top-n heap per task; a larger one is a filter on the
-    distributed position, because a limit ends in a single task.
-    """
+def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by a unique key: a filter on the distributed position, as a limit ends in one task."""
     if n < 0:
         raise ValueError("n must not be negative")
-    if n <= small:
-        return df.orderBy(key).limit(n)
     return global_index(df, key, "__position").where(F.col("__position") < n).drop("__position")

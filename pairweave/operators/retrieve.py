@@ -3,9 +3,10 @@
 Two physical forms of one result:
 
 * ``broadcast`` - the query vectors, whose size is counted first, go to every
-  task and the corpus is scanned in place. No corpus row is shuffled; each
-  task keeps a running top-k and emits at most k rows per query.
-* ``grid`` - both sides are cut into blocks of bounded size, a cell of the
+  task and the corpus is scanned in place in its own splits. No corpus row is
+  shuffled; each task keeps a running top-k and emits at most k rows per query.
+  Queries beyond the limit are cut into chunks, each of which is one scan.
+* ``grid`` - for more than ``CHUNKS`` such scans: both sides are cut into blocks of bounded size, a cell of the
   grid scores one query block against one corpus block, and only its top-k
   leaves the task. Any number of queries fits.
 
@@ -27,8 +28,8 @@ from pairweave.functions.vectors import RANK_DIGITS, check_metric, similarity
 
 PARTIAL_SCHEMA = "query_id long, item_id long, similarity double"
 BROADCAST_BYTES = 64 << 20
-BLOCK_BYTES = 32 << 20
-PARTIAL_ROWS = 100_000_000
+BLOCK_BYTES = 256 << 20
+CHUNKS = 16
 SCORES_IN_MEMORY = 1_000_000  # one score matrix in a task: 8 MB of doubles
 ITEMS_AT_ONCE = 8_192
 SLACK = 2.0 * 10.0**-RANK_DIGITS
@@ -213,24 +214,31 @@ def measured(vectors: DataFrame) -> tuple[int, int]:
     return n, longest or 0
 
 
-def scan_topk(
-    queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool, n_queries: int
-) -> DataFrame:
-    """Broadcast form; the caller has checked the size of ``queries``.
+def scan_topk(queries: DataFrame, items: DataFrame, k: int, metric: str, exclude_self: bool, chunks: int = 1) -> DataFrame:
+    """Broadcast form; the caller has checked the size of a chunk of ``queries``.
 
-    Every task may emit k rows per query. With many queries the scan therefore
-    runs in fewer, longer tasks, by joining splits without a shuffle, but never
-    in fewer than four per core.
+    Every task emits at most k rows per query, of which the merge keeps k per
+    query before its shuffle.
     """
-    context = queries.sparkSession.sparkContext
-    table = queries.toArrow()
-    matrix = matrix_of(table["vector"])
-    shared = context.broadcast(
-        (table["query_id"].to_numpy(), unit_rows(matrix) if metric == "cosine" else matrix)
-    )
-    tasks = max(4 * context.defaultParallelism, PARTIAL_ROWS // max(1, n_queries * k))
-    partial = items.coalesce(tasks).mapInArrow(scan_kernel(shared, k, metric, exclude_self), PARTIAL_SCHEMA)
-    return best_k(partial, k)
+    context, found = queries.sparkSession.sparkContext, None
+    for c in range(chunks):
+        part = queries if chunks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == c)
+        table = part.toArrow()
+        if not table.num_rows:
+            continue
+        matrix = matrix_of(table["vector"])
+        shared = context.broadcast(
+            (table["query_id"].to_numpy(), unit_rows(matrix) if metric == "cosine" else matrix)
+        )
+        partial = items.mapInArrow(scan_kernel(shared, k, metric, exclude_self), PARTIAL_SCHEMA)
+        found = partial if found is None else found.unionByName(partial)
+    if found is None:
+        return no_hits(queries)
+    return best_k(found, k)
+
+
+def no_hits(queries: DataFrame) -> DataFrame:
+    return queries.sparkSession.createDataFrame([], "query_id long, rank int, item_id long, similarity double")
 
 
 def grid_topk(
@@ -272,7 +280,7 @@ def exact_topk(
     ``exclude_self`` defaults to true when queries and corpus are one table.
     A corpus smaller than k returns whole; k = 0 returns nothing.
     ``strategy``: ``auto`` takes ``broadcast`` while the query vectors fit in
-    ``broadcast_bytes`` and ``grid`` beyond that.
+    ``CHUNKS`` chunks of ``broadcast_bytes`` and ``grid`` beyond that.
     """
     check_metric(metric)
     check_k(k)
@@ -281,16 +289,16 @@ def exact_topk(
     left = as_queries(queries, query_id, vector)
     right = as_items(corpus, item_id, item_vector or vector)
     if k == 0:
-        return left.sparkSession.createDataFrame([], "query_id long, rank int, item_id long, similarity double")
+        return no_hits(left)
     if strategy not in ("auto", "broadcast", "grid"):
         raise ValueError(f"unknown strategy: {strategy!r}")
     n, width = measured(left)
     if strategy != "grid":
-        fits = n * (width * 8 + 16 * k) <= broadcast_bytes
-        if strategy == "broadcast" and not fits:
-            raise ValueError(f"{n} query vectors exceed broadcast_bytes={broadcast_bytes}")
-        if fits:
-            return scan_topk(left, right, k, metric, exclude_self, n)
+        chunks = max(1, -(-n * (width * 8 + 16 * k) // broadcast_bytes))
+        if strategy == "broadcast" and chunks > CHUNKS:
+            raise ValueError(f"{n} query vectors exceed {CHUNKS} chunks of broadcast_bytes={broadcast_bytes}")
+        if chunks <= CHUNKS:
+            return scan_topk(left, right, k, metric, exclude_self, chunks)
     return grid_topk(left, right, k, metric, exclude_self, n, block_rows or block_rows_for(width))
 
 

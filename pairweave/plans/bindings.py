@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairweave.functions.ngrams import ngram_vector
 from pairweave.functions.text import digest_number, words
-from pairweave.functions.vectors import cosine, leading
+from pairweave.functions.vectors import absolute_similarity, cosine, rooted
 from pairweave.operators.eval_retrieval import positives_by_class, with_approaches
 from pairweave.operators.index import build_index, index_topk
 from pairweave.operators.rerank import rerank_apply, responses_from_scores
 from pairweave.operators.retrieve import exact_topk
 from pairweave.schemas import SCORE_COLUMNS
-from pairweave.session import spread
+from pairweave.session import materialize, spread
 
 DIM = 64
 TOP_K = 5
 FIRST_K = 10
-APPROACHES = ("full", "short", "reranked")
-SHORT_DIM = 16
+APPROACHES = ("full", "rooted", "reranked")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,22 +59,27 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_columns() -> list[Column]:
-    """Three models: the first 16, the first 32 and all components."""
-    widths = dict(zip(SCORE_COLUMNS, (16, 32, DIM)))
-    return [F.round(cosine(leading("va", w), leading("vb", w)), 6).alias(name) for name, w in widths.items()]
+    """Three models, all over whole vectors: cosine of rooted components, absolute similarity, cosine."""
+    scores = (cosine(rooted("va"), rooted("vb")), absolute_similarity("va", "vb"), cosine("va", "vb"))
+    return [F.round(score, 6).alias(name) for name, score in zip(SCORE_COLUMNS, scores, strict=True)]
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pairs(spark, sf_dir).select("id", "label", *score_columns())
 
 
-def partly_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``scored_pairs``, but the second model lacks vectors of unlabelled items."""
+def partly_labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vector_pairs`` with ``vl``: the second vector where its item has a label, else null."""
     labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("b_id"), F.lit(True).alias("labelled"))
     joined = vector_pairs(spark, sf_dir).join(labelled, "b_id", "left")
-    first, second, third = score_columns()
-    partial = F.round(cosine(leading("va", 32), F.when(F.col("labelled"), leading("vb", 32))), 6)
-    return joined.select("id", "label", first, partial.alias(SCORE_COLUMNS[1]), third)
+    return joined.withColumn("vl", F.when(F.col("labelled"), F.col("vb"))).drop("labelled")
+
+
+def partly_scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``scored_pairs``, but the second model lacks vectors of unlabelled items."""
+    first, _, third = score_columns()
+    partial = F.round(absolute_similarity("va", "vl"), 6).alias(SCORE_COLUMNS[1])
+    return partly_labelled_pairs(spark, sf_dir).select("id", "label", first, partial, third)
 
 
 def user_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -148,26 +155,26 @@ def query_table(spark: SparkSession, sf_dir: str, reach: int = 0) -> DataFrame:
     return positives_by_class(query_class.select("query_id"), query_class, item_class, reach)
 
 
-def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K, dim: int | None = None) -> DataFrame:
-    """Top-k of all vectors among all vectors, optionally on leading components."""
+def hits(spark: SparkSession, sf_dir: str, k: int = TOP_K, shape: Callable[[str], Column] | None = None) -> DataFrame:
+    """Top-k of all vectors among all vectors, optionally after reshaping each."""
     queries = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     corpus = busy_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    if dim is not None:
-        queries, corpus = (df.withColumn("embedding", leading("embedding", dim)) for df in (queries, corpus))
+    if shape is not None:
+        queries, corpus = (df.withColumn("embedding", shape("embedding")) for df in (queries, corpus))
     return exact_topk(queries, corpus, k, exclude_self=True)
 
 
-def candidates_with_second_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-stage candidates with the cosine of the last 32 components."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 33, 32).alias("tail"))
-    first = hits(spark, sf_dir, FIRST_K)
+def candidates_with_second_score(spark: SparkSession, sf_dir: str, first: DataFrame | None = None) -> DataFrame:
+    """First-stage candidates with the cosine of their rooted vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", rooted("embedding").alias("tail"))
+    first = hits(spark, sf_dir, FIRST_K) if first is None else first
     left = first.join(e.select(F.col("vec_id").alias("query_id"), F.col("tail").alias("qt")), "query_id")
     both = left.join(e.select(F.col("vec_id").alias("item_id"), F.col("tail").alias("it")), "item_id")
     return both.select("query_id", "rank", "item_id", "similarity", F.round(cosine("qt", "it"), 12).alias("second"))
 
 
-def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = candidates_with_second_score(spark, sf_dir)
+def reranked_hits(spark: SparkSession, sf_dir: str, first: DataFrame | None = None) -> DataFrame:
+    candidates = candidates_with_second_score(spark, sf_dir, first)
     responses = responses_from_scores(candidates, "second")
     return rerank_apply(candidates.drop("second"), responses, TOP_K).select(
         "query_id", "rank", "item_id", "similarity"
@@ -175,11 +182,12 @@ def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def approach_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of three approaches in one table."""
+    """Hits of three approaches in one table; the first 10 of the whole vectors are found once."""
+    first = materialize(hits(spark, sf_dir, FIRST_K), "first-hits")
     parts = {
-        "full": hits(spark, sf_dir),
-        "short": hits(spark, sf_dir, dim=SHORT_DIM),
-        "reranked": reranked_hits(spark, sf_dir),
+        "full": first.where(F.col("rank") <= TOP_K),
+        "rooted": hits(spark, sf_dir, shape=rooted),
+        "reranked": reranked_hits(spark, sf_dir, first),
     }
     named = [df.withColumn("approach", F.lit(a)) for a, df in parts.items()]
     return named[0].unionByName(named[1]).unionByName(named[2])
@@ -189,15 +197,26 @@ def approach_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_approaches(query_table(spark, sf_dir), APPROACHES)
 
 
-def pooled_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(query_id, item_id, rel)`` for the first 10 hits of the short vectors."""
-    query_class, item_class = classes(spark, sf_dir)
-    pool = hits(spark, sf_dir, FIRST_K, SHORT_DIM).select("query_id", "item_id")
-    return (
-        pool.join(query_class, "query_id")
-        .join(item_class, "item_id")
-        .select("query_id", "item_id", (F.col("query_class") == F.col("item_class")).cast("int").alias("rel"))
-    )
+def reply_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k replies of every user turn by hashed n-grams; a turn's id is that of its row."""
+    asked, replies = user_turns(spark, sf_dir)
+    vector = ngram_vector()
+    queries = asked.select(turn_id().alias("query_id"), vector(F.col("sentence1")).alias("vector"))
+    items = replies.select(turn_id().alias("item_id"), vector(F.col("sentence2")).alias("vector"))
+    return exact_topk(queries, spread(items), TOP_K, "query_id", "item_id", "vector", exclude_self=False)
+
+
+def reply_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(query_id, item_id, rel)``: every judged pair, a turn with its own reply (1) and with a shifted one (0)."""
+    asked, replies = user_turns(spark, sf_dir)
+    answers = replies.select("conv_id", "turn", turn_id().alias("item_id"))
+    parts = []
+    for rel, shift in ((1, 0), (0, 1)):
+        wanted = asked.select(
+            turn_id().alias("query_id"), (F.col("conv_id") + shift).alias("conv_id"), (F.col("turn") + 1).alias("turn")
+        )
+        parts.append(wanted.join(answers, ["conv_id", "turn"]).select("query_id", "item_id", F.lit(rel).alias("rel")))
+    return parts[0].unionByName(parts[1])
 
 
 def item_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairweave.functions import vectors as V
@@ -14,13 +15,15 @@ from pairweave.functions.text import text_key
 from pairweave.operators import embed, eval_pairs, incremental, quality, rerank
 from pairweave.operators import eval_retrieval as ev
 from pairweave.operators.index import build_index, index_topk, recall_against
-from pairweave.operators.models import model_map
+from pairweave.operators.models import model_map, score_models
 from pairweave.operators.ordering import first_rows
 from pairweave.operators.retrieve import exact_topk, similarity_to_vector, with_text
 from pairweave.plans import bindings as B
 from pairweave.plans.bindings import r6
 from pairweave.plans.workflows import Approach
+from pairweave.plans.workflows import evaluate_pairs as run_evaluation
 from pairweave.plans.workflows import retrieval_experiment as run_experiment
+from pairweave.plans.workflows import score_pairs as run_scoring
 from pairweave.schemas import SCORE_COLUMNS
 from pairweave.session import materialize, own, work_path
 from pairweave.sources import pairs as pair_source
@@ -48,15 +51,15 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def load_pairs(spark, d):
-    path = work_path(spark, "pairs") + ".csv"
+    path = own(spark, work_path(spark, "pairs") + ".csv")
     B.text_pairs(spark, d).write.option("header", True).option("escape", '"').csv(path)
-    return pair_source.load_pairs(spark, path)
+    return pair_source.load_pairs(spark, path, multi_line=True)  # sentences hold line breaks
 
 
 @query
 def project_pairs(spark, d):
     return pair_source.project_pairs(B.text_pairs(spark, d)).select(
-        "id", "label", F.length("sentence1").alias("length1"), F.length("sentence2").alias("length2")
+        "id", "label", F.md5("sentence1").alias("digest1"), F.md5("sentence2").alias("digest2")
     )
 
 
@@ -64,7 +67,8 @@ def project_pairs(spark, d):
 def indexed_scan(spark, d):
     scanned = incremental.indexed_scan(materialize(B.text_pairs(spark, d), "pairs"), "id", SCORE_COLUMNS)
     empty = sum(F.col(c).isNull().cast("int") for c in SCORE_COLUMNS)
-    return scanned.select("id", "global_index", empty.alias("empty_results"))
+    texts = F.md5(F.concat_ws("\x1f", "sentence1", "sentence2")).alias("digest")
+    return scanned.select("id", "global_index", empty.alias("empty_results"), texts)
 
 
 @query
@@ -75,24 +79,29 @@ def count_and_chunks(spark, d):
 @query
 def write_results(spark, d):
     updated = incremental.apply_updates(B.documents_with_results(spark, d), B.label_updates(spark, d), SCORE_COLUMNS)
-    path = work_path(spark, "results")
-    results.write_results(updated, path, chunk_rows=1_000)
+    path = own(spark, work_path(spark, "results"))
+    results.write_results(updated, path)
     return results.read_results(spark, path, updated.schema)
 
 
 @query
 def eval_json_roundtrip(spark, d):
-    path = work_path(spark, "evaluation")
-    hits = materialize(B.approach_hits(spark, d), "approach-hits")
+    path = own(spark, work_path(spark, "evaluation"))
+    close = B.approach_hits(spark, d).where(F.col("similarity") >= 0.3)  # leaves queries without hits
+    order = W.partitionBy("approach", "query_id").orderBy("rank")
+    hits = materialize(close.withColumn("rank", F.row_number().over(order)), "approach-hits")
     judged = ev.judge_by_class(hits, *B.classes(spark, d))
-    averages = ev.macro_average(ev.score_queries(B.approach_queries(spark, d), judged, ["approach"]), ["approach"])
-    results.save_evaluation(results.evaluation_records(hits, averages), path)
+    queries = B.approach_queries(spark, d)
+    averages = ev.macro_average(ev.score_queries(queries, judged, ["approach"]), ["approach"])
+    told = with_text(hits, B.table(spark, d, "documents"), "doc_id")
+    results.save_evaluation(results.evaluation_records(queries, told, averages), path)
     loaded = results.load_evaluation(spark, path)
     return loaded.select(
         F.col("approach_name").alias("approach"),
         "query_id",
         F.array_join(F.transform("retrieved_indices", lambda x: x.cast("string")), ",").alias("items"),
         B.packed("retrieved_similarities").alias("similarities"),
+        F.md5(F.array_join("retrieved_results", "\x1f", "none")).alias("sentences"),
         r6("evaluation.precision").alias("precision"),
         r6("evaluation.ndcg").alias("ndcg"),
     )
@@ -100,7 +109,7 @@ def eval_json_roundtrip(spark, d):
 
 @query
 def eval_summary_csv(spark, d):
-    path = work_path(spark, "summary")
+    path = own(spark, work_path(spark, "summary"))
     results.save_summary(pair_eval_summary(spark, d), path)
     return results.load_summary(spark, path)
 
@@ -152,6 +161,36 @@ def threshold_accuracy(spark, d):
 # --- vectors and embeddings --------------------------------------------------
 
 
+def load_rooted():
+    def predict(batch):
+        a, b = (np.stack(batch[c].to_numpy()).astype("f8") for c in ("va", "vb"))
+        a, b = (np.sign(v) * np.sqrt(np.abs(v)) for v in (a, b))
+        return (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+
+    return predict
+
+
+def load_absolute():
+    def predict(batch):
+        if batch["vl"].isna().any():
+            raise ValueError("missing vector")
+        a, b = (np.stack(batch[c].to_numpy()).astype("f8") for c in ("va", "vl"))
+        return 1 - np.abs(a - b).sum(1) / (np.abs(a).sum(1) + np.abs(b).sum(1))
+
+    return predict
+
+
+def load_plain():
+    def predict(batch):
+        a, b = (np.stack(batch[c].to_numpy()).astype("f8") for c in ("va", "vb"))
+        return (a * b).sum(1) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+
+    return predict
+
+
+MODEL_LOADERS = dict(zip(SCORE_COLUMNS, (load_rooted, load_absolute, load_plain), strict=True))
+
+
 @query
 def cosine_pairs(spark, d):
     return B.vector_pairs(spark, d).select("id", "b_id", r6(V.cosine("va", "vb")).alias("similarity"))
@@ -201,7 +240,11 @@ def pair_similarity_reusing(spark, d):
 
 @query
 def multi_model_scores(spark, d):
-    return B.partly_scored_pairs(spark, d)
+    """Three Python models in one pass; the second fails on pairs that lack a vector."""
+    scored = score_models(B.partly_labelled_pairs(spark, d), MODEL_LOADERS, ["va", "vb", "vl"])
+    names = [r6(c).alias(c) for c in SCORE_COLUMNS]
+    reasons = [F.coalesce(f"{c}_error", F.lit("")).alias(f"{c}_error") for c in SCORE_COLUMNS]
+    return scored.select("id", "label", *names, *reasons)
 
 
 @query
@@ -361,9 +404,10 @@ def eval_global_relevance(spark, d):
 
 @query
 def eval_per_query_relevance(spark, d):
-    qrels = B.pooled_qrels(spark, d)
-    queries = ev.positives_per_query(B.query_table(spark, d).select("query_id"), qrels)
-    scored = ev.score_queries(queries, ev.judge_per_query(B.hits(spark, d), qrels))
+    qrels = B.reply_qrels(spark, d)
+    asked = B.user_turns(spark, d)[0].select(B.turn_id().alias("query_id"))
+    queries = ev.positives_per_query(asked, qrels)
+    scored = ev.score_queries(queries, ev.judge_per_query(B.reply_hits(spark, d), qrels))
     return rounded(scored.select("query_id", *ev.METRICS), *ev.METRICS)
 
 
@@ -556,7 +600,7 @@ def deliveries(spark, d) -> tuple[DataFrame, list[DataFrame]]:
 
 @query
 def resumable_scoring(spark, d):
-    source, sink, log = (work_path(spark, n) for n in ("arriving", "scored", "checkpoint"))
+    source, sink, log = (own(spark, work_path(spark, n)) for n in ("arriving", "scored", "checkpoint"))
     pairs, lots = deliveries(spark, d)
     score = lambda df: df.select("id", "label", *B.score_columns())
     for lot in lots:
@@ -565,9 +609,34 @@ def resumable_scoring(spark, d):
     return spark.read.parquet(sink)
 
 
+@query
+def score_pairs_job(spark, d):
+    """Files of pairs through all models, the second failing on some, in two lots; a rerun adds only the new files."""
+    source, sink, log = (own(spark, work_path(spark, n)) for n in ("arriving", "model-scores", "checkpoint"))
+    pairs = B.partly_labelled_pairs(spark, d).select("id", "label", "va", "vb", "vl")
+    for label in (0, 1):
+        pairs.where(F.col("label") == label).repartition(3, "id").write.mode("append").parquet(source)
+        scored = run_scoring(spark, source, pairs.schema, MODEL_LOADERS, sink, log, ["va", "vb", "vl"])
+    reason = F.coalesce(f"{SCORE_COLUMNS[1]}_error", F.lit("")).alias("reason")
+    return scored.select("id", "label", *[r6(c).alias(c) for c in SCORE_COLUMNS], reason)
+
+
+@query
+def evaluate_pairs_files(spark, d):
+    """The evaluation job's files, read back: sensitivity of every model beside its summary."""
+    path = own(spark, work_path(spark, "pair-evaluation"))
+    run_evaluation(B.scored_pairs(spark, d), path)
+    columns = "threshold double, accuracy double, precision double, recall double, specificity double, f1_score double"
+    curve = spark.read.schema(f"{columns}, model string").option("header", True).csv(f"{path}/threshold_sensitivity")
+    summary = results.load_summary(spark, f"{path}/evaluation_results").select("model", "auc", "best_threshold")
+    points = spark.read.parquet(f"{path}/roc_curves").groupBy("model").agg(F.count(F.lit(1)).alias("roc_points"))
+    joined = curve.join(F.broadcast(summary), "model").join(F.broadcast(points), "model")
+    return rounded(joined, "accuracy", "precision", "recall", "specificity", "f1_score", "auc")
+
+
 @query
 def stream_quality_metrics(spark, d):
-    source, sink, log = (work_path(spark, n) for n in ("arriving", "partials", "checkpoint"))
+    source, sink, log = (own(spark, work_path(spark, n)) for n in ("arriving", "partials", "checkpoint"))
     scored = B.partly_scored_pairs(spark, d).select("id", "label", F.col(SCORE_COLUMNS[1]).alias("score"))
     scored.repartition(6, "id").write.parquet(source)
     partials = scoring.chunk_partials("id", 100, "score", "label", 0.1)

@@ -29,15 +29,24 @@ def rate(a: str, b: str) -> str:
     return f"(case when {b} <> 0 then ({a})::double / ({b}) end)"
 
 
-def topk_cte(k: int, dim: int = 64, fn: str = "list_cosine_similarity") -> str:
-    cut = f"[1:{dim}]"
+def rooted(v: str) -> str:
+    return f"list_transform({v}, lambda x: sign(x) * sqrt(abs(x)))"
+
+
+def absolute_similarity(a: str, b: str) -> str:
+    size = lambda v: f"list_sum(list_transform({v}, lambda x: abs(x)))"
+    return f"1.0 - list_sum(list_transform({a}, lambda x, i: abs(x - {b}[i]))) / ({size(a)} + {size(b)})"
+
+
+def topk_cte(k: int, fn: str = "list_cosine_similarity", shape=lambda v: v) -> str:
+    q, c = shape("(q.embedding::double[])"), shape("(c.embedding::double[])")
     return f"""
         select query_id, rank::int as rank, item_id, similarity from (
             select query_id, item_id, similarity,
                    row_number() over (partition by query_id order by similarity desc, item_id) as rank
             from (
                 select q.vec_id as query_id, c.vec_id as item_id,
-                       round({fn}((q.embedding::double[]){cut}, (c.embedding::double[]){cut}), 12) as similarity
+                       round({fn}({q}, {c}), 12) as similarity
                 from embeddings q join embeddings c on q.vec_id <> c.vec_id
             )
         ) where rank <= {k}"""
@@ -81,8 +90,8 @@ CTES: dict[str, str] = {
         from embeddings a join embeddings b on b.vec_id = (a.vec_id * 7 + 3) % {N}""",
     "scored": f"""
         select id, b_id, label,
-               round(list_cosine_similarity(va[1:16], vb[1:16]), 6) as {M1},
-               round(list_cosine_similarity(va[1:32], vb[1:32]), 6) as {M2},
+               round(list_cosine_similarity({rooted('va')}, {rooted('vb')}), 6) as {M1},
+               round({absolute_similarity('va', 'vb')}, 6) as {M2},
                round(list_cosine_similarity(va, vb), 6) as {M3}
         from vpairs""",
     "partly": f"""
@@ -97,10 +106,9 @@ CTES: dict[str, str] = {
     "hits": topk_cte(5),
     "hits10": topk_cte(10),
     "hits50": topk_cte(50),
-    "short": topk_cte(5, 16),
-    "short10": topk_cte(10, 16),
-    "cands": """
-        select h.*, round(list_cosine_similarity((q.embedding::double[])[33:64], (c.embedding::double[])[33:64]), 12) as second
+    "rooted": topk_cte(5, shape=rooted),
+    "cands": f"""
+        select h.*, round(list_cosine_similarity({rooted('(q.embedding::double[])')}, {rooted('(c.embedding::double[])')}), 12) as second
         from hits10 h join embeddings q on q.vec_id = h.query_id join embeddings c on c.vec_id = h.item_id""",
     "reranked": """
         select query_id, place::int as rank, item_id, similarity from (
@@ -108,19 +116,25 @@ CTES: dict[str, str] = {
         ) where place <= 5""",
     "ahits": """
         select 'full' as approach, * from hits union all by name
-        select 'short' as approach, * from short union all by name
+        select 'rooted' as approach, * from rooted union all by name
         select 'reranked' as approach, * from reranked""",
     "qpos": """
         select vec_id as query_id, label, count(*) over (partition by label) - 1 as positives from embeddings""",
     "judged": """
         select h.*, (q.label = c.label)::int as rel from hits h
         join embeddings q on q.vec_id = h.query_id join embeddings c on c.vec_id = h.item_id""",
+    "fhits": """
+        select * replace (row_number() over (partition by approach, query_id order by rank) as rank)
+        from ahits where similarity >= 0.3""",
+    "fjudged": """
+        select h.*, (q.label = c.label)::int as rel from fhits h
+        join embeddings q on q.vec_id = h.query_id join embeddings c on c.vec_id = h.item_id""",
     "ajudged": """
         select h.*, (q.label = c.label)::int as rel from ahits h
         join embeddings q on q.vec_id = h.query_id join embeddings c on c.vec_id = h.item_id""",
     "aqueries": """
         select q.query_id, q.positives, a.approach from qpos q
-        cross join (values ('full'), ('short'), ('reranked')) a(approach)""",
+        cross join (values ('full'), ('rooted'), ('reranked')) a(approach)""",
     "long": f"""
         select '{M1}' as model, {M1} + 0.0 as score, label from scored union all
         select '{M2}', {M2} + 0.0, label from scored union all
@@ -174,7 +188,7 @@ CTES: dict[str, str] = {
     "texts": "select distinct text from documents",
     "codes": "select text, list_transform(string_split(text, ''), lambda c: unicode(c)::bigint) as cs from texts",
     "grams": """
-        select text, (cs[i] * 961 + cs[i + 1] * 31 + cs[i + 2]) % 64 as slot
+        select text, (cs[i] * 961 + cs[i + 1] * 31 + cs[i + 2]) % 8191 % 64 as slot
         from (select text, cs, unnest(range(1, len(cs) - 1)) as i from codes)""",
     "gcounts": "select text, slot, count(*) as n from grams group by all",
     "gvecs": """
@@ -190,8 +204,10 @@ CTES: dict[str, str] = {
 # Which fragments a fragment reads.
 NEEDS = {
     "scored": ["vpairs"], "partly": ["vpairs", "scored"], "tpairs": ["asked", "replies"],
-    "cands": ["hits10"], "reranked": ["hits10", "cands"], "ahits": ["hits", "short", "hits10", "cands", "reranked"],
-    "judged": ["hits"], "ajudged": ["hits", "short", "hits10", "cands", "reranked", "ahits"], "aqueries": ["qpos"],
+    "cands": ["hits10"], "reranked": ["hits10", "cands"], "ahits": ["hits", "rooted", "hits10", "cands", "reranked"],
+    "fhits": ["hits", "rooted", "hits10", "cands", "reranked", "ahits"],
+    "fjudged": ["hits", "rooted", "hits10", "cands", "reranked", "ahits", "fhits"],
+    "judged": ["hits"], "ajudged": ["hits", "rooted", "hits10", "cands", "reranked", "ahits"], "aqueries": ["qpos"],
     "long": ["vpairs", "scored"], "counted": ["vpairs", "scored", "long"], "curve": ["vpairs", "scored", "long", "counted"],
     "best": ["vpairs", "scored", "long", "counted", "curve"],
     "summary": ["vpairs", "scored", "long", "counted", "curve", "best"],
@@ -249,10 +265,12 @@ ORACLES: dict[str, str] = {
     # scans, sources, sinks
     "load_pairs": sql("select id, sentence1, sentence2, label from tpairs", "tpairs"),
     "project_pairs": sql(
-        "select id, label, length(sentence1)::int as length1, length(sentence2)::int as length2 from tpairs", "tpairs"
+        "select id, label, md5(sentence1) as digest1, md5(sentence2) as digest2 from tpairs", "tpairs"
     ),
     "indexed_scan": sql(
-        "select id, row_number() over (order by id) - 1 as global_index, 3 as empty_results from tpairs", "tpairs"
+        """select id, row_number() over (order by id) - 1 as global_index, 3 as empty_results,
+            md5(concat_ws(chr(31), sentence1, sentence2)) as digest from tpairs""",
+        "tpairs",
     ),
     "count_and_chunks": sql(
         f"""select {CHUNK} as chunk, min(global_index) as start_index, count(*) as rows,
@@ -262,12 +280,14 @@ ORACLES: dict[str, str] = {
     ),
     "write_results": sql("select * from updated", "updated"),
     "eval_json_roundtrip": sql(
-        f"""select approach, query_id, string_agg(item_id::varchar, ',' order by rank) as items,
-            string_agg(round(similarity * 1e6)::bigint::varchar, ',' order by rank) as similarities,
+        """select q.approach, q.query_id, coalesce(string_agg(item_id::varchar, ',' order by rank), '') as items,
+            coalesce(string_agg(round(similarity * 1e6)::bigint::varchar, ',' order by rank), '') as similarities,
+            md5(coalesce(string_agg(coalesce(d.text, 'none'), chr(31) order by rank) filter (item_id is not null), '')) as sentences,
             any_value(a.precision) as precision, any_value(a.ndcg) as ndcg
-            from ahits join avgs a using (approach) group by approach, query_id""",
-        "ajudged", "aqueries",
-        m=metrics_sql("aqueries", "ajudged", "approach, "),
+            from aqueries q left join fhits h using (approach, query_id) left join documents d on d.doc_id = h.item_id
+            join avgs a on a.approach = q.approach group by q.approach, q.query_id""",
+        "fjudged", "aqueries",
+        m=metrics_sql("aqueries", "fjudged", "approach, "),
         avgs=f"select approach, {r6('avg(precision)')} as precision, {r6('avg(ndcg)')} as ndcg from m group by approach",
     ),
     # projections, filters, sampling
@@ -301,7 +321,21 @@ ORACLES: dict[str, str] = {
             {r6('1.0 - pow(list_distance(va, vb), 2) / 2.0')} as from_l2sq from vpairs""",
         "vpairs",
     ),
-    "multi_model_scores": sql("select * from partly", "partly"),
+    "multi_model_scores": sql(
+        f"""select *, '' as {M1}_error, case when {M2} is null then 'ValueError: missing vector' else '' end as {M2}_error,
+            '' as {M3}_error from partly""",
+        "partly",
+    ),
+    "score_pairs_job": sql(
+        f"select *, case when {M2} is null then 'ValueError: missing vector' else '' end as reason from partly", "partly"
+    ),
+    "evaluate_pairs_files": sql(
+        "select model, s.threshold, "
+        + ", ".join(f"{r6(m)} as {m}" for m in ("accuracy", "precision", "recall", "specificity", "f1_score"))
+        + f""", {r6('auc')} as auc, best_threshold, roc_points from sensitivity s join summary using (model)
+            join (select model, count(*) + 1 as roc_points from curve group by model) using (model)""",
+        "sensitivity", "summary",
+    ),
     "embed_word_average": sql(
         f"""select d.doc_id, coalesce({packed('v.means')}, array_to_string(list_transform(range(64), lambda x: '0'), ',')) as vector
             from documents d left join (
@@ -331,7 +365,7 @@ ORACLES: dict[str, str] = {
     # retrieval
     "exact_topk": sql(f"select {HIT_ROW} from hits", "hits"),
     "exact_topk_blocked": sql(f"select {HIT_ROW} from hits", "hits"),
-    "batch_topk": sql(f"select {HIT_ROW} from dots", dots=topk_cte(7, 64, "list_inner_product")),
+    "batch_topk": sql(f"select {HIT_ROW} from dots", dots=topk_cte(7, "list_inner_product")),
     "vector_index_topk": sql(f"select {HIT_ROW} from index_hits", "centers", "cell_order", "assigned", "walked", "index_hits"),
     "vector_index_recall": sql(
         f"""select count(*) as exact_hits, count(i.item_id)::bigint as found_hits, {r6('count(i.item_id)::double / count(*)')} as recall
@@ -402,14 +436,21 @@ ORACLES: dict[str, str] = {
     ),
     "eval_per_query_relevance": sql(
         f"select query_id, {ALL} from m",
-        "hits", "short10",
-        qrels="""select s.query_id, s.item_id, (q.label = c.label)::int as rel from short10 s
-            join embeddings q on q.vec_id = s.query_id join embeddings c on c.vec_id = s.item_id""",
-        jd="select h.*, coalesce(rel, 0) as rel from hits h left join qrels using (query_id, item_id)",
-        qs="""select vec_id as query_id, coalesce(p, 0) as positives from embeddings
-            left join (select query_id, sum(rel) as p from qrels group by 1) on query_id = vec_id""",
+        "asked", "replies", "units",
+        best="""select query_id, item_id, rank from (
+            select a.conv_id * 1000000 + a.turn as query_id, r.conv_id * 1000000 + r.turn as item_id,
+                   row_number() over (partition by a.conv_id, a.turn
+                       order by round(list_cosine_similarity(u.v, w.v), 12) desc, r.conv_id, r.turn) as rank
+            from asked a join units u on u.text = a.sentence1 cross join replies r join units w on w.text = r.sentence2
+        ) where rank <= 5""",
+        qrels="""select a.conv_id * 1000000 + a.turn as query_id, r.conv_id * 1000000 + r.turn as item_id, l.rel
+            from asked a cross join (values (1, 0), (0, 1)) l(rel, shift)
+            join replies r on r.conv_id = a.conv_id + l.shift and r.turn = a.turn + 1""",
+        jd="select h.*, coalesce(rel, 0) as rel from best h left join qrels using (query_id, item_id)",
+        qs="""select conv_id * 1000000 + turn as query_id, coalesce(p, 0) as positives from asked
+            left join (select query_id, sum(rel) as p from qrels group by 1) s on s.query_id = conv_id * 1000000 + turn""",
         m=metrics_sql("qs", "jd"),
-    ),
+    ).replace("select distinct text from documents", "select distinct text from conversations"),
     "hits_at_k": sql(
         "select count(*) as queries, "
         + ", ".join(
@@ -461,7 +502,7 @@ ORACLES: dict[str, str] = {
     ),
     "compare_approaches": sql(
         "select metric, "
-        + ", ".join(f"max(value) filter (approach = '{a}') as {a}" for a in ("full", "short", "reranked"))
+        + ", ".join(f"max(value) filter (approach = '{a}') as {a}" for a in ("full", "rooted", "reranked"))
         + " from (unpivot avgs on precision, recall, f1, mrr, ndcg into name metric value value) group by metric",
         "ajudged", "aqueries",
         m=metrics_sql("aqueries", "ajudged", "approach, "),
@@ -552,18 +593,20 @@ ORACLES: dict[str, str] = {
         f"""select count(*) as size, 'id,sentence1,sentence2,label' as columns, count(*) filter (label = 1) as positives,
             count(*) filter (label = 0) as negatives, count(*) filter (not coalesce(label in (0, 1), false)) as other_labels,
             {r6('avg(label)')} as positive_ratio,
-            sum({hexnum("sha256(concat_ws(chr(31), id, sentence1, sentence2, label))", 1, 15)}::hugeint)::varchar as fingerprint
+            sum({hexnum("sha256(concat_ws(chr(31), " + ", ".join(f"coalesce(length({c}::varchar) || ':' || {c}, 'null')" for c in ("id", "sentence1", "sentence2", "label")) + "))", 1, 15)}::hugeint)::varchar as fingerprint,
+            (select string_agg(e, ',' order by e) from (select coalesce(label::varchar, 'null') || ':' || count(*) as e from tpairs group by label)) as label_counts
             from tpairs""",
         "tpairs",
     ),
     "augment_pairs": sql(
         f"""select id, sentence1, sentence2, label from tpairs union all
             select mx + 1 + (copy - 1) * cnt + o as id,
-                   case when side = 0 and len(w1) >= 4 then array_to_string(list_transform(w1, lambda w, i: case when i - 1 = word % len(w1) then w || '~' else w end), ' ') else sentence1 end,
-                   case when side = 1 and len(w2) >= 4 then array_to_string(list_transform(w2, lambda w, i: case when i - 1 = word % len(w2) then w || '~' else w end), ' ') else sentence2 end,
+                   case when side = 0 and len(w1) >= 4 then case g1 when ' ' then array_to_string(list_transform(w1, lambda w, i: case when i - 1 = word % len(w1) then w || '~' else w end), ' ') else array_to_string(list_transform(w1, lambda w, i: case when i - 1 = word % len(w1) then w || '~' else w end), '') end else sentence1 end,
+                   case when side = 1 and len(w2) >= 4 then case g2 when ' ' then array_to_string(list_transform(w2, lambda w, i: case when i - 1 = word % len(w2) then w || '~' else w end), ' ') else array_to_string(list_transform(w2, lambda w, i: case when i - 1 = word % len(w2) then w || '~' else w end), '') end else sentence2 end,
                    label
             from (
-                select *, string_split(sentence1, ' ') as w1, string_split(sentence2, ' ') as w2,
+                select *, case when contains(sentence1, ' ') then ' ' else '' end as g1, case when contains(sentence1, ' ') then string_split(sentence1, ' ') else string_split(sentence1, '') end as w1,
+                       case when contains(sentence2, ' ') then ' ' else '' end as g2, case when contains(sentence2, ' ') then string_split(sentence2, ' ') else string_split(sentence2, '') end as w2,
                        {qn('42-side', "copy || ':' || id")} % 2 as side, {qn('42-word', "copy || ':' || id")} as word
                 from (select *, row_number() over (order by id) - 1 as o, count(*) over () as cnt from tpairs where label = 1)
                 cross join (values (1), (2)) c(copy) cross join (select max(id) as mx from tpairs)
@@ -580,7 +623,7 @@ ORACLES: dict[str, str] = {
         starts="""select domain, sum(count(*)) over (order by substr(md5(domain), 1, 3), domain) - count(*) as start
             from pool group by domain""",
         located="select p.*, start, start + place as at from placed p join starts using (domain)",
-        chosen=f"""select *, ({qn('42-label', 'key')} % 2)::int as label, {qn('42-pick', 'key')} as pick from located""",
+        chosen=f"""select *, ({qn('42-label', 'key')} % 2)::int as label, {hexnum("md5('42-pick:' || key)", 1, 15)} as pick from located""",
         wanted="""select *, case when label = 1 then start + (place + 1 + pick % greatest(size - 1, 1)) % size
             else (start + size + pick % greatest(total - size, 1)) % total end as partner from chosen
             where case when label = 1 then size > 1 else total > size end""",

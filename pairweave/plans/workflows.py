@@ -53,15 +53,21 @@ class Experiment:
     timing: DataFrame
 
 
-def retrieve_with(approach: Approach, queries: DataFrame, corpus: DataFrame, k: int) -> tuple[DataFrame, float, float]:
-    """Stored hits of one approach, with index and retrieval seconds."""
+def retrieve_with(
+    approach: Approach, queries: DataFrame, corpus: DataFrame, k: int, vectors: dict[Embedder, tuple[DataFrame, DataFrame]]
+) -> tuple[DataFrame, float, float]:
+    """Stored hits of one approach, with index and retrieval seconds; approaches share the vectors of an embedder."""
     started = time.perf_counter()
-    items = materialize(embed_column(corpus, "sentence", approach.embed), "items")
+    if approach.embed not in vectors:
+        vectors[approach.embed] = (
+            materialize(embed_column(corpus, "sentence", approach.embed), "items"),
+            materialize(embed_column(queries, "query", approach.embed), "queries"),
+        )
+    items, asked = vectors[approach.embed]
     index = None
     if approach.cells is not None:
         index = build_index(items, approach.cells, "item_id", "vector", path=work_path(items.sparkSession, "index"))
     indexed = time.perf_counter()
-    asked = materialize(embed_column(queries, "query", approach.embed), "queries")
     first = max(k, approach.first_k) if approach.respond else k
     if index is None:
         hits = exact_topk(asked, items, first, "query_id", "item_id", "vector", exclude_self=False)
@@ -87,9 +93,9 @@ def retrieval_experiment(
     corpus = pairs.select(F.col("id").alias("item_id"), F.col("sentence2").alias("sentence"))
     relevance = pairs.select(F.col("id").alias("item_id"), F.col("label").alias("rel"))
     names = [a.name for a in approaches]
-    n, log, parts = max(1, queries.count()), [], []
+    n, log, parts, vectors = max(1, queries.count()), [], [], {}
     for approach in approaches:  # one Spark job chain per approach, a handful of them
-        hits, indexing, retrieving = retrieve_with(approach, queries, corpus, k)
+        hits, indexing, retrieving = retrieve_with(approach, queries, corpus, k, vectors)
         parts.append(hits)
         log += [(approach.name, "index", indexing), (approach.name, "retrieve", retrieving / n)]
     hits = parts[0]

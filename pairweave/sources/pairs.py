@@ -23,13 +23,12 @@ def load_pairs(
     schema: T.StructType = PAIRS,
     extra: dict[str, T.DataType] | None = None,
     mode: str = "FAILFAST",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Pairs from CSV (UTF-8, comma, header) or parquet.
 
-    Values may span lines; then each CSV file is read by one task. Pass
-    ``multi_line=False`` for huge single files without such values, which are
-    then split like any other file.
+    Files are split between tasks. Pass ``multi_line=True`` for CSV files whose
+    values span lines; then each file is read by one task.
 
     CSV columns are matched to the schema by name, in any order; ``extra`` adds
     typed columns such as ``group``. A malformed value stops the read unless

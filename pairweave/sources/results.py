@@ -19,6 +19,7 @@ EVALUATION = T.StructType(
         T.StructField("query_id", T.LongType()),
         T.StructField("retrieved_indices", T.ArrayType(T.LongType())),
         T.StructField("retrieved_similarities", T.ArrayType(T.DoubleType())),
+        T.StructField("retrieved_results", T.ArrayType(T.StringType())),
     ]
 )
 
@@ -39,45 +40,56 @@ def write_results(
     df: DataFrame,
     path: str,
     index: str = "global_index",
-    chunk_rows: int = 10_000,
+    chunk_rows: int | None = None,
     fmt: str = "csv",
     partitions: int | None = None,
 ) -> None:
-    """Result table in row order, at most ``chunk_rows`` rows per file.
+    """Result table in row order, one file per range of the index.
 
-    Files take the place of chunk directories, whose number would grow with the
-    table; ranges of the index keep the order and let a parquet reader skip files.
+    Ranges have the size in bytes that the session's shuffle partitions have, so
+    files grow with the table before their number does; a parquet reader skips
+    files by the index. ``chunk_rows`` cuts files at that many rows as well.
     """
-    writer = range_parts(df, index, partitions).write.mode("overwrite").option("maxRecordsPerFile", chunk_rows)
+    writer = range_parts(df, index, partitions).write.mode("overwrite")
+    if chunk_rows is not None:
+        writer = writer.option("maxRecordsPerFile", chunk_rows)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", '""')
     writer.format(fmt).save(path)
 
 
-def read_results(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """All chunks as one table."""
+def read_results(
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    """All files as one table; ``multi_line`` for CSV values that span lines, then one task per file."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = (
-            reader.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST")
+            reader.option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "FAILFAST")
         )
     return reader.format(fmt).load(path)
 
 
-def evaluation_records(hits: DataFrame, averages: DataFrame) -> DataFrame:
-    """Nested records: an approach's averages with the hits of one query.
+def evaluation_records(queries: DataFrame, hits: DataFrame, averages: DataFrame) -> DataFrame:
+    """Nested records: an approach's averages with the hits and sentences of one query.
 
-    One record per query, so no record grows with the table.
+    ``queries``: ``(approach, query_id)``; a query without hits has empty lists.
+    ``hits`` may carry a ``sentence``. One record per query, so no record grows
+    with the table. ``averages`` is one row per approach, named by the caller.
     """
-    entry = F.struct("rank", "item_id", "similarity")
-    per_query = hits.groupBy("approach", "query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
+    sentence = F.col("sentence") if "sentence" in hits.columns else F.lit(None).cast("string")
+    entry = F.struct("rank", "item_id", "similarity", sentence.alias("sentence"))
+    found = hits.groupBy("approach", "query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
     metrics = averages.select("approach", F.struct(*METRICS).alias("evaluation"))
-    return per_query.join(metrics, "approach").select(
+    per_query = queries.select("approach", "query_id").join(found, ["approach", "query_id"], "left")
+    listed = lambda name: F.coalesce(F.transform("hits", lambda h: h[name]), F.array())
+    return per_query.join(F.broadcast(metrics), "approach", "left").select(
         F.col("approach").alias("approach_name"),
         "evaluation",
         "query_id",
-        F.transform("hits", lambda h: h["item_id"]).alias("retrieved_indices"),
-        F.transform("hits", lambda h: h["similarity"]).alias("retrieved_similarities"),
+        listed("item_id").cast("array<bigint>").alias("retrieved_indices"),
+        listed("similarity").cast("array<double>").alias("retrieved_similarities"),
+        listed("sentence").cast("array<string>").alias("retrieved_results"),
     )
 
 

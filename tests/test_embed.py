@@ -16,7 +16,7 @@ def brute(text, n=3, dim=64):
         number = 0
         for ch in text[i : i + n]:
             number = number * 31 + ord(ch)
-        v[number % dim] += 1
+        v[number % 8191 % dim] += 1
     length = math.sqrt(sum(x * x for x in v)) or 1.0
     return [x / length for x in v]
 
@@ -52,10 +52,12 @@ def words(spark):
     return spark.createDataFrame(rows, "word string, vector array<float>")
 
 
-def test_word_average(spark, words):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200, 1])
+def test_word_average(spark, words, block_bytes):
+    """In one broadcast block, in two, and joined."""
     rows = [("1", "a  b\tb"), ("2", "unknown zero"), ("3", ""), ("4", "a"), ("5", None)]
     texts = spark.createDataFrame(rows, "text_key string, text string")
-    got = {r.text_key: r.vector for r in embed.word_average(texts, words, 2, sample=1.0).collect()}
+    got = {r.text_key: r.vector for r in embed.word_average(texts, words, 2, sample=1.0, block_bytes=block_bytes).collect()}
     assert got["1"] == pytest.approx([1 / 3, 2 / 3])
     assert got["4"] == [1.0, 0.0]
     assert got["2"] == got["3"] == got["5"] == [0.0, 0.0]

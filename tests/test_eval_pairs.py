@@ -119,3 +119,13 @@ def test_valid_rows_and_predictions(spark):
     assert [(r.id, r.label) for r in valid.orderBy("id").collect()] == [(1, 1), (5, 0)]
     assert dict(ep.label_distribution(valid).collect()) == {0: 1, 1: 1}
     assert [r.prediction for r in ep.threshold_predict(valid, "x").orderBy("id").collect()] == [1, 1]
+
+
+def test_best_threshold_predicts_what_it_says(spark):
+    """Raw scores: the confusion counts at the best threshold are those of predicting with it."""
+    rows = [(0.8151236, 1), (0.8151234, 0), (0.4, 0), (0.81512365, 1), (12.5, 0), (-3.0, 0)]
+    df = spark.createDataFrame(rows, "m double, label int")
+    best = ep.confusion_at_best(ep.cumulative_counts(ep.long_scores(df, ["m"]))).first()
+    predicted = ep.threshold_predict(df, "m", best.best_threshold)
+    assert predicted.where("prediction = 1 and label = 1").count() == best.tp == 2
+    assert predicted.where("prediction = 1 and label = 0").count() == best.fp == 1

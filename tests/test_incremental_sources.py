@@ -12,8 +12,8 @@ from pairweave.sources import results
 from pairweave.streaming import scoring
 
 ROWS = [
-    (1, "深度学习模型需要大量训练数据", "机器学习算法依赖数据质量", 1),
-    (2, "苹果是一种水果", "汽车需要汽油才能行驶", 0),
+    (1, "今晚的火车几点到达北站", "北站今晚有哪些到达的车次", 1),
+    (2, "山路在雨后很滑", "邮局星期日不开门", 0),
     (3, 'quoted "text", with comma', "line\nbreak", 0),
 ]
 
@@ -28,7 +28,7 @@ def test_load_csv_and_projections(spark, tmp_path):
     quoted = "id,sentence1,sentence2,label\n" + "\n".join(
         f'{i},"{a.replace(chr(34), chr(34) * 2)}","{b}",{l}' for i, a, b, l in ROWS
     )
-    df = src.load_pairs(spark, csv(tmp_path, quoted))
+    df = src.load_pairs(spark, csv(tmp_path, quoted), multi_line=True)
     assert [tuple(r) for r in df.orderBy("id").collect()] == ROWS
     assert df.schema["id"].dataType == T.LongType()
     assert src.sentence1_list(df).count() == 3 and src.sentence2_list(df).columns == ["sentence2"]
@@ -102,9 +102,16 @@ def test_summary_and_evaluation_files(spark, tmp_path):
         "approach string, query_id long, rank int, item_id long, similarity double",
     )
     averages = spark.createDataFrame([("a", 0.1, 0.2, 0.3, 0.4, 0.5)], "approach string, precision double, recall double, f1 double, mrr double, ndcg double")
-    results.save_evaluation(results.evaluation_records(hits, averages), str(tmp_path / "e"))
-    row = results.load_evaluation(spark, str(tmp_path / "e")).first()
+    queries = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "approach string, query_id long")
+    averages = averages.unionByName(averages.withColumn("approach", F.lit("b")))
+    told = hits.withColumn("sentence", F.concat(F.lit("text "), "item_id"))
+    results.save_evaluation(results.evaluation_records(queries, told, averages), str(tmp_path / "e"))
+    rows = {(r.approach_name, r.query_id): r for r in results.load_evaluation(spark, str(tmp_path / "e")).collect()}
+    assert set(rows) == {("a", 1), ("a", 2), ("b", 1)}
+    row = rows["a", 1]
     assert row.retrieved_indices == [5, 6] and row.retrieved_similarities == [0.5, 0.25] and row.evaluation.ndcg == 0.5
+    assert row.retrieved_results == ["text 5", "text 6"]
+    assert rows["a", 2].retrieved_indices == rows["b", 1].retrieved_results == [] and rows["b", 1].evaluation.ndcg == 0.5
 
 
 def test_model_map_loads_per_task_and_captures_errors(spark, tmp_path):
@@ -190,3 +197,6 @@ def test_models_fail_independently(spark):
     df = spark.createDataFrame([(i, float(i), 9.0) for i in range(4)], "id long, x double, old double")
     out = {r.id: (r.a, r.old) for r in score_models(df, {"a": picky, "old": lambda: lambda b: b["x"] + 1}, ["x"]).collect()}
     assert out == {0: (0.0, 1.0), 1: (10.0, 2.0), 2: (None, 3.0), 3: (30.0, 4.0)}
+    scored = score_models(df, {"a": picky, "old": lambda: lambda b: b["x"] + 1}, ["x"])
+    assert {r.id: (r.a_error, r.old_error) for r in scored.collect()} == {i: ("ValueError: two" if i == 2 else None, None) for i in range(4)}
+    assert score_models(df, {"a": picky}, ["x"], errors=False).columns == ["id", "x", "old", "a"]

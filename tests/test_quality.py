@@ -62,8 +62,9 @@ def test_augment(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     out = {r.id: r for r in q.augment_pairs(df, factor=3, suffix="!").collect()}
     assert sorted(out) == [3, 5, 10, 11, 12, 13, 14]
-    for i in (11, 13):  # copies of row 3, which has too few words
-        assert (out[i].sentence1, out[i].sentence2) == ("short", "too short")
+    for i in (11, 13):  # copies of row 3: a text without blanks is edited by characters, two words are too few
+        assert out[i].sentence1.replace("!", "") == "short" and out[i].sentence2 == "too short"
+    assert all(r.sentence1.count("!") + r.sentence2.count("!") <= 1 for r in out.values())
     for i in (12, 14):
         r = out[i]
         changed = [r.sentence1 != rows[0][1], r.sentence2 != rows[0][2]]
@@ -88,3 +89,18 @@ def test_lonely_sentences_are_left_out(spark):
     assert q.generate_pairs(one).count() == 0
     single_domain = spark.createDataFrame([("a", f"x{i}") for i in range(20)], "domain string, sentence string")
     assert {r.label for r in q.generate_pairs(single_domain).collect()} == {1}
+
+
+def test_unsegmented_text_is_edited_and_null_differs_from_its_mark(spark):
+    df = spark.createDataFrame([(1, "今晚的火车几点到", "北站今晚有哪些车", 1)], SCHEMA)
+    out = q.augment_pairs(df, factor=4).where("id > 1").collect()
+    assert len(out) == 3
+    for r in out:
+        assert (r.sentence1 + r.sentence2).count("~") == 1
+        assert (r.sentence1 + r.sentence2).replace("~", "") == "今晚的火车几点到北站今晚有哪些车"
+    prints = set()
+    for a, b in ((None, "x"), ("null", "x"), ("\\N", "x"), ("a\x1f1:b", "c"), ("a", "b\x1f1:c")):
+        prints.add(q.dataset_metadata(spark.createDataFrame([(1, a, b, 3)], SCHEMA)).first().fingerprint)
+    assert len(prints) == 5
+    graded = spark.createDataFrame([(i, "a", "b", i % 3 or None) for i in range(7)], SCHEMA)
+    assert q.dataset_metadata(graded).first().label_counts == "1:2,2:2,null:3"
