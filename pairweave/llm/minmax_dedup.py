@@ -16,7 +16,7 @@ from pairweave.session import discard, materialize
 
 PERMUTATIONS = 64  # hash evaluations per shingle; the signature holds twice as many values
 BAND_ROWS = 4  # 32 bands of 4: a pair at similarity 0.8 meets in none of them once in 2e7
-BLOCK = 2048  # rows of a bucket compared in one task step
+BLOCK = 1024  # rows of a bucket compared in one task step
 SURE_BELOW = 0.6  # estimates below this are 5.7 standard deviations under 0.8
 
 
@@ -57,18 +57,26 @@ def _sketcher(size: int, permutations: int, seed: int):
     return run
 
 
+def band_keys(marks: np.ndarray, rows: int) -> np.ndarray:
+    """One key per signature and band of ``rows`` values; the band's number is part of the key."""
+    bands = marks.shape[1] // rows
+    keys = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(marks), axis=0)
+    for k in range(rows):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + marks[:, k : bands * rows : rows].astype(np.uint64))
+    return keys.view(np.int64)
+
+
+def _marks(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint32) for x in column.to_pylist()])
+
+
 def _bander(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = np.stack([np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()])
-            bands = marks.shape[1] // rows
-            keys = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(marks), axis=0)
-            for k in range(rows):
-                keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + marks[:, k : bands * rows : rows].astype(np.uint64))
-            ids = np.repeat(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], ["id", "key"])
+            if batch.num_rows:
+                keys = band_keys(_marks(batch.column(1)), rows)
+                ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], ["id", "key"])
 
     return run
 
@@ -107,33 +115,93 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rest
 
 
-def _alike(least: float):
+class Cell:
+    """Rows of one bucket, or of two of its blocks, and the pairs that this cell must compare.
+
+    Left out are pairs of one component, pairs with the bucket's smallest id
+    (the star step had them), pairs inside a block that has a cell of its own,
+    pairs that already share an earlier band, and pairs whose signatures agree
+    too little. What is left is one comparison per pair over all buckets.
+    """
+
+    def __init__(self, table: pa.Table, rows: int, least: float):
+        self.table, self.least, self.rows = table, least, rows
+        self.ids, self.component, self.block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
+        self.halves = table.column("left")[0].as_py() != table.column("right")[0].as_py()
+        self.star = self.ids == table.column("least")[0].as_py()
+        self.marks = _marks(table.column("signature"))
+        self.band = int(np.flatnonzero(band_keys(self.marks[:1], rows)[0] == table.column("key")[0].as_py())[0])
+
+    def partners(self, i: int) -> np.ndarray:
+        if self.star[i]:
+            return np.zeros(0, np.int64)
+        fits = (self.component != self.component[i]) & (self.ids > self.ids[i]) & ~self.star
+        if self.halves:
+            fits &= self.block != self.block[i]
+        other = np.flatnonzero(fits)
+        if len(other):
+            same = self.marks[other] == self.marks[i]
+            earlier = same[:, : self.band * self.rows].reshape(len(other), self.band, self.rows).all(axis=2).any(axis=1)
+            other = other[(same.mean(axis=1) >= self.least) & ~earlier]
+        return other
+
+
+def _open_rows(rows: int, least: float):
+    """Rows that have a pair to compare: never more than came in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            cell = Cell(table, rows, least)
+            wanted = np.zeros(len(cell.ids), bool)
+            for i in range(len(cell.ids)):
+                other = cell.partners(i)
+                wanted[other] = True
+                wanted[i] |= len(other) > 0
+            if wanted.any():
+                yield from table.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+    return run
+
+
+def _joined(rows: int, least: float, percent: int):
+    """Links between components, confirmed on full sets; at most one per row of the cell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _blocks(batches):
-            ids, comp = cell.column("id").to_numpy(), cell.column("component").to_numpy()
-            block, left, right = (cell.column(c).to_numpy() for c in ("block", "left", "right"))
-            marks = np.stack([np.frombuffer(x, np.uint32) for x in cell.column("signature").to_pylist()])
-            for i in range(len(ids)):
-                other = np.flatnonzero((comp != comp[i]) & (ids > ids[i]))
-                if left[0] != right[0]:  # blocks of two halves: pairs inside a half are another cell's
-                    other = other[block[other] != block[i]]
-                if len(other):
-                    near = other[(marks[other] == marks[i]).mean(axis=1) >= least]
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(near), ids[i])), pa.array(ids[near])], ["a", "b"]
-                        )
+        for table in _blocks(batches):
+            cell = Cell(table, rows, least)
+            items = table.column("items").combine_chunks()
+            flat, ends = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
+            size, group, found = np.diff(ends), cell.component.copy(), []
+            for i in range(len(cell.ids)):
+                other = cell.partners(i)
+                other = other[group[other] != group[i]]
+                if not len(other):
+                    continue
+                own = flat[ends[i] : ends[i + 1]]
+                every = np.concatenate([flat[ends[j] : ends[j + 1]] for j in other])
+                at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+                shared = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(size[other]) - size[other])
+                for j in other[100 * shared >= percent * (size[i] + size[other] - shared)]:
+                    if group[j] != group[i]:
+                        found.append((cell.ids[i], cell.ids[j]))
+                        group[group == group[j]] = group[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(texts: DataFrame, ids: DataFrame, size: int, unique: bool) -> DataFrame:
+    """Full shingle sets of the texts with these ids."""
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(_setter(size), "id long, items array<long>")
+    return sets if unique else sets.dropDuplicates(["id", "items"])
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, unique: bool) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity; sets are built only for texts in a pair."""
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(
-        texts.join(wanted, "id", "left_semi").mapInArrow(_setter(size), "id long, items array<long>"), "sets"
-    )
+    sets = materialize(_sets(texts, wanted, size, unique), "sets")
     one, two = sets.withColumnsRenamed({"id": "a", "items": "x"}), sets.withColumnsRenamed({"id": "b", "items": "y"})
     both = pairs.join(two, "b").join(one, "a")
     same = F.size(F.array_intersect("x", "y"))
@@ -163,8 +231,10 @@ def near_duplicates(
     2. Min-max signatures are banded. In each bucket every class is checked
        against the smallest one, so candidates grow with rows, not with pairs.
     3. After components of those links, only buckets that still hold several
-       components are compared pair by pair, in blocks of bounded size; pairs
-       inside one component need no check. Every link is confirmed on full sets.
+       components are compared pair by pair, in cells of bounded size; pairs
+       inside one component need no check, and a pair is compared in the first
+       bucket it shares. A cell gives back rows, then at most one link per row,
+       never pairs. Every link is confirmed on full sets.
 
     Null, empty and blank texts have an empty set, link with nothing and are
     kept. A null id gives a null component and is kept. Rows repeated under one
@@ -180,12 +250,10 @@ def near_duplicates(
     keys = classes.select("id", "signature").mapInArrow(_bander(band_rows), "id long, key long")
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key"), "members")
-    class_ids = classes.select("id")
-    class_texts = texts.join(class_ids, "id", "left_semi")
-    stars = _verified(
-        members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(),
-        class_texts, size, percent,
-    )
+    # texts repeated under one id would multiply in the joins on it
+    unique = full.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    pairs = members.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    stars = _verified(pairs, texts, size, percent, unique)
     found = materialize(components(stars), "components")
 
     named = members.where("n > 2").join(found, "id", "left")
@@ -199,18 +267,22 @@ def near_duplicates(
     )
     cells = cells.select(
         "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id",
-        "component", "signature",
+        "least", "component", "signature",
     )
-    cells = cells.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    rest = cells.mapInArrow(_alike(SURE_BELOW * percent / 80), "a long, b long").distinct()
-    rest = rest.join(members.select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), ["a", "b"], "left_anti")
-    cross = _verified(rest, class_texts, size, percent)
+    cell_key = ["key", "left", "right"]
+    cell_schema = "key long, left int, right int, block int, id long, least long, component long, signature binary"
+    least = SURE_BELOW * percent / 80
+    cells = cells.repartition(*cell_key).sortWithinPartitions(*cell_key)
+    wanted = materialize(cells.mapInArrow(_open_rows(band_rows, least), cell_schema), "open")
+    filled = wanted.join(_sets(texts, wanted.select("id").distinct(), size, unique), "id").select(*wanted.columns, "items")
+    filled = filled.repartition(*cell_key).sortWithinPartitions(*cell_key)
+    cross = materialize(filled.mapInArrow(_joined(band_rows, least, percent), "a long, b long"), "cross")
     if not cross.isEmpty():
         known = found.select(F.col("component_id").alias("a"), F.col("id").alias("b"))
         whole = materialize(components(known.unionByName(cross)), "components")
         discard(found)
         found = whole
-    discard(members, stars, cross)
+    discard(members, stars, cross, wanted)
 
     of_class = classes.join(found, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     placed = sketches.drop("signature").join(of_class, "digest", "left")
