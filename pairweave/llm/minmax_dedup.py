@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairweave.llm.cells import CELL, cell_tables
 from pairweave.llm.graph import components
 from pairweave.llm.texts import WordHasher, mixed, shingles, text_views
 from pairweave.session import discard, materialize
@@ -17,6 +19,7 @@ from pairweave.session import discard, materialize
 PERMUTATIONS = 64  # hash evaluations per shingle; the signature holds twice as many values
 BAND_ROWS = 4  # 32 bands of 4: a pair at similarity 0.8 meets in none of them once in 2e7
 BLOCK = 1024  # rows of a bucket compared in one task step
+SLOTS = 1 << 24  # bits of the bitmap of wanted ids, 2 MB
 SURE_BELOW = 0.6  # estimates below this are 5.7 standard deviations under 0.8
 
 
@@ -81,10 +84,14 @@ def _bander(rows: int):
     return run
 
 
-def _setter(size: int):
+def _setter(size: int, wanted):
+    """Sets of the texts whose slot is marked in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(fold=True)
+        hasher, marks = WordHasher(fold=True), wanted.value
         for batch in batches:
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((marks[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             sets = [
                 np.unique(shingles(hasher.words(v), size)) if v is not None else np.zeros(0, np.uint64)
                 for v in text_views(batch.column(1))
@@ -98,23 +105,6 @@ def _setter(size: int):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: one table for each cell, whole."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        cells = np.stack([rest.column(c).to_numpy() for c in ("key", "left", "right")])
-        cut = np.flatnonzero((cells[:, 1:] != cells[:, :-1]).any(axis=0)) + 1
-        first = 0
-        for end in cut:
-            yield rest.slice(first, end - first)
-            first = int(end)
-        rest = rest.slice(first)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 class Cell:
     """Rows of one bucket, or of two of its blocks, and the pairs that this cell must compare.
 
@@ -150,7 +140,7 @@ def _open_rows(rows: int, least: float):
     """Rows that have a pair to compare: never more than came in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches):
+        for table in cell_tables(batches):
             cell = Cell(table, rows, least)
             wanted = np.zeros(len(cell.ids), bool)
             for i in range(len(cell.ids)):
@@ -167,7 +157,7 @@ def _joined(rows: int, least: float, percent: int):
     """Links between components, confirmed on full sets; at most one per row of the cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _blocks(batches):
+        for table in cell_tables(batches):
             cell = Cell(table, rows, least)
             items = table.column("items").combine_chunks()
             flat, ends = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
@@ -192,8 +182,20 @@ def _joined(rows: int, least: float, percent: int):
 
 
 def _sets(texts: DataFrame, ids: DataFrame, size: int, unique: bool) -> DataFrame:
-    """Full shingle sets of the texts with these ids."""
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(_setter(size), "id long, items array<long>")
+    """Full shingle sets of the texts with these ids.
+
+    Texts are never shuffled. A bitmap of fixed size holds the hash slots of the
+    ids and lets the scan skip other texts; the exact join then sees sets only.
+    With more ids than slots the bitmap skips less and the result is the same.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS).cast("long"))
+    bits = ids.select(slot.alias("slot")).selectExpr("slot div 64 as word", "shiftleft(1L, cast(slot % 64 as int)) as bit")
+    marks = np.zeros(SLOTS // 64, np.uint64)
+    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        marks[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
+    sent = texts.sparkSession.sparkContext.broadcast(marks)
+    sets = texts.where("id is not null").select("id", "text", slot.alias("slot"))
+    sets = sets.mapInArrow(_setter(size, sent), "id long, items array<long>").join(ids, "id", "left_semi")
     return sets if unique else sets.dropDuplicates(["id", "items"])
 
 
@@ -238,7 +240,7 @@ def near_duplicates(
 
     Null, empty and blank texts have an empty set, link with nothing and are
     kept. A null id gives a null component and is kept. Rows repeated under one
-    id are one node and all returned. Only the id and text columns are read; an
+    id are all returned, each placed by its own text. Only the id and text columns are read; an
     empty table gives an empty result.
     """
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -269,13 +271,12 @@ def near_duplicates(
         "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id",
         "least", "component", "signature",
     )
-    cell_key = ["key", "left", "right"]
     cell_schema = "key long, left int, right int, block int, id long, least long, component long, signature binary"
     least = SURE_BELOW * percent / 80
-    cells = cells.repartition(*cell_key).sortWithinPartitions(*cell_key)
+    cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
     wanted = materialize(cells.mapInArrow(_open_rows(band_rows, least), cell_schema), "open")
     filled = wanted.join(_sets(texts, wanted.select("id").distinct(), size, unique), "id").select(*wanted.columns, "items")
-    filled = filled.repartition(*cell_key).sortWithinPartitions(*cell_key)
+    filled = filled.repartition(*CELL).sortWithinPartitions(*CELL)
     cross = materialize(filled.mapInArrow(_joined(band_rows, least, percent), "a long, b long"), "cross")
     if not cross.isEmpty():
         known = found.select(F.col("component_id").alias("a"), F.col("id").alias("b"))
@@ -292,3 +293,21 @@ def near_duplicates(
         F.col("id").alias(id), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates, all columns as they were.
+
+    Rows without an id stay. Of rows repeated under a kept id one stays, the one
+    whose text hashes lowest; it is found by a top-1 per task before any shuffle.
+    """
+    marked = near_duplicates(docs, id, text, **options)
+    marked = marked.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__id"))
+    kept = marked.agg(F.count(F.lit(1)).alias("__n"), F.max("kept").alias("kept")).where("kept").drop("kept")
+    kept = materialize(kept, "kept")
+    same = F.col(id) == F.col("__id")
+    once = docs.join(kept.where("__n = 1"), same, "left_semi")
+    first = W.partitionBy(id).orderBy(F.xxhash64(text))
+    several = docs.join(kept.where("__n > 1"), same, "left_semi").withColumn("__row", F.row_number().over(first))
+    several = several.where("__row = 1").drop("__row")
+    return once.unionByName(several).unionByName(docs.where(F.col(id).isNull()))
