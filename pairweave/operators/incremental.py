@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.operators.ordering import global_index
+from pairweave.session import materialize
 
 CHUNK_ROWS = 10_000
 
@@ -102,6 +103,7 @@ def progress_report(
     per_chunk = marked.groupBy(chunk_number(index, chunk_rows).alias("chunk")).agg(
         F.count(F.lit(1)).alias("rows"), F.count("__done").alias("done")
     )
+    per_chunk = materialize(per_chunk, "chunks")  # one row per chunk, read for the totals and for the report
     rows, done = per_chunk.agg(F.sum("rows")).scalar(), per_chunk.agg(F.sum("done")).scalar()
     return per_chunk.select(
         "chunk",

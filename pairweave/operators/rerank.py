@@ -82,30 +82,45 @@ def responses_from_scores(candidates: DataFrame, score: str) -> DataFrame:
     return listed.select("query_id", F.array_join(numbers, ", ").alias("response"))
 
 
-def model_responses(prompts: DataFrame, load: Callable[[], Callable[[str], str]]) -> DataFrame:
-    """Answer every prompt with a text model, loaded once per task.
-
-    A prompt the model fails on gets a null response, which keeps the first k.
+def answer_batch(model: Callable[[list[str]], list[str]], prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
+    """Answers and reasons; a failing batch is halved until only the failing prompts are left."""
+    try:
+        return list(model(prompts)), [None] * len(prompts)
+    except Exception as e:
+        if len(prompts) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    half = len(prompts) // 2
+    (answers, errors), (more, more_errors) = (answer_batch(model, p) for p in (prompts[:half], prompts[half:]))
+    return answers + more, errors + more_errors
+
+
+def model_responses(prompts: DataFrame, load: Callable[[], Callable], batched: bool = False) -> DataFrame:
+    """``(query_id, response, error)``: every prompt answered by a text model, loaded once per task.
+
+    With ``batched`` the model takes a list of prompts and gives a list of
+    answers, else one at a time. A prompt the model fails on gets a null
+    response, which keeps the first k, and the reason.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
+        many = model if batched else lambda texts: [model(t) for t in texts]
         for batch in batches:
-            answers: list[str | None] = []
-            for prompt in batch.column(1).to_pylist():
-                try:
-                    answers.append(model(prompt))
-                except Exception:
-                    answers.append(None)
+            asked = batch.column(1).to_pylist()
+            parts = [[p] for p in asked] if not batched else [asked] if asked else []
+            found = [answer_batch(many, part) for part in parts]
+            answers, errors = ([x for pair in found for x in pair[i]] for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(answers, pa.string())], names=["query_id", "response"]
+                [batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string())],
+                names=["query_id", "response", "error"],
             )
 
-    return prompts.select("query_id", "prompt").mapInArrow(run, "query_id long, response string")
+    return prompts.select("query_id", "prompt").mapInArrow(run, "query_id long, response string, error string")
 
 
 def rerank(
     candidates: DataFrame, queries: DataFrame, respond: Callable[[DataFrame], DataFrame], k: int = 5
 ) -> DataFrame:
     """Prompts, answers and new ranks in one go; ``candidates`` carry their sentence."""
-    return rerank_apply(candidates, respond(rerank_prompts(candidates, queries, k)), k)
+    answers = respond(rerank_prompts(candidates, queries, k)).select("query_id", "response")
+    return rerank_apply(candidates, answers, k)

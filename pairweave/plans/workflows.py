@@ -23,7 +23,7 @@ from pairweave.operators.quality import sample_rows
 from pairweave.operators.rerank import rerank
 from pairweave.operators.retrieve import exact_topk, with_text
 from pairweave.schemas import SCORE_COLUMNS, require_columns
-from pairweave.session import materialize, work_path
+from pairweave.session import materialize, own, work_path
 from pairweave.sources.results import save_summary
 from pairweave.streaming.scoring import score_new_files
 
@@ -66,7 +66,7 @@ def retrieve_with(
     items, asked = vectors[approach.embed]
     index = None
     if approach.cells is not None:
-        index = build_index(items, approach.cells, "item_id", "vector", path=work_path(items.sparkSession, "index"))
+        index = build_index(items, approach.cells, "item_id", "vector", path=own(items.sparkSession, work_path(items.sparkSession, "index")))
     indexed = time.perf_counter()
     first = max(k, approach.first_k) if approach.respond else k
     if index is None:

@@ -70,3 +70,20 @@ def test_model_answers_and_failures(spark):
     out = rerank(candidates, queries, lambda p: model_responses(p, load), 2)
     got = {q: [r.item_id for r in out.orderBy("rank").collect() if r.query_id == q] for q in (1, 2)}
     assert got == {1: [13, 11], 2: [21, 22]}
+
+
+def test_model_responses_in_batches_tell_why(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(7)], "query_id long, prompt string").coalesce(1)
+
+    def load():
+        def model(texts):
+            if "p3" in texts:
+                raise ValueError("not this one")
+            return [t.upper() for t in texts]
+
+        return model
+
+    got = {r.query_id: (r.response, r.error) for r in model_responses(prompts, load, batched=True).collect()}
+    assert got == {i: (None, "ValueError: not this one") if i == 3 else (f"P{i}", None) for i in range(7)}
+    one = model_responses(prompts, lambda: lambda t: load()([t])[0]).collect()
+    assert {r.query_id: (r.response, r.error) for r in one} == got
