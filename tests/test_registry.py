@@ -10,6 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+from pairweave.plans import catalog, oracles  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
@@ -36,12 +37,15 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+def test_the_entry_lists_every_query_and_its_sql():
+    assert set(catalog.QUERIES) <= set(entry.queries())
+    assert set(catalog.QUERIES) == set(oracles.ORACLES)
+
+
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF_DIR).toPandas()
     assert len(got)
-    sql = entry.oracle_sql().get(name)
-    if sql:
-        want = db.execute(sql).df()
-        assert sorted(got.columns) == sorted(want.columns)
-        assert cells(got) == cells(want)
+    want = db.execute(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert cells(got) == cells(want)
