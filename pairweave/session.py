@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -101,6 +103,23 @@ def discard(*tables: DataFrame | str) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+@contextmanager
+def work_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Work tables made inside are deleted at the end, but for those passed to the given function.
+
+    For a step whose result is stored: what it used on the way is not kept.
+    """
+    before, kept = set(_OWNED), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        files = [f.rpartition("/")[0].rstrip("/") for f in table.inputFiles()]
+        kept.update(p for p in _OWNED if any(f.endswith(p.partition(":")[2] or p) for f in files))
+        return table
+
+    yield keep
+    discard(*(set(_OWNED) - before - kept))
+
+
 def _discard_all() -> None:
     for path in list(_OWNED):
         try:
