@@ -15,7 +15,7 @@ from pairweave.llm.mixing import mixed_documents
 from pairweave.llm.queries import public_tokenizer
 from pairweave.llm.token_store import tokenised
 from pairweave.llm.toxicity import fit, without_toxic
-from pairweave.session import discard, materialize
+from pairweave.session import discard, materialize, work_scope
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with work_scope() as keep:  # what a stage wrote on its way goes when its result is written
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
         if before is not None:
             discard(before)
         before = docs
