@@ -21,6 +21,7 @@ from pyspark.sql.types import FloatType
 
 from pairweave.llm.cells import CELL, cell_tables
 from pairweave.llm.graph import components
+from pairweave.llm.texts import lean
 from pairweave.session import discard, materialize
 
 TURNS = 12  # independent rotations and code books; few vectors are unlucky in all of them
@@ -212,17 +213,17 @@ def near_vectors(
     """
     read = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"))
     kind = np.float32 if read.schema["vector"].dataType.elementType == FloatType() else np.float64
-    marked = materialize(read.mapInArrow(_reader(kind), "id long, digest binary, raw binary"), "vectors")
+    marked = materialize(read.mapInArrow(lean(_reader(kind)), "id long, digest binary, raw binary"), "vectors")
     able = marked.where("digest is not null and id is not null")
     classes = able.groupBy("digest", "raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     decoder = Decoder(classes.count(), cosine, kind, seed)
 
-    light = classes.select("id", "raw").mapInArrow(_filters(decoder, ["id"]), "id long, key long")
+    light = classes.select("id", "raw").mapInArrow(lean(_filters(decoder, ["id"])), "id long, key long")
     hot = light.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
     hot = materialize(hot.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "large-filters")
     carried = ["id", "copies", "raw"]
-    passed = classes.select(*carried).mapInArrow(_filters(decoder, carried), "id long, copies long, raw binary, key long")
+    passed = classes.select(*carried).mapInArrow(lean(_filters(decoder, carried)), "id long, copies long, raw binary, key long")
     sized = passed.join(F.broadcast(hot) if hot.count() <= HOT_KEYS else hot, "key", "left")
     parts = F.coalesce("parts", F.lit(1))
     sized = sized.withColumn("block", F.pmod(F.xxhash64("id"), parts).cast("int"))
@@ -231,7 +232,7 @@ def near_vectors(
         "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", *carried
     )
     cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
-    found = materialize(cells.mapInArrow(_links(decoder, cosine), "a long, b long, links long"), "links")
+    found = materialize(cells.mapInArrow(lean(_links(decoder, cosine)), "a long, b long, links long"), "links")
 
     counts = found.where("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairweave.llm.texts import WordHasher, text_views
+from pairweave.llm.texts import WordHasher, lean, text_views
 from pairweave.session import discard, materialize
 
 SEED_WORDS = 3
@@ -230,7 +230,7 @@ def find_leaks(
     found = None
     for block in _blocks(benchmark, item_id, item_text, block_words):
         sent = _rare_block(texts, "text", block, share)
-        leaks = texts.mapInArrow(_finder(sent, least), schema)
+        leaks = texts.mapInArrow(lean(_finder(sent, least)), schema)
         found = leaks if found is None else found.unionByName(leaks)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -250,7 +250,7 @@ def without_leaks(
     """Rows of ``docs`` that leak no test item, all columns as they were."""
     for block in _blocks(benchmark, item_id, item_text, block_words):
         sent = _rare_block(docs, text, block, share)
-        docs = docs.mapInArrow(_cleaner(sent, least, docs.columns.index(text)), docs.schema)
+        docs = docs.mapInArrow(lean(_cleaner(sent, least, docs.columns.index(text))), docs.schema)
     return docs
 
 
@@ -270,7 +270,7 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_words: int
 def _rare_block(docs: DataFrame, text: str, block: Block, share: float):
     """The block as a broadcast, its seeds reduced to those that are rare in ``docs``."""
     spark = docs.sparkSession
-    counts = docs.select(text).mapInArrow(_counter(spark.sparkContext.broadcast(block)), "kind long, docs long")
+    counts = docs.select(text).mapInArrow(lean(_counter(spark.sparkContext.broadcast(block))), "kind long, docs long")
     frequency, n_docs = np.zeros(len(block.kinds), np.int64), 0
     for r in counts.groupBy("kind").agg(F.sum("docs").alias("docs")).collect():
         if r["kind"] < 0:

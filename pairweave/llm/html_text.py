@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairweave.llm.texts import lean
+
 # Fixed values of HTML: elements whose content is raw text, that have no content, and that break lines of text.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -312,5 +314,5 @@ def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
-    found = rows.mapInArrow(_extractor, "id long, url string, text string, n_chars long")
+    found = rows.mapInArrow(lean(_extractor), "id long, url string, text string, n_chars long")
     return found.withColumnsRenamed({"id": id, "url": url})

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairweave.functions.text import digest_number, seeded_digest
-from pairweave.llm.texts import WordHasher, mixed, text_views
+from pairweave.llm.texts import WordHasher, lean, mixed, text_views
 from pairweave.session import materialize
 
 BUCKETS = 1 << 14  # hashed words and pairs of words
@@ -100,13 +100,13 @@ def resample(
     chosen = chosen.orderBy(seeded_digest("id", seed), "id").limit(rows).collect()
     wanted = spark.sparkContext.broadcast(np.array(sorted(r["id"] for r in chosen), np.int64))
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    found = texts.mapInArrow(_counter(wanted), "gram long, raw long, target long")
+    found = texts.mapInArrow(lean(_counter(wanted)), "gram long, raw long, target long")
     raw, aim = np.ones(BUCKETS), np.ones(BUCKETS)  # one more of each, so that none is impossible
     for r in found.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["gram"]] += r["raw"]
         aim[r["gram"]] += r["target"]
     ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
-    weighed = texts.mapInArrow(_weigher(spark.sparkContext.broadcast(ratio)), "id long, n_grams long, log_weight double")
+    weighed = texts.mapInArrow(lean(_weigher(spark.sparkContext.broadcast(ratio))), "id long, n_grams long, log_weight double")
 
     u = (digest_number(seeded_digest(F.coalesce(F.col("id").cast("string"), F.lit("")), seed), 1, 13) + F.lit(0.5)) / F.lit(float(1 << 52))
     ranked = weighed.withColumn("rank_value", F.col("log_weight") - F.log(-F.log(u)))

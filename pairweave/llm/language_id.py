@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pairweave.functions.text import seeded_digest
+from pairweave.llm.texts import lean
 
 BUCKETS = 1 << 14  # hashed n-grams of one to three characters
 ORDERS = 3
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, learnable, id: str = "doc_id", text: str = "text", lang
     """
     usable = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     usable = usable.select(F.col(id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    found = usable.select("text").mapInArrow(_frequencies, "gram long, docs long")
+    found = usable.select("text").mapInArrow(lean(_frequencies), "gram long, docs long")
     frequency, n_docs = np.zeros(BUCKETS), 0
     for r in found.groupBy("gram").agg(F.sum("docs").alias("docs")).collect():  # a row per n-gram bucket
         if r["gram"] < 0:
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, learnable, id: str = "doc_id", text: str = "text", lang
     first = W.partitionBy("lang").orderBy("place", "id")
     chosen = placed.withColumn("row", F.row_number().over(first)).where(F.col("row") <= rows).select("id", "lang", "place").distinct()
     sample = usable.join(chosen, ["id", "lang"]).select("place", "lang", "text").coalesce(1)
-    model = sample.mapInArrow(_trainer(idf, seed), "model binary").first()
+    model = sample.mapInArrow(lean(_trainer(idf, seed)), "model binary").first()
     return bytes(model[0]) if model else None
 
 
@@ -226,5 +227,5 @@ def identify(docs: DataFrame, model: bytes | None, id: str = "doc_id", text: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    found = texts.mapInArrow(_predictor(sent), f"id {kind}, lang_pred string, score double")
+    found = texts.mapInArrow(lean(_predictor(sent)), f"id {kind}, lang_pred string, score double")
     return found.withColumnRenamed("id", id)

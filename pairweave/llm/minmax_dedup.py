@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairweave.llm.cells import CELL, cell_tables
 from pairweave.llm.graph import components
-from pairweave.llm.texts import WordHasher, mixed, shingles, text_views
+from pairweave.llm.texts import WordHasher, lean, mixed, shingles, text_views
 from pairweave.session import discard, materialize
 
 PERMUTATIONS = 64  # hash evaluations per shingle; the signature holds twice as many values
@@ -195,7 +195,7 @@ def _sets(texts: DataFrame, ids: DataFrame, size: int, unique: bool) -> DataFram
         marks[row["word"]] = row["bits"] & 0xFFFFFFFFFFFFFFFF
     sent = texts.sparkSession.sparkContext.broadcast(marks)
     sets = texts.where("id is not null").select("id", "text", slot.alias("slot"))
-    sets = sets.mapInArrow(_setter(size, sent), "id long, items array<long>").join(ids, "id", "left_semi")
+    sets = sets.mapInArrow(lean(_setter(size, sent)), "id long, items array<long>").join(ids, "id", "left_semi")
     return sets if unique else sets.dropDuplicates(["id", "items"])
 
 
@@ -245,11 +245,11 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, n_shingles long, digest binary, signature binary"
-    sketches = materialize(texts.mapInArrow(_sketcher(size, permutations, seed), schema), "sketches")
+    sketches = materialize(texts.mapInArrow(lean(_sketcher(size, permutations, seed)), schema), "sketches")
     full = sketches.where("n_shingles > 0 and id is not null")
     classes = materialize(full.groupBy("digest", "signature").agg(F.min("id").alias("id")), "classes")
 
-    keys = classes.select("id", "signature").mapInArrow(_bander(band_rows), "id long, key long")
+    keys = classes.select("id", "signature").mapInArrow(lean(_bander(band_rows)), "id long, key long")
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(keys.join(shared, "key"), "members")
     # texts repeated under one id would multiply in the joins on it
@@ -274,10 +274,10 @@ def near_duplicates(
     cell_schema = "key long, left int, right int, block int, id long, least long, component long, signature binary"
     least = SURE_BELOW * percent / 80
     cells = cells.repartition(*CELL).sortWithinPartitions(*CELL)
-    wanted = materialize(cells.mapInArrow(_open_rows(band_rows, least), cell_schema), "open")
+    wanted = materialize(cells.mapInArrow(lean(_open_rows(band_rows, least)), cell_schema), "open")
     filled = wanted.join(_sets(texts, wanted.select("id").distinct(), size, unique), "id").select(*wanted.columns, "items")
     filled = filled.repartition(*CELL).sortWithinPartitions(*CELL)
-    cross = materialize(filled.mapInArrow(_joined(band_rows, least, percent), "a long, b long"), "cross")
+    cross = materialize(filled.mapInArrow(lean(_joined(band_rows, least, percent)), "a long, b long"), "cross")
     if not cross.isEmpty():
         known = found.select(F.col("component_id").alias("a"), F.col("id").alias("b"))
         whole = materialize(components(known.unionByName(cross)), "components")

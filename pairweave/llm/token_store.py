@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairweave.llm.texts import WordHasher, groups, text_views
+from pairweave.llm.texts import WordHasher, groups, lean, text_views
 from pairweave.session import own, work_path
 
 BITS = 8
 MAGIC = b"DACTOK02"
 END_ID = 2
 IMAGE_TOKENS = 1 << 20  # an image is closed once it holds this many ids; one document is never cut
-KNOWN_WORDS = 1 << 21  # distinct words a Python worker remembers between batches
+KNOWN_WORDS = 1 << 20  # distinct words a Python worker remembers between batches
 
 
 # --- the code itself -------------------------------------------------------------------------
@@ -250,7 +250,7 @@ def _writer(path: str, end_id: int, image_tokens: int):
         for batch in batches:
             named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             docs = batch.column(0).fill_null(0).to_numpy()
-            for a, b in groups(batch.column(1)):
+            for a, b in groups(batch.column(1), 1 << 21):
                 flat, counts = tokens.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32)
                 counts = counts + 1
@@ -289,7 +289,7 @@ def write_tokens(
     """
     ordered = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     schema = "first_doc long, last_doc long, part long, skip long, n_tokens long, image binary"
-    placed = ordered.mapInArrow(_writer(tokenizer, end_id, image_tokens), schema)
+    placed = ordered.mapInArrow(lean(_writer(tokenizer, end_id, image_tokens)), schema)
     ranged = placed.withColumn("range", F.spark_partition_id())
     # one image per row group, so that a reader that wants one skips the others by their statistics
     ranged.write.option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(target)
@@ -323,7 +323,7 @@ def read_images(spark: SparkSession, source: str) -> DataFrame:
 def read_documents(spark: SparkSession, source: str, id: str = "doc_id") -> DataFrame:
     """Per document, from the files: ``start``, ``n_tokens`` and the crc32 of its ids as unsigned 32-bit integers."""
     rows = read_images(spark, source).select("start", "image")
-    rows = rows.mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long")
+    rows = rows.mapInArrow(lean(_reader), "id long, start long, n_tokens long, ids_crc32 long")
     return rows.withColumnRenamed("id", id)
 
 

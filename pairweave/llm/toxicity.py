@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pairweave.functions.text import seeded_digest
-from pairweave.llm.texts import WordHasher, groups, mixed, text_views
+from pairweave.llm.texts import WordHasher, groups, lean, mixed, text_views
 
 WINDOW, STRIDE = 64, 48  # words; neighbours share 16
 BUCKETS = 1 << 14  # rows of either embedding table
@@ -32,7 +32,9 @@ PARAMETERS = ("words", "chars", "input", "bias", "forward", "backward", "look",
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.exp(-np.clip(x, -60, 60))
+    y = np.negative(x)
+    with np.errstate(over="ignore"):  # an infinite power gives 0
+        np.exp(y, out=y)
     y += 1
     return np.reciprocal(y, out=y)
 
@@ -53,29 +55,29 @@ class Words:
         flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         self.kinds, first, self.place = np.unique(flat, return_index=True, return_inverse=True)
         self.bucket = (self.kinds >> np.uint64(50)).astype(np.int64)
-        owner = np.searchsorted(np.cumsum(self.counts), first, side="right")
-        starts = np.concatenate([*[f[1] for f in found if f], np.zeros(0, np.int64)])[first]
-        ends = np.concatenate([*[f[2] for f in found if f], np.zeros(0, np.int64)])[first]
-        self._grams([views[d][a:b] for d, a, b in zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True)], hasher)
+        at = np.cumsum([0, *[0 if v is None else len(v) for v in views]])
+        spans = [(f[1] + at[i], f[2] + at[i]) for i, f in enumerate(found) if f]
+        starts, ends = (np.concatenate([*x, np.zeros(0, np.int64)])[first] for x in (zip(*spans, strict=True) if spans else ((), ())))
+        data = np.concatenate([*[v for v in views if v is not None], np.zeros(1, np.uint8)])
+        self._grams(hasher.values, data, starts, ends - starts)
         self._windows()
 
-    def _grams(self, words: list[np.ndarray], hasher: WordHasher) -> None:
-        mark = np.zeros(1, np.uint8)
-        self.gram, self.gram_word = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not words:
-            return
-        sizes = np.array([len(w) + 2 for w in words])
-        data = np.concatenate([x for w in words for x in (mark, w, mark)])
-        values = hasher.values[data]
-        word, left = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
-        parts = []
+    def _grams(self, values: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Hashed n-grams of each distinct word between two marks, all words at once."""
+        sizes = lengths + 2
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = sizes[word] - place
+        mark = (place == 0) | (left == 1)
+        letters = np.where(mark, values[0], values[data[np.where(mark, 0, starts[word] + place - 1)]])
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.uint16))]
         with np.errstate(over="ignore"):
             for n in GRAMS:
-                code = np.zeros(max(0, len(data) - n + 1), np.uint64)
+                code = np.zeros(max(0, len(word) - n + 1), np.uint64)
                 for k in range(n):
-                    code = code * np.uint64(0x9E3779B97F4A7C15) + values[k : k + len(code)]
+                    code = code * np.uint64(0x9E3779B97F4A7C15) + letters[k : k + len(code)]
                 at = np.flatnonzero(left[: len(code)] >= n)
-                parts.append((word[at], (mixed(code[at]) >> np.uint64(50)).astype(np.int64)))
+                parts.append((word[at], (mixed(code[at]) >> np.uint64(50)).astype(np.uint16)))
         words_of, gram = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(words_of, kind="stable")
         self.gram_word, self.gram = words_of[order], gram[order]
@@ -96,7 +98,7 @@ class Words:
         self.window_text = np.concatenate([*texts, none])
         grid = begin[:, None] + np.arange(WINDOW)[None, :]
         inside = grid < end[:, None]
-        self.index = np.full(grid.shape, -1, np.int64)
+        self.index = np.full(grid.shape, -1, np.int32)
         self.index[inside] = self.place[grid[inside]]
 
 
@@ -134,22 +136,35 @@ def embed(w: dict[str, np.ndarray], words: Words) -> np.ndarray:
 
 
 def _pass(gates: np.ndarray, index: np.ndarray, recurrent: np.ndarray, back: bool, keep: list | None) -> np.ndarray:
-    """Hidden states of one direction, (step, window, unit); ``keep`` collects what its gradient needs."""
+    """Hidden states of one direction, (step, window, unit); ``keep`` collects what its gradient needs.
+
+    The update and reset gates and the candidate are separate, so that every
+    array is contiguous and is worked on in place.
+    """
     n, steps = index.shape
-    h, out = np.zeros((n, HIDDEN), np.float32), np.zeros((steps, n, HIDDEN), np.float32)
-    ragged = (index < 0).any()
+    wide = 2 * HIDDEN
+    first, second = np.ascontiguousarray(gates[:, :wide]), np.ascontiguousarray(gates[:, wide:])
+    one, two = np.ascontiguousarray(recurrent[:, :wide]), np.ascontiguousarray(recurrent[:, wide:])
+    h, out = np.zeros((n, HIDDEN), gates.dtype), np.zeros((steps, n, HIDDEN), gates.dtype)
+    rows, ragged = np.ascontiguousarray(index.T), (index < 0).any()
     for t in range(steps - 1, -1, -1) if back else range(steps):
-        x = gates[index[:, t]]  # -1 reads the last row, which stands for no word
-        u = h @ recurrent
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+        zr = first.take(rows[t], axis=0, mode="wrap")  # -1 is the last row, which stands for no word
+        zr += h @ one
+        zr = _sigmoid(zr)
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        c = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        new = h + z * (c - h)
+        u = h @ two
+        c = second.take(rows[t], axis=0, mode="wrap")
+        c += r * u
+        np.tanh(c, out=c)
+        new = out[t]
+        np.subtract(c, h, out=new)
+        new *= z
+        new += h
         if ragged:
-            new = np.where(index[:, t, None] >= 0, new, h)
+            np.copyto(new, h, where=(rows[t] < 0)[:, None])
         if keep is not None:
-            keep.append((t, h, z, r, c, u[:, 2 * HIDDEN :]))
-        h = out[t] = new
+            keep.append((t, h, z, r, c, u))
+        h = new
     return out
 
 
@@ -157,10 +172,12 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, index: np.ndarray, keep: di
     """Logit of each window."""
     gates = np.concatenate([x @ w["input"] + w["bias"], np.zeros((1, 6 * HIDDEN), np.float32)])
     sides = [None if keep is None else [], None if keep is None else []]
-    one = _pass(np.ascontiguousarray(gates[:, : 3 * HIDDEN]), index, w["forward"], False, sides[0])
-    two = _pass(np.ascontiguousarray(gates[:, 3 * HIDDEN :]), index, w["backward"], True, sides[1])
+    one = _pass(gates[:, : 3 * HIDDEN], index, w["forward"], False, sides[0])
+    two = _pass(gates[:, 3 * HIDDEN :], index, w["backward"], True, sides[1])
     h = np.concatenate([one, two], axis=2)
-    looked = np.tanh(h @ w["look"] + w["look_bias"])
+    looked = h @ w["look"]
+    looked += w["look_bias"]
+    np.tanh(looked, out=looked)
     score = np.where(index.T >= 0, looked @ w["query"], np.float32(-1e9))
     share = np.exp(score - score.max(axis=0))
     share /= share.sum(axis=0)
@@ -268,7 +285,7 @@ def score_views(w: dict[str, np.ndarray], views: list[np.ndarray | None], hasher
 
 
 SCORE = "__toxicity"  # the added column, a name no table has
-PIECE = 1 << 20  # bytes of a long text scored at once
+PIECE = 1 << 18  # bytes of text scored at once
 
 
 def pieces(view: np.ndarray, hasher: WordHasher) -> Iterator[np.ndarray]:
@@ -341,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     chosen = [placed.where(f"label = {k}").orderBy("place").limit(rows) for k in (0, 1)]
     sample = texts.where(F.octet_length("text").between(1, longest)).join(chosen[0].unionByName(chosen[1]), "id")
     sample = sample.select("place", "label", "text").coalesce(1)
-    found = sample.mapInArrow(_trainer(seed), "model binary").first()
+    found = sample.mapInArrow(lean(_trainer(seed)), "model binary").first()
     return bytes(found[0]) if found else None
 
 
@@ -349,7 +366,7 @@ def with_toxicity(docs: DataFrame, model: bytes, text: str = "text") -> DataFram
     """``docs`` with the score of each row as a last column named by ``SCORE``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
-    return docs.mapInArrow(_scorer(sent, docs.columns.index(text)), schema)
+    return docs.mapInArrow(lean(_scorer(sent, docs.columns.index(text))), schema)
 
 
 def toxicity(docs: DataFrame, model: bytes | None, id: str = "doc_id", text: str = "text") -> DataFrame:
