@@ -85,6 +85,53 @@ def _attach(rows: DataFrame, per_source: DataFrame, targets: DataFrame, how: str
     return rows.join(F.broadcast(per_source) if small else per_source, "src", how)
 
 
+def _ranked(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds whether a row is sure or open, its ranking value, and the bucket of that value."""
+    chance = F.least(F.col("factor") * F.col("size"), F.lit(1.0))
+    sure = F.coalesce(F.col("size") >= F.col("sure_from"), F.lit(False))
+    rows = rows.withColumn("sure", sure).withColumn("open", ~sure & (F.col("left") > 0) & (F.col("size") > 0))
+    digest = seeded_digest(F.coalesce(F.col("id").cast("string"), F.lit("")), seed)
+    u = (digest_number(digest, 1, 13) + F.lit(0.5)) / F.lit(float(1 << 52))
+    value = F.when(F.col("open"), (u * (1 - chance)) / ((1 - u) * chance))
+    buckets = F.ceil(F.col("n") / F.lit(BUCKET_ROWS))
+    rows = rows.withColumn("value", value)
+    return rows.withColumn("bucket", F.floor(F.col("value") / (1 + F.col("value")) * buckets).cast("long"))
+
+
+PLACE = ("value", "id", "size")  # the order of ranking
+
+
+def mixing_plan(sizes: DataFrame, weights: Sequence[float], share: float, copies: int, seed: int) -> DataFrame:
+    """One row per source: its target, whole copies, inclusion factor, and the place where its sample ends.
+
+    With it every document's copies follow from its own id and size.
+    """
+    targets = materialize(source_targets(sizes, weights, share, copies), "targets")
+    plan = materialize(_inclusion(sizes, targets), "inclusion")
+    rows = _ranked(_attach(sizes, plan, targets), seed).where("open")
+    sums = rows.groupBy("src", "bucket", "left").agg(F.sum("size").alias("words"))
+    order = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
+    ends = sums.where("before <= left").groupBy("src").agg(
+        F.max("bucket").alias("last"), F.max_by("before", "bucket").alias("before")
+    )
+    ends = materialize(ends, "ends")
+    inside = W.partitionBy("src", "bucket").orderBy(*PLACE).rowsBetween(W.unboundedPreceding, W.currentRow)
+    at_end = _attach(rows, ends, targets).where("bucket = last")
+    upto = F.col("before") + F.sum("size").over(inside) - F.col("size") / 2
+    cuts = at_end.withColumn("upto", upto).where("upto <= left").groupBy("src").agg(F.max(F.struct(*PLACE)).alias("cut"))
+    return materialize(plan.join(ends.drop("before"), "src", "left").join(cuts, "src", "left"), "mixing-plan")
+
+
+def _decided(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """Adds ``copies`` to rows with ``src``, ``id`` and ``size``; nothing is shuffled."""
+    rows = _ranked(_attach(rows, plan, plan), seed)
+    here = F.coalesce(F.struct(*PLACE) <= F.col("cut"), F.lit(False))
+    picked = F.col("open") & ((F.col("bucket") < F.col("last")) | ((F.col("bucket") == F.col("last")) & here))
+    extra = (F.col("sure") | F.coalesce(picked, F.lit(False))).cast("long")
+    return rows.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(F.lit(0)))
+
+
 def mix_sources(
     docs: DataFrame,
     id: str = "doc_id",
@@ -109,57 +156,44 @@ def mix_sources(
 
     The order is cut into buckets by the ranking value, about 4096 documents
     each; running sums of buckets find the one where a source's sample ends, and
-    only its rows are ranked. A source of any size is spread over all tasks.
+    only its rows are ranked. What comes out is one row per source, from which
+    every document decides for itself. A source of any size is spread over all
+    tasks, and texts are read twice but never shuffled.
 
     Null or blank texts have size 0 and are never taken. Null ids share one
-    random number; equal ids are ordered by size. Extra columns are not read.
-    An empty table gives an empty result. The same input gives the same result.
+    random number; rows that share id and size share a decision. Extra columns
+    are not read. An empty table gives an empty result. The same input gives the
+    same result.
     """
-    sizes = docs.select(F.col(id).alias("id"), F.struct(F.col(source).alias("source")).alias("src"), word_count(text).alias("size"))
-    sizes = materialize(sizes, "sizes")
-    targets = materialize(source_targets(sizes, weights, share, copies), "targets")
-    plan = materialize(_inclusion(sizes, targets), "inclusion")
+    sizes = materialize(_sized(docs, F.col(id), text, source), "sizes")
+    decided = _decided(sizes, mixing_plan(sizes, weights, share, copies, seed), seed)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return decided.select(F.col("id").alias(id), "size", "source_size", "target", "copies", taken)
 
-    rows = _attach(sizes, plan, targets)
-    chance = F.least(F.col("factor") * F.col("size"), F.lit(1.0))
-    sure = F.coalesce(F.col("size") >= F.col("sure_from"), F.lit(False))
-    rows = rows.withColumn("sure", sure).withColumn("open", ~sure & (F.col("left") > 0) & (F.col("size") > 0))
-    digest = seeded_digest(F.coalesce(F.col("id").cast("string"), F.lit("")), seed)
-    u = (digest_number(digest, 1, 13) + F.lit(0.5)) / F.lit(float(1 << 52))
-    value = F.when(F.col("open"), (u * (1 - chance)) / ((1 - u) * chance))
-    buckets = F.ceil(F.col("n") / F.lit(BUCKET_ROWS))
-    rows = rows.withColumn("value", value)
-    rows = rows.withColumn("bucket", F.floor(F.col("value") / (1 + F.col("value")) * buckets).cast("long"))
 
-    sums = rows.where("open").groupBy("src", "bucket", "left").agg(F.sum("size").alias("words"))
-    order = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
-    ends = sums.where("before <= left").groupBy("src").agg(
-        F.max("bucket").alias("last"), F.max_by("before", "bucket").alias("before")
-    )
-    rows = _attach(rows, materialize(ends, "ends"), targets, "left")
-    inside = W.partitionBy("src", "bucket").orderBy("value", "id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    at_end = F.col("open") & (F.col("bucket") == F.col("last"))
-    ranked = rows.where(at_end).withColumn(
-        "picked", F.col("before") + F.sum("size").over(inside) - F.col("size") / 2 <= F.col("left")
-    )
-    settled = rows.where(~F.coalesce(at_end, F.lit(False))).withColumn(
-        "picked", F.coalesce(F.col("sure") | (F.col("open") & (F.col("bucket") < F.col("last"))), F.lit(False))
-    )
-    taken = F.when(F.col("size") > 0, F.col("whole") + F.col("picked").cast("long")).otherwise(F.lit(0))
-    return settled.unionByName(ranked).select(
-        F.col("id").alias(id), "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken")
-    )
+def _sized(docs: DataFrame, key: Column, text: str, source: str, *more: Column) -> DataFrame:
+    return docs.select(key.alias("id"), F.struct(F.col(source).alias("source")).alias("src"), word_count(text).alias("size"), *more)
 
 
-def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    copies: int = 2,
+    seed: int = 9,
+) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them, all columns as they were.
 
     Rows without an id are told apart by their text; equal ones share a decision.
     """
     nameless = F.concat(F.lit("~"), F.md5(F.coalesce(F.col(text), F.lit(""))))
-    keyed = docs.withColumn("__key", F.coalesce(F.col(id).cast("string"), nameless))
-    taken = mix_sources(keyed, "__key", text, source, **options).where("copies > 0")
-    taken = taken.groupBy("__key").agg(F.max("copies").alias("__copies"))
-    repeated = keyed.join(taken, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*docs.columns)
+    key = F.coalesce(F.col(id).cast("string"), nameless)
+    sizes = materialize(_sized(docs, key, text, source), "sizes")
+    plan = mixing_plan(sizes, weights, share, copies, seed)
+    whole = _sized(docs, key, text, source, F.struct(*docs.columns).alias("row"))
+    repeated = _decided(whole, plan, seed).where("copies > 0")
+    repeated = repeated.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return repeated.select("row.*")
