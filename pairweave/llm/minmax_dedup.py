@@ -19,6 +19,7 @@ from pairweave.session import discard, materialize
 PERMUTATIONS = 64  # hash evaluations per shingle; the signature holds twice as many values
 BAND_ROWS = 4  # 32 bands of 4: a pair at similarity 0.8 meets in none of them once in 2e7
 BLOCK = 1024  # rows of a bucket compared in one task step
+BROADCAST_IDS = 1_000_000  # a longer list of removed ids is joined by shuffle
 SLOTS = 1 << 24  # bits of the bitmap of wanted ids, 2 MB
 SURE_BELOW = 0.6  # estimates below this are 5.7 standard deviations under 0.8
 
@@ -298,16 +299,22 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of near duplicates, all columns as they were.
 
+    Only the ids of rows that go are joined, broadcast up to a checked number.
     Rows without an id stay. Of rows repeated under a kept id one stays, the one
     whose text hashes lowest; it is found by a top-1 per task before any shuffle.
     """
-    marked = near_duplicates(docs, id, text, **options)
-    marked = marked.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("__id"))
-    kept = marked.agg(F.count(F.lit(1)).alias("__n"), F.max("kept").alias("kept")).where("kept").drop("kept")
-    kept = materialize(kept, "kept")
+    marked = near_duplicates(docs, id, text, **options).where(F.col(id).isNotNull())
+    marked = marked.groupBy(F.col(id).alias("__id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    marked = materialize(marked.where("not kept or n > 1"), "marked")
     same = F.col(id) == F.col("__id")
-    once = docs.join(kept.where("__n = 1"), same, "left_semi")
+
+    def listed(condition: str) -> DataFrame:
+        ids = marked.where(condition).select("__id")
+        return F.broadcast(ids) if marked.count() <= BROADCAST_IDS else ids
+
+    kept = docs.join(listed("not kept"), same, "left_anti")
+    if marked.where("kept").isEmpty():
+        return kept
     first = W.partitionBy(id).orderBy(F.xxhash64(text))
-    several = docs.join(kept.where("__n > 1"), same, "left_semi").withColumn("__row", F.row_number().over(first))
-    several = several.where("__row = 1").drop("__row")
-    return once.unionByName(several).unionByName(docs.where(F.col(id).isNull()))
+    several = kept.join(listed("kept"), same, "left_semi").withColumn("__row", F.row_number().over(first))
+    return kept.join(listed("kept"), same, "left_anti").unionByName(several.where("__row = 1").drop("__row"))
