@@ -209,7 +209,8 @@ def fit(docs: DataFrame, learnable, id: str = "doc_id", text: str = "text", lang
     placed = usable.select("id", "lang", seeded_digest(F.coalesce("id", F.lit("")), seed).alias("place"))
     first = W.partitionBy("lang").orderBy("place", "id")
     chosen = placed.withColumn("row", F.row_number().over(first)).where(F.col("row") <= rows).select("id", "lang", "place").distinct()
-    sample = usable.join(chosen, ["id", "lang"]).select("place", "lang", "text").coalesce(1)
+    # bounded by rows times languages, so it is broadcast; only the sample itself is moved to one task
+    sample = usable.join(F.broadcast(chosen), ["id", "lang"]).select("place", "lang", "text").repartition(1)
     model = sample.mapInArrow(lean(_trainer(idf, seed)), "model binary").first()
     return bytes(model[0]) if model else None
 

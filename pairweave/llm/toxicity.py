@@ -356,8 +356,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     usable = texts.where(F.octet_length("text").between(1, longest)).select("id").join(marks, "id").distinct()
     placed = usable.withColumn("place", seeded_digest("id", seed))
     chosen = [placed.where(f"label = {k}").orderBy("place").limit(rows) for k in (0, 1)]
-    sample = texts.where(F.octet_length("text").between(1, longest)).join(chosen[0].unionByName(chosen[1]), "id")
-    sample = sample.select("place", "label", "text").coalesce(1)
+    sample = texts.where(F.octet_length("text").between(1, longest)).join(
+        F.broadcast(chosen[0].unionByName(chosen[1])), "id"
+    )  # at most 2 * rows ids
+    sample = sample.select("place", "label", "text").repartition(1)  # only the sample is moved to one task
     found = sample.mapInArrow(lean(_trainer(seed)), "model binary").first()
     return bytes(found[0]) if found else None
 
