@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, exact bounds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
-import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +14,6 @@ from pairweave.llm.texts import WordHasher, lean, text_views
 from pairweave.session import discard, materialize
 
 SEED_WORDS = 3
-RARE_SHARE = 1e-3  # a seed in at most this share of all documents is rare
-NEAR_RAREST = 4  # an item's seeds up to so many times as frequent as its rarest one are rare for it
 LEAST_SCORE = 0.5  # alignment score of a leak, as a share of the item's words
 MATCH, MISMATCH, GAP = 1, -1, -1
 BLOCK_WORDS = 1 << 20  # benchmark words held by a task at once; more items make more blocks
@@ -74,79 +71,103 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-class Block:
-    """Benchmark items as flat arrays, small enough to send to every task."""
+def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``first[i]``, ``first[i] + 1``, ... for ``many[i]`` numbers, one after the other."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
 
-    def __init__(self, ids: list[int], texts: list[str], size: int = SEED_WORDS):
-        hasher = leak_hasher()
-        self.size, self.ids = size, ids
-        self.items = [hasher.words(v) if v is not None else np.zeros(0, np.uint64) for v in lowered(pa.array(texts, pa.string()))]
-        found = [grams(w, size) for w in self.items]
-        self.gram = np.concatenate([*found, np.zeros(0, np.uint64)])
-        self.item = np.repeat(np.arange(len(ids)), [len(g) for g in found])
-        self.place = np.concatenate([*[np.arange(len(g)) for g in found], np.zeros(0, np.int64)]).astype(np.int64)
-        self.keep(np.ones(len(self.gram), bool))
-
-    def keep(self, rows: np.ndarray) -> None:
-        self.gram, self.item, self.place = self.gram[rows], self.item[rows], self.place[rows]
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.place = self.gram[order], self.item[order], self.place[order]
-        self.kinds, self.first = np.unique(self.gram, return_index=True)
-        self.last = np.append(self.first[1:], len(self.gram)).astype(np.int64)
+
+class Keys:
+    """Distinct hashes with a sieve, so that most others are told apart without a search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.all = np.unique(hashes)
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.kinds >> np.uint64(44)).astype(np.int64)] = True
+        self.sieve[(self.all >> np.uint64(44)).astype(np.int64)] = True
 
     def hits(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``found`` that hold a seed, and which kind."""
+        """Positions in ``found`` that hold a key, and which one."""
         at = np.flatnonzero(self.sieve[(found >> np.uint64(44)).astype(np.int64)])
         if not len(at):
             return at, at
-        kind = np.minimum(np.searchsorted(self.kinds, found[at]), len(self.kinds) - 1)
-        same = self.kinds[kind] == found[at]
-        return at[same], kind[same]
+        key = np.minimum(np.searchsorted(self.all, found[at]), len(self.all) - 1)
+        same = self.all[key] == found[at]
+        return at[same], key[same]
 
 
-def _counter(block):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, hasher = block.value, leak_hasher()
-        total, docs = np.zeros(len(b.kinds), np.int64), 0
-        for batch in batches:
-            docs += batch.num_rows
-            for view in lowered(batch.column(0)):
-                if view is not None:
-                    total[np.unique(b.hits(grams(hasher.words(view), b.size))[1])] += 1
-        kind = np.append(np.flatnonzero(total), -1)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.append(total[total > 0], docs))], ["kind", "docs"])
+class Block:
+    """Benchmark items as flat arrays, small enough to send to every task."""
 
-    return run
+    def __init__(self, ids: list[int], texts: list[str], size: int = SEED_WORDS):
+        hasher = leak_hasher()
+        self.size, self.ids = size, ids
+        self.items = [hasher.words(v) if v is not None else np.zeros(0, np.uint64) for v in lowered(pa.array(texts, pa.string()))]
+        flat = np.concatenate([*self.items, np.zeros(0, np.uint64)])
+        self.length = np.array([len(w) for w in self.items], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.vocabulary = Keys(flat)
+        self.word = np.searchsorted(self.vocabulary.all, flat)
+        found = [grams(w, size) for w in self.items]
+        gram = np.concatenate([*found, np.zeros(0, np.uint64)])
+        self.seeds = Keys(gram)
+        self.kind = np.searchsorted(self.seeds.all, gram)  # an item's seeds stand together, in the order of its words
+        self.n_seeds = np.array([len(g) for g in found], np.int64)
+        self.first_seed = np.cumsum(self.n_seeds) - self.n_seeds
+        # the items of each kind of seed
+        item = np.repeat(np.arange(len(ids)), self.n_seeds)
+        order = np.argsort(self.kind, kind="stable")
+        self.holder = item[order]
+        self.holders = np.bincount(self.kind, minlength=len(self.seeds.all))
+        self.first_holder = np.cumsum(self.holders) - self.holders
+
+    def candidates(self, kinds: np.ndarray, present: np.ndarray, least: float) -> np.ndarray:
+        """Items with one of the seeds of which enough words are ``present``, those with most seeds first."""
+        items, shared = np.unique(self.holder[ranges(self.first_holder[kinds], self.holders[kinds])], return_counts=True)
+        m = self.length[items]
+        occur = np.add.reduceat(present[self.word[ranges(self.begin[items], m)]].astype(np.int64), np.cumsum(m) - m)
+        enough = occur * MATCH >= least * m  # no alignment can score more than the words that occur
+        return items[enough][np.argsort(-shared[enough], kind="stable")]
 
 
 def leaks_in(block: Block, words: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
-    """``(item, score, first word, last word)`` of every item that the text leaks."""
-    at, kind = block.hits(grams(words, block.size))
+    """``(item, score, first word, last word)`` of every item that the text leaks.
+
+    However frequent a seed is, each place of it is followed up; only places
+    that cannot reach the least score by the words around them are left out.
+    """
+    at, kind = block.seeds.hits(grams(words, block.size))
     if not len(at):
         return
-    reps = block.last[kind] - block.first[kind]
-    rows = np.repeat(block.first[kind], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    items, where = block.item[rows], np.repeat(at, reps) - block.place[rows]
-    order = np.lexsort((where, items))
-    items, where = items[order], where[order]
-    for k in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1):
-        item = block.items[items[k[0]]]
-        m, best = len(item), (0, 0, 0)
+    order = np.argsort(kind, kind="stable")
+    at, kind = at[order], kind[order]
+    known, which = block.vocabulary.hits(words)
+    present = np.zeros(len(block.vocabulary.all), bool)
+    present[which] = True
+    own = np.zeros(len(present), bool)
+    for i in block.candidates(np.unique(kind), present, least):
+        item, m, best = block.items[i], int(block.length[i]), (0, 0, 0)
+        seeds = block.kind[block.first_seed[i] : block.first_seed[i] + block.n_seeds[i]]
+        left = np.searchsorted(kind, seeds)
+        many = np.searchsorted(kind, seeds, side="right") - left
         # an item starts about there; insertions and deletions shift the rest by less than its length
-        begins = where[k] - m // 2
+        begins = np.unique(at[ranges(left, many)] - np.repeat(np.arange(len(seeds)), many)) - m // 2
         cut = np.flatnonzero(np.diff(begins) > 2 * m) + 1
-        for part in np.split(begins, cut):
-            lo, hi = max(0, int(part[0])), min(len(words), int(part[-1]) + 2 * m + 1)
+        lows = np.maximum(begins[np.append(0, cut)], 0)
+        highs = np.minimum(begins[np.append(cut, len(begins)) - 1] + 2 * m + 1, len(words))
+        # nor can one score more than the words of the text there that the item holds
+        vocabulary = block.word[block.begin[i] : block.begin[i] + m]
+        own[vocabulary] = True
+        places = np.sort(known[own[which]])
+        own[vocabulary] = False
+        held = np.searchsorted(places, highs) - np.searchsorted(places, lows)
+        for lo, hi in zip(*(x[held * MATCH >= least * m].tolist() for x in (lows, highs)), strict=True):
             window = words[lo:hi]
             if np.isin(item, window).sum() * MATCH < least * m:
-                continue  # no alignment can score more than the words that occur
+                continue
             score, a, z = align(item, window)
             if score > best[0]:
                 best = (score, lo + a, lo + z)
         if best[0] >= least * m:
-            yield int(items[k[0]]), best[0] / m, best[1], best[2]
+            yield int(i), best[0] / m, best[1], best[2]
 
 
 def _finder(block, least: float):
@@ -183,19 +204,6 @@ def _cleaner(block, least: float, place: int):
     return run
 
 
-def rare_seeds(block: Block, docs: int, frequency: np.ndarray, share: float) -> np.ndarray:
-    """Rows of the block's seeds that are rare in the corpus, or rare for their item.
-
-    The second rule leaves every item seeds even where its leak itself made all
-    of them frequent.
-    """
-    kind = np.searchsorted(block.kinds, block.gram)
-    own = frequency[kind]
-    rarest = np.full(len(block.items), np.iinfo(np.int64).max)
-    np.minimum.at(rarest, block.item, own)
-    return own <= np.maximum(share * docs, NEAR_RAREST * rarest[block.item])
-
-
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -203,21 +211,20 @@ def find_leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    share: float = RARE_SHARE,
     least: float = LEAST_SCORE,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``(id, item_id, score, first_word, last_word)`` for every document and the test items it leaks.
 
-    Seeds are the items' runs of three words. Their document frequencies are
-    counted over the whole corpus, and rare ones join texts to items in the scan.
-    Around the seeds the item is aligned with the text, match 1, mismatch and gap
-    -1; a leak scores at least ``least`` of the item's words. Words are split at
-    blanks and ASCII punctuation, all letters lower-cased.
+    Seeds are the items' runs of three words; all of them, rare or frequent, join
+    texts to items in the scan. Around the seeds the item is aligned with the
+    text, match 1, mismatch and gap -1, unless the words there cannot reach the
+    least score; a leak scores at least ``least`` of the item's words. Words are
+    split at blanks and ASCII punctuation, all letters lower-cased.
 
     Items go to the tasks in blocks of a fixed number of words; a benchmark of
     any size is worked off block by block, each over all documents. Nothing is
-    shuffled but seed counts, one row per seed and task.
+    shuffled.
 
     Null and empty texts leak nothing. Items that are null or shorter than three
     words have no seed and match nothing. Rows repeated in either table give
@@ -229,7 +236,7 @@ def find_leaks(
     schema = "id long, item_id long, score double, first_word long, last_word long"
     found = None
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        sent = _rare_block(texts, "text", block, share)
+        sent = spark.sparkContext.broadcast(block)
         leaks = texts.mapInArrow(lean(_finder(sent, least)), schema)
         found = leaks if found is None else found.unionByName(leaks)
     if found is None:
@@ -243,13 +250,12 @@ def without_leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    share: float = RARE_SHARE,
     least: float = LEAST_SCORE,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """Rows of ``docs`` that leak no test item, all columns as they were."""
     for block in _blocks(benchmark, item_id, item_text, block_words):
-        sent = _rare_block(docs, text, block, share)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
         docs = docs.mapInArrow(lean(_cleaner(sent, least, docs.columns.index(text))), docs.schema)
     return docs
 
@@ -265,18 +271,3 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_words: int
         if rows:
             yield Block([r["item_id"] for r in rows], [r["text"] for r in rows])
     discard(items)
-
-
-def _rare_block(docs: DataFrame, text: str, block: Block, share: float):
-    """The block as a broadcast, its seeds reduced to those that are rare in ``docs``."""
-    spark = docs.sparkSession
-    counts = docs.select(text).mapInArrow(lean(_counter(spark.sparkContext.broadcast(block))), "kind long, docs long")
-    frequency, n_docs = np.zeros(len(block.kinds), np.int64), 0
-    for r in counts.groupBy("kind").agg(F.sum("docs").alias("docs")).collect():
-        if r["kind"] < 0:
-            n_docs = r["docs"]
-        else:
-            frequency[r["kind"]] = r["docs"]
-    rare = copy.copy(block)
-    rare.keep(rare_seeds(block, n_docs, frequency, share))
-    return spark.sparkContext.broadcast(rare)

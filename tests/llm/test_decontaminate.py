@@ -75,6 +75,29 @@ def test_frequent_leak_keeps_its_seeds(spark):
     assert sorted(r.doc_id for r in got.collect()) == list(range(400))
 
 
+def test_edited_leak_in_every_document(spark):
+    """All shared seeds are frequent, and the item also has seeds that no document holds."""
+    edited = ITEMS[0][1].replace("epsilon", "changed")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for docs, leaks in ((400, 400), (10_000, 200)):
+        rows = [(i, f"u{i} v{i} {edited if i < leaks else PAD} x{i}") for i in range(docs)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = dc.find_leaks(df, items).collect()
+        assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(i, 0, 0.8) for i in range(leaks)]
+        assert sorted(r.doc_id for r in dc.without_leaks(df, items).collect()) == list(range(leaks, docs))
+
+
+def test_common_seed_beside_the_leak(spark):
+    """A seed that stands many times in a long text, far from the edited copy, hides nothing."""
+    common, item = "one of the", "one of the alpha beta gamma delta epsilon zeta eta"
+    edited = "alpha beta gamma changed epsilon zeta eta"
+    rows = [(i, f"{(common + f' {PAD} ') * 50} {edited if i % 2 else 'eta zeta'} {PAD}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dc.find_leaks(docs, spark.createDataFrame([(0, item), (1, common)], "item_id long, text string")).collect()
+    want = [(i, 0, 0.5) for i in range(1, 40, 2)] + [(i, 1, 1.0) for i in range(40)]
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("which", ["docs", "items"])
 def test_empty_tables(spark, which):
     docs = spark.createDataFrame([] if which == "docs" else [(1, "a b c d")], "doc_id long, text string")
