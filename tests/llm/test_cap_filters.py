@@ -77,6 +77,34 @@ def test_recall_at_the_least_cosine():
     assert np.mean(met) > 0.99
 
 
+@pytest.mark.parametrize(
+    "size,rows",
+    [(64, 50_000), (64, 3_000_000), (64, 30_000_000), (16, 50_000), (16, 30_000_000), (12, 1_000_000), (8, 50_000),
+     (8, 30_000_000), (5, 1_000_000), (4, 50_000), (3, 30_000_000), (2, 2000), (2, 30_000_000), (1, 50_000)],
+)
+def test_recall_at_many_rows_and_short_lengths(size, rows):
+    rng = np.random.default_rng(size)
+    x, y = rng.normal(size=(2, 400, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(axis=1)[:, None] * x
+    y = x if size == 1 else 0.9001 * x + math.sqrt(1 - 0.9001**2) * y / np.linalg.norm(y, axis=1)[:, None]
+    decoder = cf.Decoder(rows, 0.9, np.float64, 4)
+    a, b = (decoder([v.tobytes() for v in vectors]) for vectors in (x, 3 * y))
+    met = [bool(np.intersect1d(p, q).size) for p, q in zip(a, b, strict=True)]
+    assert np.mean(met) == 1 if size <= cf.SHORT else np.mean(met) > 0.99
+    assert all((np.diff(k) > 0).all() for k in (*a, *b))
+
+
+def test_short_vectors_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    found = [[float(x) for x in rng.normal(size=size)] for size in (1, 2, 3, 4, 8) for _ in range(50)]
+    found += [[2.0], [3.0], [-1.0, 0.0], [-2.0, 0.0], [0.0, 0.0, 1e-30]]
+    rows = list(enumerate(found))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = cf.near_vectors(df).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=repr) == plain(rows)
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(cf, "BLOCK", block)
