@@ -50,7 +50,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<![^>]*>?|<\?[^>]*>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\s*=\s*\"[^\"]*\"|\s*=\s*'[^']*'|[^>])*?)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# One attribute after the other: a whole name and its value, which may contain anything.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?", re.A)
 SENTENCE = re.compile(r"[.!?…。！？](?:\s|$)")
 
 SURE = 12.0  # cost of a label that the tree rules out
@@ -67,14 +68,18 @@ class Node:
         up = parent or ROOT
         words, gone = "", False
         if attributes:
+            read: set[str] = set()
             for m in ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if key in read:
+                    continue  # the first of a name counts
+                read.add(key)
                 if key in ("class", "id", "role"):
                     words += " " + value
                 elif key == "style":
                     gone = gone or "display:none" in value.replace(" ", "")
-                else:
-                    gone = gone or key == "hidden" or value == "true"
+                elif key == "hidden" or key == "aria-hidden" and value == "true":
+                    gone = True
         boiler = REMARKS if name in INSIDE else BOILER_WORDS  # layout words of the main element name its neighbours
         named = bool(words) and name not in ("html", "body") and bool(boiler.search(words))
         self.unseen = up.unseen or name in UNSEEN or gone

@@ -63,6 +63,32 @@ def test_small_pages(html, want):
     assert ht.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        '<p title="the hidden valley">', '<p data-hidden="false">', "<p data-hidden>", '<p data-id="comment-5">', "<p xclass=ad>",
+        "<p title='x hidden id=\"ad\"'>", "<p title = hidden>", '<p data-style="display:none">', '<p title="class=ad">', "<p =hidden>",
+        '<p aria-hidden="false">', '<p data-aria-hidden="true">', '<p onclick="a.style=1; id = 2">', '<p class="x" class="ad">',
+    ],
+)
+def test_words_in_values_and_longer_names_say_nothing(tag):
+    assert ht.main_text(f"<article><p>a</p>{tag}b</p></article>") == "a\n\nb"
+    assert ht.main_text(f"<html><body{tag[2:]}<article{tag[2:]}<p>a</p></article>") == "a"
+
+
+def test_link_to_a_hidden_place_is_read():
+    assert ht.main_text('<article><p>To the <a href="/travel/hidden-valley">valley</a> and on.</p></article>') == "To the valley and on."
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["<p hidden>", "<p title='a'hidden>", '<p title="a > b" HIDDEN="">', "<p/hidden>", '<p class="x"id="ad">', "<p class = ad>", "<p CLASS='ad x'>",
+     "<p style='color:red; display : none'>", "<p aria-hidden=true>", "<p a=b role=navigation c>"],
+)
+def test_attributes_of_all_forms_are_read(tag):
+    assert ht.main_text(f"<article><p>a</p>{tag}b</p></article>") == "a"
+
+
 def test_table_of_pages(spark):
     deep = "<div>" * 3000 + f"<article><p>{LONG}</p></article>"
     many = "<article>" + "".join(f"<p>word {i}, and more.</p>" for i in range(5000)) + "</article>"
