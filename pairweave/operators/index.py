@@ -31,6 +31,7 @@ from pairweave.operators.retrieve import (
     block_rows_for,
     cell_kernel,
     check_k,
+    exact_topk,
     grid_topk,
     matrix_of,
     measured,
@@ -221,6 +222,37 @@ def index_topk(
     return best_k(scored.applyInArrow(cell_kernel(k, metric, exclude_self), PARTIAL_SCHEMA), k)
 
 
+def probes_for(
+    queries: DataFrame,
+    index: VectorIndex,
+    k: int = 5,
+    recall: float = 0.95,
+    query_id: str = "vec_id",
+    vector: str = "embedding",
+    metric: str = "cosine",
+    exclude_self: bool = False,
+    measured_on: int = 1000,
+    seed: int = 42,
+) -> int:
+    """The fewest probes whose hits hold a share ``recall`` of the exact ones.
+
+    Measured on ``measured_on`` of the queries, chosen by the hash of their ids;
+    a wider walk keeps every exact hit, so the number is found by halving.
+    """
+    asked = as_queries(queries, query_id, vector).orderBy(F.xxhash64("query_id", F.lit(seed))).limit(measured_on)
+    asked = materialize(asked, "measured-queries")
+    exact = exact_topk(asked, index.items, k, "query_id", "item_id", "vector", metric=metric, exclude_self=exclude_self)
+    exact = materialize(exact, "exact-hits")
+    low, high = 1, max(1, index.cells)  # all cells give the exact result
+    while low < high:
+        middle = (low + high) // 2
+        near = index_topk(asked, index, k, middle, "query_id", "vector", metric, exclude_self)
+        found = recall_against(near, exact).first()["recall"]
+        low, high = (low, middle) if found is None or found >= recall else (middle + 1, high)
+    discard(asked, exact)
+    return low
+
+
 def recall_against(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact hits that the approximate result also has."""
     found = approximate.select("query_id", "item_id", F.lit(1).alias("found"))

@@ -11,7 +11,7 @@ from pairweave.functions.ngrams import ngram_vector
 from pairweave.functions.text import digest_number, words
 from pairweave.functions.vectors import absolute_similarity, cosine, rooted
 from pairweave.operators.eval_retrieval import positives_by_class, with_approaches
-from pairweave.operators.index import build_index, index_topk
+from pairweave.operators.index import build_index, index_topk, probes_for
 from pairweave.operators.rerank import rerank_apply, responses_from_scores
 from pairweave.operators.retrieve import exact_topk
 from pairweave.schemas import SCORE_COLUMNS
@@ -141,6 +141,13 @@ def class_index_hits(spark: SparkSession, sf_dir: str, probes: int = 2, path: st
     return index_topk(e, index, TOP_K, probes, exclude_self=True)
 
 
+def trained_index_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k of all vectors in an index of 16 trained cells, with as many probes as the measured recall asks for."""
+    e = busy_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    index = build_index(e, cells=16)
+    return index_topk(e, index, TOP_K, probes_for(e, index, TOP_K, exclude_self=True), exclude_self=True)
+
+
 def classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, sf_dir, "embeddings")
     return (

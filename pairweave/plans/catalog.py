@@ -306,8 +306,7 @@ def vector_index_recall(spark, d):
 
 @query
 def vector_index_trained(spark, d):
-    e = B.busy_table(spark, d, "embeddings", "vec_id", "embedding")
-    found = index_topk(e, build_index(e, cells=16), B.TOP_K, probes=4, exclude_self=True)
+    found = B.trained_index_hits(spark, d)
     return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("rank").alias("last_rank"))
 
 

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from pairweave.operators.index import build_index, index_topk, load_index, recall_against
+from pairweave.operators.index import build_index, index_topk, load_index, probes_for, recall_against
 from pairweave.operators.retrieve import block_candidates, cut, exact_topk, similarity_to_vector, with_text
+from pairweave.plans import bindings as B
 
 
 def brute(m, k, metric="cosine", exclude_self=True):
@@ -96,6 +97,24 @@ def test_index_is_a_subset_with_measured_recall(vectors):
     assert near.groupBy("query_id").count().where("count > 5").count() == 0
 
 
+def test_probes_reach_the_wanted_recall(vectors):
+    _, df = vectors
+    index, exact = build_index(df, cells=8), exact_topk(df, df, 5)
+
+    def recall(probes):
+        return recall_against(index_topk(df, index, 5, probes, exclude_self=True), exact).first().recall
+
+    probes = probes_for(df, index, 5, 0.9, exclude_self=True)
+    assert recall(probes) >= 0.9 and (probes == 1 or recall(probes - 1) < 0.9)
+    assert probes_for(df.limit(0), index, 5, 0.9) == 1
+
+
+def test_trained_index_query_finds_most_true_neighbours(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    row = recall_against(B.trained_index_hits(spark, sf_dir), B.hits(spark, sf_dir)).first()
+    assert row.exact_hits == 2500 and row.recall >= 0.9
+
+
 def test_vector_against_many_and_text(spark, vectors):
     m, df = vectors
     got = {r.vec_id: r.similarity for r in similarity_to_vector(df, [1.0] * 8, metric="dot").collect()}
