@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairweave.llm.cells import CELL, cell_tables
 from pairweave.llm.graph import components
-from pairweave.llm.texts import WordHasher, lean, mixed, shingles, text_views
+from pairweave.llm.texts import PlacedHasher, lean, mixed, shingles, text_views
 from pairweave.session import discard, materialize
 
 PERMUTATIONS = 64  # hash evaluations per shingle; the signature holds twice as many values
@@ -44,7 +44,7 @@ def min_max(values: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 2048)
 
 def _sketcher(size: int, permutations: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(fold=True)
+        hasher = PlacedHasher(fold=True)
         a, b = _coefficients(permutations, seed)
         for batch in batches:
             counts, digests, signatures = [], [], []
@@ -89,7 +89,7 @@ def _setter(size: int, wanted):
     """Sets of the texts whose slot is marked in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, marks = WordHasher(fold=True), wanted.value
+        hasher, marks = PlacedHasher(fold=True), wanted.value
         for batch in batches:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((marks[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))

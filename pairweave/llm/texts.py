@@ -124,6 +124,50 @@ class WordHasher:
         return self.spans(b)[0]
 
 
+class PlacedHasher(WordHasher):
+    """64-bit hashes of words without algebraic collisions.
+
+    A word is the sum of one random value per (place, byte). A polynomial modulo
+    2**64 gives some long words of two letters one hash; here the values of
+    different places are unrelated.
+    """
+
+    PLACES = 64  # values of the first places are tabled, those of later ones computed
+
+    def __init__(self, fold: bool = False):
+        super().__init__(fold)
+        letters = np.arange(256, dtype=np.uint64)
+        if fold:
+            letters[65:91] = letters[97:123]
+        self.letters = letters
+        self.table = self._values(np.repeat(np.arange(self.PLACES, dtype=np.uint64), 256), np.tile(letters, self.PLACES))
+
+    @staticmethod
+    def _values(place: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((place * np.uint64(256) + letter + np.uint64(1)) * np.uint64(BASE))
+
+    def _slice(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gap = np.ones(len(b) + 2, np.int8)
+        gap[1:-1] = self.blank[b]
+        edge = np.diff(gap)
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if not len(starts):
+            return np.zeros(0, np.uint64), starts, ends
+        inside = gap[1:-1] == 0
+        sizes = ends - starts
+        firsts = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+        letter = b[inside]
+        late = np.flatnonzero(place >= self.PLACES) if int(sizes.max()) > self.PLACES else None
+        if late is None:
+            values = self.table[place * 256 + letter]
+        else:
+            values = self.table[np.minimum(place, self.PLACES - 1) * 256 + letter]
+            values[late] = self._values(place[late].astype(np.uint64), self.letters[letter[late]])
+        return mixed(np.add.reduceat(values, firsts)), starts, ends
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; of the whole sequence when it is shorter."""
     n = len(words)

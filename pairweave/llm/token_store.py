@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pairweave.llm.texts import WordHasher, groups, lean, text_views
+from pairweave.llm.texts import PlacedHasher, groups, lean, text_views
 from pairweave.session import own, work_path
 
 BITS = 8
@@ -132,10 +132,14 @@ class WordTokens:
     A byte-level pre-tokeniser never joins two sides of a single blank between
     two non-blanks, so a text cut before such blanks gives the ids of its pieces
     in a row. A text with two white-space characters in a row is encoded whole.
-    Words met before are looked up by hash in sorted arrays.
+    Words met before are found through a table addressed by their hash and count
+    only when all their bytes agree, so words of one hash keep ids of their own.
     """
 
     BLANKS = r"\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")  # may begin a wide blank
+    TAB = "\t"
+    JOINED = 100  # new words encoded in one call, with a tab between them
 
     def __init__(self, path: str):
         import os
@@ -146,68 +150,183 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.runs = re.compile(f"[{self.BLANKS}]{{2}}")
-        self.hasher = WordHasher()
+        self.narrow = np.zeros(256, bool)
+        self.narrow[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+        self.hasher = PlacedHasher()
         self.hasher.blank[:] = False
         self.hasher.blank[32] = True
+        self.feed = self._encode([self.TAB])[0]
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.slots = np.full(2 * KNOWN_WORDS, -1, np.int32)
+        self.n = self.n_ids = self.n_bytes = 0
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.at, self.byte_at = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.size, self.length = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.ids, self.bytes = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint8)
+
+    @staticmethod
+    def _room(array: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(array):
+            return array
+        grown = np.zeros(max(n, len(array) * 3 // 2), array.dtype)
+        grown[: len(array)] = array
+        return grown
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the words, their ids in a row in that order, and the number of ids of each.
+
+        Words that take the blank before them and hold no tab are encoded many at
+        a time, a tab between them; where its id does not come back once per
+        border, the words of that call are encoded one by one.
+        """
+        many = [i for i, w in enumerate(words) if w[:1] == b" " and b"\t" not in w] if len(self.feed) == 1 else []
+        calls = [many[i : i + self.JOINED] for i in range(0, len(many), self.JOINED)]
+        order, flats, sizes = [], [], []
+        for call, ids in zip(calls, self._encode([b"\t".join([words[i] for i in c]).decode() for c in calls]), strict=True):
+            flat = np.array(ids, np.uint32)
+            border = flat == self.feed[0]
+            cut = np.flatnonzero(border)
+            if len(cut) == len(call) - 1:
+                order += call
+                flats.append(flat[~border])
+                sizes.append(np.diff(cut, prepend=-1, append=len(flat)) - 1)
+        joined = np.zeros(len(words), bool)
+        joined[order] = True
+        alone = np.flatnonzero(~joined).tolist()
+        for ids in self._encode([words[i].decode() for i in alone]):
+            flats.append(np.array(ids, np.uint32))
+            sizes.append(np.array([len(ids)]))
+        return order + alone, np.concatenate([*flats, np.zeros(0, np.uint32)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """Keep words and their ids; their numbers."""
+        order, flat, sizes = self._encode_words(words)
+        words, hashes = [words[i] for i in order], hashes[order]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        new, n, n_ids, n_bytes = len(words), self.n, self.n_ids, self.n_bytes
+        for name, end in (("hashes", n + new), ("at", n + new), ("byte_at", n + new), ("size", n + new), ("length", n + new),
+                          ("ids", n_ids + len(flat)), ("bytes", n_bytes + int(lengths.sum()))):
+            setattr(self, name, self._room(getattr(self, name), end))
+        self.hashes[n : n + new], self.size[n : n + new], self.length[n : n + new] = hashes, sizes, lengths
+        self.at[n : n + new] = n_ids + np.cumsum(sizes) - sizes
+        self.byte_at[n : n + new] = n_bytes + np.cumsum(lengths) - lengths
+        self.ids[n_ids : n_ids + len(flat)] = flat
+        self.bytes[n_bytes : n_bytes + int(lengths.sum())] = np.frombuffer(b"".join(words), np.uint8)
+        self.n, self.n_ids, self.n_bytes = n + new, n_ids + len(flat), n_bytes + int(lengths.sum())
+        numbers = np.empty(new, np.int64)
+        numbers[order] = np.arange(n, n + new)
+        return numbers
+
+    def _file(self, numbers: np.ndarray) -> None:
+        """Give each word the next free slot after the one its hash names."""
+        mask = len(self.slots) - 1
+        at = (self.hashes[numbers] & np.uint64(mask)).astype(np.int64)
+        while len(numbers):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = numbers[free]  # of several words for one slot one stays
+            left = self.slots[at] != numbers
+            numbers, at = numbers[left], (at[left] + 1) & mask
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of words of these hashes, -1 where there is none."""
+        mask = len(self.slots) - 1
+        out = np.full(len(hashes), -1, np.int64)
+        rows, at = np.arange(len(hashes)), (hashes & np.uint64(mask)).astype(np.int64)
+        while len(rows):
+            number = self.slots[at].astype(np.int64)
+            here = (number >= 0) & (self.hashes[number] == hashes[rows])
+            out[rows[here]] = number[here]
+            on = (number >= 0) & ~here
+            rows, at = rows[on], (at[on] + 1) & mask
+        return out
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = self._encode(texts)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for y in found for x in y), np.uint32, int(size.sum()))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
-        where = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.ids = np.insert(self.hashes, where, hashes), np.concatenate([self.ids, flat])
-        self.at, self.size = np.insert(self.at, where, at), np.insert(self.size, where, size)
+    def _unlike(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Rows whose bytes are not those of the word they were given."""
+        wrong = sizes != self.length[numbers]
+        rows = np.flatnonzero(~wrong)
+        size = sizes[rows]
+        firsts = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        same = raw[step + np.repeat(starts[rows] - firsts, size)] == self.bytes[step + np.repeat(self.byte_at[numbers[rows]] - firsts, size)]
+        if not same.all():
+            bad = np.flatnonzero(~same)
+            wrong[rows[np.unique(np.searchsorted(firsts, bad, "right") - 1)]] = True
+        return np.flatnonzero(wrong)
+
+    def _numbers(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The number of each word of a batch; words not met before are learnt."""
+        whole = raw.tobytes()
+
+        def words_at(rows: np.ndarray) -> list[bytes]:
+            return [whole[a:b] for a, b in zip(starts[rows].tolist(), (starts[rows] + sizes[rows]).tolist(), strict=True)]
+
+        numbers = self._find(hashes)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            kinds, firsts, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            learnt = self._learn(kinds, words_at(missing[firsts]))
+            self._file(learnt)
+            numbers[missing] = learnt[back]
+        odd = self._unlike(raw, starts, sizes, numbers)
+        if len(odd):  # another word of the same hash: kept beside it, found again by its bytes
+            words = words_at(odd)
+            kinds = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            learnt = self._learn(np.zeros(len(kinds), np.uint64), list(kinds))
+            numbers[odd] = learnt[[kinds[w] for w in words]]
+        return numbers
+
+    def _with_runs(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Texts in which two white-space characters stand in a row."""
+        blank = self.narrow[raw]
+        blank[ends] = False  # what stands between two texts
+        pairs = np.flatnonzero(blank[1:] & blank[:-1])
+        found = np.zeros(len(begins), bool)
+        found[np.searchsorted(begins, pairs, "right") - 1] = True
+        whole = raw.tobytes()
+        if any(w in whole for w in self.WIDE):
+            for i in np.flatnonzero(~found).tolist():
+                text = whole[begins[i] : ends[i]]
+                found[i] = any(w in text for w in self.WIDE) and self.runs.search(text.decode()) is not None
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and their number per text; null counts as empty."""
-        words, firsts, spans, per_text, whole = [], [], [], [], {}
-        views = list(text_views(texts))
-        with np.errstate(over="ignore"):
-            for i, view in enumerate(views):
-                if view is None or not len(view):
-                    per_text.append(0)
-                    continue
-                text = texts[i].as_py()
-                if self.runs.search(text):
-                    whole[i] = text
-                    per_text.append(0)
-                    continue
-                h, s, e = self.hasher.spans(view)
-                led = s > 0  # a piece that takes the blank before it
-                if not len(e) or e[-1] != len(view):  # a blank ends the text: a piece of its own
-                    h, s, e, led = (np.append(x, y) for x, y in ((h, np.uint64(0)), (s, len(view)), (e, len(view)), (led, True)))
-                words.append((h << np.uint64(1)) | led.astype(np.uint64))
-                spans.append(np.stack([np.full(len(s), i), s - led, e]))
-                per_text.append(len(h))
-        hashes = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        places = np.concatenate(spans, axis=1) if spans else np.zeros((3, 0), np.int64)
-        kinds, firsts, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(kinds) > KNOWN_WORDS:
+        none = np.zeros(0, np.uint8)
+        views = [none if v is None else v for v in text_views(texts)]
+        blank = np.full(1, 32, np.uint8)
+        raw = np.concatenate([x for v in views for x in (v, blank)] or [none])
+        lengths = np.fromiter(map(len, views), np.int64, len(views))
+        ends = np.cumsum(lengths + 1) - 1
+        begins = ends - lengths
+        runs = self._with_runs(raw, begins, ends)
+        whole = {i: views[i].tobytes().decode() for i in np.flatnonzero(runs).tolist()}
+        hashes, starts, stops = self.hasher.spans(raw)
+        of = np.searchsorted(begins, starts, "right") - 1
+        led = starts > begins[of]  # a piece that takes the blank before it
+        hashes, starts = (hashes << np.uint64(1)) | led.astype(np.uint64), starts - led
+        # a blank that ends a text is a piece of its own
+        last = np.flatnonzero((lengths > 0) & (raw[np.maximum(ends - 1, 0)] == 32)) if len(raw) else np.zeros(0, np.int64)
+        of, starts, stops = np.append(of, last), np.append(starts, ends[last] - 1), np.append(stops, ends[last])
+        hashes = np.append(hashes, np.ones(len(last), np.uint64))
+        order = np.argsort(starts, kind="stable") if len(last) else np.arange(len(of))
+        order = order[~runs[of[order]]] if len(whole) else order
+        hashes, starts, sizes = hashes[order], starts[order], (stops - starts)[order]
+        per_text = np.bincount(of[order], minlength=len(views))
+        if self.n + len(hashes) > KNOWN_WORDS and self.n + len(np.unique(hashes)) > KNOWN_WORDS:
             self._forget()
-        new = np.ones(len(kinds), bool)
-        if len(self.hashes):
-            slot = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
-            new = self.hashes[slot] != kinds
-        if new.any():
-            cut = [bytes(views[i][a:b]).decode() for i, a, b in places[:, firsts[new]].T.tolist()]
-            self._learn(kinds[new], cut)
-        slot = np.searchsorted(self.hashes, kinds)[back] if len(kinds) else np.zeros(0, np.int64)
-        size, at = self.size[slot], self.at[slot]
+        while len(self.slots) < 2 * len(hashes):  # one text of very many words
+            self.slots = np.full(2 * len(self.slots), -1, np.int32)
+            self._file(np.arange(self.n))
+        numbers = self._numbers(raw, hashes, starts, sizes)
+        size, at = self.size[numbers].astype(np.int64), self.at[numbers]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.ids[np.arange(total) + np.repeat(at - (ends - size), size)]
-        per_text = np.array(per_text, np.int64)
         borders = np.concatenate([[0], np.cumsum(per_text)])
         token_at = np.concatenate([[0], ends])[borders]
         counts = np.diff(token_at)
@@ -284,10 +403,11 @@ def write_tokens(
     ``tokenizer`` is the path of a byte-level tokenizer file, the same on every
     executor. One range shuffle sorts the documents. Null text counts as empty;
     a document always ends with ``end_id``. Documents without an id come first,
-    ordered by their text. Rows repeated under one id are written one after
-    the other. Extra columns are not read; an empty table gives no image.
+    and rows under one id, or none, are ordered by a hash of their text. Extra columns are not read; an empty table gives no image.
     """
-    ordered = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    # equal ids, or none, are cut by their text, so they spread over as many tasks as their texts do
+    ordered = ordered.withColumn("cut", F.xxhash64("text")).repartitionByRange("id", "cut").sortWithinPartitions("id", "cut", "text").drop("cut")
     schema = "first_doc long, last_doc long, part long, skip long, n_tokens long, image binary"
     placed = ordered.mapInArrow(lean(_writer(tokenizer, end_id, image_tokens)), schema)
     ranged = placed.withColumn("range", F.spark_partition_id())

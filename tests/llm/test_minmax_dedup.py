@@ -108,3 +108,11 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert [r for r in got if r[0] is None] == [(None, 0, None, True), (None, 26, None, True)]
     assert len(got) == len(rows)
     assert mm.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word
+    docs = spark.createDataFrame([(1, word), (2, other), (3, f"{word} {other}"), (4, f"{other} {word}")], "doc_id long, text string")
+    assert all(r.kept for r in mm.near_duplicates(docs, size=4).collect())

@@ -38,10 +38,8 @@ def test_word_tokens_equal_whole_encoding(tokenizer):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab'sé1 .\n\t  -"), max_size=20), max_size=5))
 def test_word_tokens_on_any_text(texts):
-    from tokenizers import Tokenizer
-
-    flat, counts = ts.WordTokens(public_tokenizer()).encode(pa.array(texts, pa.string()))
-    want = plain(Tokenizer.from_file(public_tokenizer()), texts)
+    flat, counts = ts._worker_tokens(public_tokenizer()).encode(pa.array(texts, pa.string()))
+    want = plain(ts._worker_tokens(public_tokenizer()).tokenizer, texts)
     assert counts.tolist() == [len(x) for x in want]
     assert flat.tolist() == [x for y in want for x in y]
 
@@ -87,5 +85,37 @@ def test_empty_table_and_null_id(spark):
     rows = [(None, "x y"), (3, "z"), (None, None), (None, "a"), (3, "b")]
     got = ts.tokenised(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizer()).collect()
     assert [(r.doc_id, r.start, r.n_tokens) for r in sorted(got, key=lambda r: r.start)] == [
-        (None, 0, 1), (None, 1, 2), (None, 3, 3), (3, 6, 2), (3, 8, 2),
+        (None, 0, 2), (None, 2, 1), (None, 3, 3), (3, 6, 2), (3, 8, 2),
     ]
+
+
+def doubled(a, b, steps):
+    """Two unlike words whose polynomial hashes modulo 2**64 agree."""
+    word, other = a, b
+    for _ in range(steps):
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("letters", [("a", "b"), ("中", "文")])
+def test_words_that_a_polynomial_confuses(tokenizer, letters):
+    texts = [f"x {w} y" for w in doubled(*letters, 11)]
+    flat, counts = ts.WordTokens(public_tokenizer()).encode(pa.array(texts))
+    assert flat.tolist() == [x for y in plain(tokenizer, texts) for x in y]
+
+
+@pytest.mark.parametrize("known", [4, 1 << 21])
+def test_words_of_one_hash_keep_their_own_ids(tokenizer, monkeypatch, known):
+    monkeypatch.setattr(ts, "KNOWN_WORDS", known)
+    words = ts.WordTokens(public_tokenizer())
+    spans = words.hasher.spans
+
+    def few(raw):
+        h, s, e = spans(raw)
+        return h % np.uint64(3), s, e
+
+    monkeypatch.setattr(words.hasher, "spans", few)
+    for texts in (TEXTS, TEXTS[::-1], ["one two three four five six one two", "six five two"]):
+        flat, counts = words.encode(pa.array(texts))
+        assert flat.tolist() == [x for y in plain(tokenizer, texts) for x in y]
+        assert counts.tolist() == [len(x) for x in plain(tokenizer, texts)]
