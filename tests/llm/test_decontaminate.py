@@ -59,10 +59,10 @@ def test_find_leaks_equals_brute_force(spark):
     for doc_id, text in documents():
         for item_id, item in ITEMS:
             words = split(item)
-            if len(words) >= 3:
-                score = plain_score(words, split(text)) / len(words)
-                if score >= 0.5:
-                    want.append((doc_id, item_id, round(score, 9)))
+            if words:
+                score = plain_score(words, split(text))
+                if score >= max(0.5 * len(words), min(len(words), 2)):
+                    want.append((doc_id, item_id, round(score / len(words), 9)))
     for blocks in (1 << 20, 10):  # in one block, and in several
         got = dc.find_leaks(docs.repartition(4), items, block_words=blocks).collect()
         found = sorted(((r.doc_id, r.item_id, round(r.score, 9)) for r in got), key=repr)
@@ -103,3 +103,46 @@ def test_empty_tables(spark, which):
     docs = spark.createDataFrame([] if which == "docs" else [(1, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([] if which == "items" else ITEMS, "item_id long, text string")
     assert dc.find_leaks(docs, items).collect() == []
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word
+    docs = spark.createDataFrame([(1, f"x y {word} z u"), (2, f"x y {other} z u")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"p q {word} r s")], "item_id long, text string")
+    assert dc.find_leaks(docs, items, least=0.2).count() == 0
+    same = spark.createDataFrame([(7, f"y {word} z")], "item_id long, text string")
+    assert [r.doc_id for r in dc.find_leaks(docs, same, least=1.0).collect()] == [1]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8])
+def test_no_edited_leak_is_lost(least):
+    """Random edits of items of 1 to 60 words, beside the textbook score."""
+    rng = np.random.default_rng(int(least * 10))
+    items = [rng.integers(0, rng.choice([4, 30, 1000]), m) for m in (*range(1, 14), 20, 33, 60)]
+    block = dc.Block(list(range(len(items))), [" ".join(f"w{x}" for x in item) for item in items], least)
+    for _ in range(700):
+        i = int(rng.integers(len(items)))
+        text = []
+        for x in items[i]:
+            edit = rng.random()
+            if edit < 0.3:
+                text += [] if edit < 0.1 else [5000 + int(rng.integers(9))] if edit < 0.2 else [x, 6000 + int(rng.integers(9))]
+            else:
+                text.append(x)
+        text = [*rng.integers(0, 40, rng.integers(0, 9)), *text, *rng.integers(0, 40, rng.integers(0, 9))]
+        words = [f"w{x}" for x in text]
+        got = {k: s for k, s, _, _ in dc.leaks_in(block, dc.leak_hasher().words(np.frombuffer(" ".join(words).encode(), np.uint8)))}
+        for k, item in enumerate(items):
+            m, score = len(item), plain_score([f"w{x}" for x in item], words)
+            if score >= max(least * m - 1e-9, min(m, 2)):
+                assert round(got.pop(k) * m) == score
+        assert not got
+
+
+def test_short_items_count_whole(spark):
+    items = spark.createDataFrame([(1, "Paris France"), (2, "zeitgeist"), (3, "?!"), (4, "Zeitgeist")], "item_id long, text string")
+    rows = [(1, "in paris, france."), (2, "paris or france"), (3, "France Paris"), (4, "der Zeitgeist"), (5, "zeitgeistig")]
+    got = dc.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(1, 1, 1.0), (4, 2, 1.0), (4, 4, 1.0)]
