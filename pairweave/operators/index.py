@@ -198,19 +198,28 @@ def index_topk(
     walked = nearest_cells(
         asked, "query_id", index.centroids, sizes, probes, k + int(exclude_self), broadcast_bytes
     )
-    left = materialize(walked, "walks")
-    right = index.items
+    return best_k(cell_hits(materialize(walked, "walks"), index.items, sizes, k, metric, exclude_self, block_rows), k)
+
+
+def cell_hits(
+    asked: DataFrame, items: DataFrame, sizes: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int
+) -> DataFrame:
+    """``(query_id, item_id, similarity)``: the best k of every walked cell, or sub-block of one.
+
+    ``asked``: ``(query_id, vector, cell)``, stored; ``items``: ``(item_id, vector, cell)``;
+    ``sizes``: ``(cell, n)`` of the items. A cell is cut by its measured size on both sides.
+    """
     blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
-    asked_sizes = left.groupBy("cell").agg(blocks(F.count(F.lit(1))).alias("query_blocks"))
+    asked_sizes = asked.groupBy("cell").agg(blocks(F.count(F.lit(1))).alias("query_blocks"))
     both = sizes.select("cell", blocks(F.col("n")).alias("item_blocks")).join(asked_sizes, "cell")
-    left = left.join(both, "cell").select(
+    left = asked.join(both, "cell").select(
         "query_id",
         "vector",
         "cell",
         F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.col("item_blocks") - 1)).alias("cb"),
     )
-    right = right.join(both, "cell").select(
+    right = items.join(both, "cell").select(
         "item_id",
         "vector",
         "cell",
@@ -219,7 +228,62 @@ def index_topk(
     )
     key = ["cell", "qb", "cb"]
     scored = left.groupBy(*key).cogroup(right.groupBy(*key))
-    return best_k(scored.applyInArrow(cell_kernel(k, metric, exclude_self), PARTIAL_SCHEMA), k)
+    return scored.applyInArrow(cell_kernel(k, metric, exclude_self), PARTIAL_SCHEMA)
+
+
+def closer_cells(shared):
+    """Per row ``(query_id, item_id, vector, cell)``: how many of some centroids are nearer, and the items they hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, c, held, whose, all_own = shared.value
+        half = 0.5 * np.einsum("ij,ij->i", c, c)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = unit_rows(matrix_of(batch.column(2)))
+            own = batch.column(3).to_numpy()
+            at = np.searchsorted(whose, own)
+            mine = all_own[at]
+            limit = 0.5 * np.einsum("ij,ij->i", mine, mine) - np.einsum("ij,ij->i", vectors, mine)
+            d = half[None, :] - vectors @ c.T
+            nearer = (d < limit[:, None]) | ((d == limit[:, None]) & (numbers[None, :] < own[:, None]))
+            nearer &= numbers[None, :] != own[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nearer.sum(axis=1).astype("i8")), pa.array((nearer * held).sum(axis=1).astype("i8"))],
+                names=["query_id", "item_id", "n_closer", "items_closer"],
+            )
+
+    return run
+
+
+def hit_places(hits: DataFrame, asked: DataFrame, index: VectorIndex, needed: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``place`` of each hit: how many probes its query needs to reach it.
+
+    That is one more than the number of cells nearer than the hit's own, or 1
+    where those hold fewer than ``needed`` items, as such a walk goes on by
+    itself. Numbers of nearer cells add up, so the centroids are sent in parts of
+    a checked size, each with the cells of the hits, which are few.
+    """
+    sizes = index.items.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    centroids = materialize(index.centroids.join(sizes, "cell"), "held-centroids")
+    rows = hits.select("query_id", "item_id").join(index.items.select("item_id", "cell"), "item_id")
+    rows = materialize(rows.join(asked, "query_id").select("query_id", "item_id", "vector", "cell"), "placed-hits")
+    own = centroids.join(rows.select("cell").distinct(), "cell").orderBy("cell").toArrow()
+    if not own.num_rows:
+        return rows.select("query_id", "item_id", F.lit(1).cast("long").alias("place"))
+    n, width = measured(centroids)
+    parts, found = max(1, -(-n * (width + 2) * 8 // broadcast_bytes)), None
+    for p in range(parts):
+        some = centroids.where(F.pmod(F.xxhash64("cell"), F.lit(parts)) == p).orderBy("cell").toArrow()
+        if not some.num_rows:
+            continue
+        shared = asked.sparkSession.sparkContext.broadcast(
+            (some["cell"].to_numpy(), matrix_of(some["vector"]), some["n"].to_numpy(), own["cell"].to_numpy(), matrix_of(own["vector"]))
+        )
+        part = rows.mapInArrow(closer_cells(shared), "query_id long, item_id long, n_closer long, items_closer long")
+        found = part if found is None else found.unionByName(part)
+    sums = found.groupBy("query_id", "item_id").agg(F.sum("n_closer").alias("c"), F.sum("items_closer").alias("i"))
+    return sums.select("query_id", "item_id", F.when(F.col("i") < needed, 1).otherwise(F.col("c") + 1).alias("place"))
 
 
 def probes_for(
@@ -236,21 +300,20 @@ def probes_for(
 ) -> int:
     """The fewest probes whose hits hold a share ``recall`` of the exact ones.
 
-    Measured on ``measured_on`` of the queries, chosen by the hash of their ids;
-    a wider walk keeps every exact hit, so the number is found by halving.
+    Measured on ``measured_on`` of the queries, chosen by the hash of their ids,
+    in one pass: each exact hit needs as many probes as its cell's place in its
+    query's order, and the wanted quantile of these places is the answer.
     """
     asked = as_queries(queries, query_id, vector).orderBy(F.xxhash64("query_id", F.lit(seed))).limit(measured_on)
     asked = materialize(asked, "measured-queries")
     exact = exact_topk(asked, index.items, k, "query_id", "item_id", "vector", metric=metric, exclude_self=exclude_self)
-    exact = materialize(exact, "exact-hits")
-    low, high = 1, max(1, index.cells)  # all cells give the exact result
-    while low < high:
-        middle = (low + high) // 2
-        near = index_topk(asked, index, k, middle, "query_id", "vector", metric, exclude_self)
-        found = recall_against(near, exact).first()["recall"]
-        low, high = (low, middle) if found is None or found >= recall else (middle + 1, high)
-    discard(asked, exact)
-    return low
+    places = hit_places(exact, asked, index, k + int(exclude_self))
+    counted = places.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+    order = W.orderBy("place").rowsBetween(W.unboundedPreceding, 0)  # a row per place: no more than hits were measured
+    shares = counted.select("place", (F.sum("n").over(order) / F.sum("n").over(W.partitionBy())).alias("share"))
+    found = shares.where(F.col("share") >= recall).agg(F.min("place")).first()[0]
+    discard(asked)
+    return int(found) if found is not None else 1
 
 
 def recall_against(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairweave.operators.eval_pairs import SENSITIVITY_THRESHOLDS
+from pairweave.plans.bindings import CLASS_PROBES, PROJECTION, PROJECTION_PROBES
 from pairweave.schemas import SCORE_COLUMNS
 
 M1, M2, M3 = SCORE_COLUMNS
@@ -70,12 +71,12 @@ CTES: dict[str, str] = {
                    - list_inner_product(v, c) / sqrt(list_inner_product(v, v)) as d
             from (select vec_id, embedding::double[] as v from embeddings) cross join centers)""",
     "assigned": "select vec_id, cell from cell_order where place = 1",
-    "walked": """
+    "walked": f"""
         select vec_id, cell from (
             select o.vec_id, o.cell, row_number() over w as r, coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0) as before
             from cell_order o join (select cell, count(*) as n from assigned group by cell) s using (cell)
             window w as (partition by o.vec_id order by o.place)
-        ) where r <= 2 or before < 6""",
+        ) where r <= {CLASS_PROBES} or before < 6""",
     "index_hits": """
         select query_id, rank::int as rank, item_id, similarity from (
             select *, row_number() over (partition by query_id order by similarity desc, item_id) as rank from (
@@ -84,6 +85,40 @@ CTES: dict[str, str] = {
                 from walked w join assigned a on a.cell = w.cell and a.vec_id <> w.vec_id
                 join embeddings q on q.vec_id = w.vec_id join embeddings i on i.vec_id = a.vec_id)
         ) where rank <= 5""",
+    "normals": f"""
+        select t, b, list({hexnum("md5('" + str(PROJECTION["seed"]) + ":' || t || ':' || b || ':' || j)")} / 4294967296.0::double - 0.5 order by j) as normal
+        from range({PROJECTION["tables"]}) x(t), range({PROJECTION["bits"]}) y(b), (select unnest(range(len(embedding))) as j from embeddings limit 64) z
+        group by t, b""",
+    "away": """
+        select vec_id, t, b, list_inner_product(embedding::double[], normal) / sqrt(list_inner_product(embedding::double[], embedding::double[])) as away
+        from embeddings cross join normals""",
+    "buckets": "select vec_id, t, sum((away >= 0)::int << b)::int as bucket, list(away order by b) as away from away group by vec_id, t",
+    "visits": f"""
+        select vec_id, t, xor(bucket, mask)::int as bucket from (
+            select vec_id, t, bucket, mask, row_number() over (partition by vec_id, t order by cost, mask) as place from (
+                select vec_id, t, bucket, mask::int as mask, round(list_sum(list_transform(away, lambda x, i: x * x * ((mask::int >> (i - 1)::int) & 1))), 12) as cost
+                from buckets cross join range({1 << PROJECTION["bits"]}) m(mask))
+        ) where place <= {PROJECTION_PROBES}""",
+    "projected": """
+        select query_id, rank::int as rank, item_id, similarity from (
+            select *, row_number() over (partition by query_id order by similarity desc, item_id) as rank from (
+                select distinct v.vec_id as query_id, x.vec_id as item_id,
+                       round(list_cosine_similarity(q.embedding::double[], i.embedding::double[]), 12) as similarity
+                from visits v join buckets x on x.t = v.t and x.bucket = v.bucket and x.vec_id <> v.vec_id
+                join embeddings q on q.vec_id = v.vec_id join embeddings i on i.vec_id = x.vec_id)
+        ) where rank <= 5""",
+    "word_places": r"""
+        select doc, unnest(w) as word, generate_subscripts(w, 1) as i from (
+            select doc_id as doc, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B\x00]+'), lambda x: x <> '') as w from documents)""",
+    "frequent_words": "select word from word_places group by word having count(*) >= 5",
+    "word_pairs": """
+        select a.word, b.word as context, count(*) as n
+        from word_places a join word_places b on b.doc = a.doc and b.i in (a.i - 2, a.i - 1, a.i + 1, a.i + 2)
+        where a.word in (from frequent_words) and b.word in (from frequent_words) group by all""",
+    "word_ppmi": """
+        select word, context, ppmi from (
+            select word, context, ln(n::double * sum(n) over () / (sum(n) over (partition by word) * sum(n) over (partition by context)::double)) as ppmi from word_pairs
+        ) where ppmi > 0""",
     "vpairs": f"""
         select a.vec_id as id, b.vec_id as b_id, a.embedding::double[] as va, b.embedding::double[] as vb,
                (a.label = b.label)::int as label
@@ -351,6 +386,13 @@ ORACLES: dict[str, str] = {
             cross join (select count(*) as n from embeddings)""",
         vecs="select word, u from vocabulary join unit using (vec_id)",
     ),
+    "word_cooccurrence": sql("select word, context, n::bigint as n from word_pairs", "word_places", "frequent_words", "word_pairs"),
+    "word_information": sql(f"select word, context, {r6('ppmi')} as ppmi from word_ppmi", "word_places", "frequent_words", "word_pairs", "word_ppmi"),
+    "embed_trained_words": sql(
+        """select d.doc_id, k.doc is not null as known from documents d left join (
+               select distinct doc from word_places where word in (select word from word_ppmi)) k on k.doc = d.doc_id""",
+        "word_places", "frequent_words", "word_pairs", "word_ppmi",
+    ),
     "embed_hashed_ngrams": sql(f"select sha256(text) as text_key, {packed('v')} as vector from units", "units"),
     "embed_reuse": sql(
         f"select doc_id, sha256(text) as text_key, {packed('v')} as vector from documents join units using (text)", "units"
@@ -373,7 +415,13 @@ ORACLES: dict[str, str] = {
         "hits", "centers", "cell_order", "assigned", "walked", "index_hits",
     ),
     "vector_index_trained": sql(
-        f"select vec_id as query_id, least(5, {N} - 1)::bigint as n_hits, least(5, {N} - 1)::int as last_rank from embeddings"
+        f"select count(*) as exact_hits, true as recall_reached, {N} * least(5, {N} - 1)::bigint as n_hits from hits", "hits"
+    ),
+    "vector_projection_topk": sql(f"select {HIT_ROW} from projected", "normals", "away", "buckets", "visits", "projected"),
+    "vector_projection_recall": sql(
+        f"""select count(*) as exact_hits, count(i.item_id)::bigint as found_hits, {r6('count(i.item_id)::double / count(*)')} as recall
+            from hits h left join projected i using (query_id, item_id)""",
+        "hits", "normals", "away", "buckets", "visits", "projected",
     ),
     "vector_index_all_cells": sql(f"select {HIT_ROW} from hits", "hits"),
     "retrieval_with_text": sql(

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pairweave.operators import eval_pairs
 from pairweave.operators import eval_retrieval as ev
 from pairweave.operators.embed import Embedder, embed_column
-from pairweave.operators.index import build_index, index_topk
+from pairweave.operators.index import build_index, index_topk, probes_for
 from pairweave.operators.models import Predict, score_models
 from pairweave.operators.quality import sample_rows
 from pairweave.operators.rerank import rerank
@@ -33,14 +33,16 @@ class Approach:
     """How one approach retrieves.
 
     ``embed`` turns texts into vectors. Without ``cells`` every vector is
-    compared; with it an index of that many cells is probed. ``respond`` adds a
-    second stage that reorders the first ``first_k`` hits.
+    compared; with it an index of that many cells is probed, in as many cells as
+    a recall of ``recall`` asks for unless ``probes`` fixes their number.
+    ``respond`` adds a second stage that reorders the first ``first_k`` hits.
     """
 
     name: str
     embed: Embedder
     cells: int | None = None
-    probes: int = 4
+    probes: int | None = None
+    recall: float = 0.95
     respond: Callable[[DataFrame], DataFrame] | None = None
     first_k: int = 10
 
@@ -72,7 +74,8 @@ def retrieve_with(
     if index is None:
         hits = exact_topk(asked, items, first, "query_id", "item_id", "vector", exclude_self=False)
     else:
-        hits = index_topk(asked, index, first, approach.probes, "query_id", "vector")
+        probes = approach.probes or probes_for(asked, index, first, approach.recall, "query_id", "vector")
+        hits = index_topk(asked, index, first, probes, "query_id", "vector")
     if approach.respond is not None:
         candidates = with_text(hits, corpus, "item_id", "sentence")
         hits = rerank(candidates, queries, approach.respond, k).select("query_id", "rank", "item_id", "similarity")

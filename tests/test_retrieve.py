@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from pairweave.operators.index import build_index, index_topk, load_index, probes_for, recall_against
+from pairweave.operators.index import build_index, hit_places, index_topk, load_index, probes_for, recall_against
+from pairweave.operators.projections import build_projections, probe_order, projection_probes_for, projection_topk
 from pairweave.operators.retrieve import block_candidates, cut, exact_topk, similarity_to_vector, with_text
 from pairweave.plans import bindings as B
 
@@ -93,7 +94,7 @@ def test_index_is_a_subset_with_measured_recall(vectors):
     near = index_topk(df, index, 5, probes=2, exclude_self=True)
     exact = exact_topk(df, df, 5)
     row = recall_against(near, exact).first()
-    assert row.exact_hits == 200 and 0.3 < row.recall <= 1.0
+    assert row.exact_hits == 200 and 0.3 < row.recall <= 1.0  # two cells of four: nothing is promised here
     assert near.groupBy("query_id").count().where("count > 5").count() == 0
 
 
@@ -138,3 +139,47 @@ def test_index_walks_until_k_items(spark, vectors, limit):
             assert sorted(r.rank for r in rows if r.query_id == i) == list(range(1, min(k, 39) + 1))
     everything = index_topk(df, index, 5, probes=40, exclude_self=True, broadcast_bytes=limit)
     assert rows_of(everything) == rows_of(exact_topk(df, df, 5, exclude_self=True))
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_index_queries_find_nine_in_ten(spark, sf):
+    sf_dir = f"/root/testdata/sf{sf}"
+    exact = B.hits(spark, sf_dir)
+    for near in (B.class_index_hits(spark, sf_dir), B.projection_hits(spark, sf_dir)):
+        assert recall_against(near, exact).first().recall >= 0.9
+
+
+def test_places_of_hits_in_parts_and_whole(vectors):
+    _, df = vectors
+    index, exact = build_index(df, cells=8), exact_topk(df, df, 5)
+    asked = df.selectExpr("vec_id as query_id", "embedding as vector")
+    whole = sorted(map(tuple, hit_places(exact, asked, index, 6).collect()))
+    assert whole == sorted(map(tuple, hit_places(exact, asked, index, 6, broadcast_bytes=200).collect()))
+    assert len(whole) == 200 and min(w[2] for w in whole) == 1
+
+
+@pytest.mark.parametrize("block_rows", [3, 1000])
+def test_projections_with_all_buckets_are_exact(vectors, block_rows):
+    matrix, df = vectors
+    able = df.where("vec_id <> 5")
+    index = build_projections(able, tables=2, bits=3)
+    got = projection_topk(able, index, 5, probes=99, exclude_self=True, block_rows=block_rows)
+    assert rows_of(got) == rows_of(exact_topk(able, able, 5, exclude_self=True))
+    assert projection_topk(able.limit(0), index, 5).count() == 0
+    assert build_projections(df.limit(0)).n_items == 0
+
+
+def test_probe_order_is_by_cost():
+    away = np.random.default_rng(2).normal(size=(7, 3, 5))
+    order = probe_order(away, 5)
+    cost = lambda a, m: sum(x * x for i, x in enumerate(a) if m >> i & 1)
+    for row, mask in np.ndindex(7, 3):
+        assert order[row, mask].tolist() == sorted(range(32), key=lambda m: cost(away[row, mask], m))
+
+
+def test_projection_probes_reach_the_wanted_recall(spark):
+    df = B.busy_table(spark, "/root/testdata/sf0.001", "embeddings", "vec_id", "embedding")
+    index, exact = build_projections(df, tables=4), exact_topk(df, df, 5)
+    probes = projection_probes_for(df, index, df, 5, 0.9, exclude_self=True)
+    recall = lambda p: recall_against(projection_topk(df, index, 5, p, exclude_self=True), exact).first().recall
+    assert recall(probes) >= 0.9 and (probes == 1 or recall(probes - 1) < 0.9)
