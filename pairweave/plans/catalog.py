@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairweave.functions import vectors as V
 from pairweave.functions.ngrams import ngram_vector
 from pairweave.functions.text import text_key
-from pairweave.operators import embed, eval_pairs, incremental, quality, rerank, word_training
+from pairweave.operators import embed, eval_pairs, incremental, lexical, quality, rerank, word_training
 from pairweave.operators import eval_retrieval as ev
 from pairweave.operators.index import build_index, index_topk, recall_against
 from pairweave.operators.models import model_map, score_models
@@ -374,6 +374,24 @@ def reranked_topk(spark, d):
     return rounded(B.reranked_hits(spark, d), "similarity")
 
 
+@query
+def lexical_topk(spark, d):
+    """Every fiftieth document as a query against all others."""
+    documents = B.busy_table(spark, d, "documents", "doc_id", "text")
+    asked = documents.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return rounded(lexical.lexical_topk(asked, lexical.build_lexical_index(documents), B.TOP_K, exclude_self=True), "similarity")
+
+
+@query
+def lexical_reranked_topk(spark, d):
+    """The ten nearest vectors of each, in the order in which their documents match its document's words."""
+    documents = B.busy_table(spark, d, "documents", "doc_id", "text")
+    asked = documents.join(B.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    index = lexical.build_lexical_index(documents)
+    hits = lexical.lexical_rerank(B.hits(spark, d, B.FIRST_K), asked.withColumnRenamed("doc_id", "query_id"), index, B.TOP_K)
+    return rounded(hits, "similarity", "score")
+
+
 @query
 def apply_updates(spark, d):
     return incremental.apply_updates(B.documents_with_results(spark, d), B.label_updates(spark, d), SCORE_COLUMNS)

@@ -119,6 +119,15 @@ CTES: dict[str, str] = {
         select word, context, ppmi from (
             select word, context, ln(n::double * sum(n) over () / (sum(n) over (partition by word) * sum(n) over (partition by context)::double)) as ppmi from word_pairs
         ) where ppmi > 0""",
+    "doc_terms": "select doc as doc_id, word as term, count(*) as tf from word_places group by all",
+    "doc_sizes": """
+        select d.doc_id, coalesce(s.n, 0) as n from documents d left join (select doc, count(*) as n from word_places group by doc) s on s.doc = d.doc_id""",
+    "gains": """
+        select t.doc_id, t.term, tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * s.n / avg_n)) as gain
+        from doc_terms t join doc_sizes s using (doc_id) cross join (select avg(n) as avg_n from doc_sizes)""",
+    "term_weights": """
+        select term, ln(1 + (n_docs - count(*) + 0.5::double) / (count(*) + 0.5::double)) as weight
+        from doc_terms cross join (select count(*) as n_docs from documents) group by term, n_docs""",
     "vpairs": f"""
         select a.vec_id as id, b.vec_id as b_id, a.embedding::double[] as va, b.embedding::double[] as vb,
                (a.label = b.label)::int as label
@@ -414,6 +423,24 @@ ORACLES: dict[str, str] = {
             from hits h left join index_hits i using (query_id, item_id)""",
         "hits", "centers", "cell_order", "assigned", "walked", "index_hits",
     ),
+    "lexical_topk": sql(
+        f"""select query_id, rank::int as rank, item_id, {r6('similarity')} as similarity from (
+            select *, row_number() over (partition by query_id order by similarity desc, item_id) as rank from (
+                select q.doc_id as query_id, g.doc_id as item_id, round(sum(q.tf * w.weight * g.gain), 9) as similarity
+                from doc_terms q join term_weights w using (term) join gains g on g.term = q.term and g.doc_id <> q.doc_id
+                where q.doc_id % 50 = 0 group by all)
+        ) where rank <= 5""",
+        "word_places", "doc_terms", "doc_sizes", "gains", "term_weights",
+    ),
+    "lexical_reranked_topk": sql(
+        f"""select query_id, place::int as rank, old_rank::int as old_rank, item_id, {r6('similarity')} as similarity, {r6('score')} as score from (
+            select *, row_number() over (partition by query_id order by score desc, old_rank) as place from (
+                select h.query_id, h.rank as old_rank, h.item_id, h.similarity, round(coalesce(sum(q.tf * w.weight * g.gain), 0), 9) as score
+                from hits10 h left join doc_terms q on q.doc_id = h.query_id left join term_weights w on w.term = q.term
+                left join gains g on g.term = q.term and g.doc_id = h.item_id group by all)
+        ) where place <= 5""",
+        "word_places", "doc_terms", "doc_sizes", "gains", "term_weights", "hits10",
+    ),
     "vector_index_trained": sql(
         f"select count(*) as exact_hits, true as recall_reached, {N} * least(5, {N} - 1)::bigint as n_hits from hits", "hits"
     ),
