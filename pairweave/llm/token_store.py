@@ -33,6 +33,7 @@ BITS = 8
 MAGIC = b"DACTOK02"
 END_ID = 2
 IMAGE_TOKENS = 1 << 20  # an image is closed once it holds this many ids; one document is never cut
+COMPARED = 1 << 14  # words whose bytes are compared at a time
 KNOWN_WORDS = 1 << 21  # distinct words a Python worker remembers between batches
 
 
@@ -248,14 +249,16 @@ class WordTokens:
     def _unlike(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Rows whose bytes are not those of the word they were given."""
         wrong = sizes != self.length[numbers]
-        rows = np.flatnonzero(~wrong)
-        size = sizes[rows]
-        firsts = np.cumsum(size) - size
-        step = np.arange(int(size.sum()))
-        same = raw[step + np.repeat(starts[rows] - firsts, size)] == self.bytes[step + np.repeat(self.byte_at[numbers[rows]] - firsts, size)]
-        if not same.all():
-            bad = np.flatnonzero(~same)
-            wrong[rows[np.unique(np.searchsorted(firsts, bad, "right") - 1)]] = True
+        right = np.flatnonzero(~wrong)
+        for a in range(0, len(right), COMPARED):  # sizes the work arrays
+            rows = right[a : a + COMPARED]
+            size = sizes[rows]
+            firsts = np.cumsum(size) - size
+            step = np.arange(int(size.sum()))
+            theirs = self.bytes[step + np.repeat(self.byte_at[numbers[rows]] - firsts, size)]
+            same = raw[step + np.repeat(starts[rows] - firsts, size)] == theirs
+            if not same.all():
+                wrong[rows[np.unique(np.searchsorted(firsts, np.flatnonzero(~same), "right") - 1)]] = True
         return np.flatnonzero(wrong)
 
     def _numbers(self, raw: np.ndarray, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -369,7 +372,7 @@ def _writer(path: str, end_id: int, image_tokens: int):
         for batch in batches:
             named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             docs = batch.column(0).fill_null(0).to_numpy()
-            for a, b in groups(batch.column(1), 1 << 21):
+            for a, b in groups(batch.column(1), 1 << 20):
                 flat, counts = tokens.encode(batch.column(1).slice(a, b - a))
                 ids = np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32)
                 counts = counts + 1
