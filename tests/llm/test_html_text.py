@@ -1,5 +1,8 @@
 import itertools
+import math
 import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -101,3 +104,107 @@ def test_table_of_pages(spark):
     assert got[4, "m"].text.count("\n\n") == 4999 and got[4, "m"].n_chars == len(got[4, "m"].text)
     assert ht.extract(pages).count() == 6
     assert ht.extract(pages.limit(0)).collect() == []
+
+
+TITLED = f"<h1>The title</h1><p>{LONG}</p><p>A short end.</p>"
+WHOLE_TEXT = ["The title", " ".join(LONG.split()), "A short end."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="site has-sidebar">{TITLED}</div>', f'<div class="layout no-sidebar">{TITLED}</div>',
+        f'<div class="story tag-politics">{TITLED}</div>', f'<article class="post comments-open">{TITLED}</article>',
+        f'<div><div class="article-header"><h1>The title</h1></div><p>{LONG}</p><p>A short end.</p></div>',
+        f'<form id="aspnetForm"><div>{TITLED}</div></form>',
+        f'<div class="content-sidebar-wrap"><div>{TITLED}</div><aside>{LONG}</aside></div>',
+        f'<div class="post">{TITLED}</div><div id="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>',
+        f'<div class="hentry"><div class="entry-content">{TITLED}</div><ul class="social-share"><li><a href="s">Share</a></ul>'
+        f'<ol class="comment-list"><li>{LONG}<li>{LONG}</ol></div>',
+        f'<body class="single has-widgets"><div id="siteHeader"><p>{LONG}</p></div><div class="post category-ads">{TITLED}</div>'
+        f'<div class="tag-cloud"><a href="a">a</a></div><div class="footer-widgets">{LONG}</div>',
+        f'<!--><script>if (a<b && "<!--") c="</script><article>{TITLED}</article>',
+    ],
+)
+def test_names_of_layout_and_state_rule_nothing_out(page):
+    assert ht.main_text(page).split("\n\n") == WHOLE_TEXT
+
+
+@pytest.mark.parametrize("name,want", [
+    ("ad", ht.WHOLE), ("site-footer", ht.WHOLE), ("cookieBanner", ht.WHOLE), ("ad-slot", ht.PART), ("footer2", ht.WHOLE), ("has-sidebar", 0),
+    ("tag-ads", 0), ("tag-list", ht.PART), ("ads-off", 0), ("entry-header", 0), ("page-header", ht.WHOLE), ("shadow adept", 0), ("", 0), ("- _ 7", 0),
+])
+def test_names_are_compared_whole(name, want):
+    assert ht.named(name, ht.BOILER_WORDS) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<p" + " " * 1_000_000 + ">x", "<div>" * 100_000 + "x", "<b>x" * 50_000, "<a b='\" " * 50_000, "<div>" * 50_000 + "</p>x" * 50_000,
+    "<p><object>" + "<div>" * 50_000, "<a " * 100_000, "<!--" * 100_000, "<script>" * 50_000, "<p" + "/ a" * 200_000,
+])
+def test_reading_is_linear(page):
+    start = time.process_time()
+    ht.main_text(page)
+    assert time.process_time() - start < 5
+
+
+class Plain(HTMLParser):
+    """Texts of well-formed pages of p, h2 and li elements, with the path of (name, class) above each."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.path.append((tag, dict(attrs).get("class", ""), object()))
+
+    def handle_endtag(self, tag):
+        self.path.pop()
+
+    def handle_data(self, data):
+        if data.strip():
+            self.found.append((" ".join(data.split()), list(self.path)))
+
+
+def plain_cost(text, path):
+    """(cost as boilerplate, cost as content), from the path alone."""
+    names = [t for t, _, _ in path]
+    if {"nav", "aside", "footer"} & set(names):
+        return 0.0, ht.SURE
+    words = len(text.split())
+    ends = sum(text.count(c + " ") + text.endswith(c) for c in ".!?")
+    score = -0.6 + 0.3 * min(math.log2(words + 1), 6) + 0.5 * min(ends, 3)
+    score += 5 * ("article" in names) + any(c == "story" for _, c, _ in path) - 15 * any(c == "ad" for _, c, _ in path)
+    score += {"p": 1.0, "h2": 0.6, "li": -0.4}.get(names[-1], 0)
+    return math.log(1 + math.exp(score)), math.log(1 + math.exp(-score))
+
+
+def test_small_pages_equal_the_best_of_all_labellings():
+    rng = random.Random(8)
+    for _ in range(150):
+        def element(depth):
+            if depth == 0 or rng.random() < 0.4:
+                tag = rng.choice(["p", "h2", "li"])
+                return f"<{tag}>{' '.join(rng.choice(['word', 'end.', 'is it?']) for _ in range(rng.randrange(1, 30)))}</{tag}>"
+            tag, name = rng.choice(["div", "section", "article", "nav", "aside"]), rng.choice(["", "", "story", "ad"])
+            name = "" if tag == "article" else name
+            return f'<{tag} class="{name}">' + "".join(element(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{tag}>"
+
+        page = "<article><p>" + "A long first paragraph. " * 120 + "</p></article>" + "".join(element(2) for _ in range(3))
+        plain = Plain()
+        plain.feed(page)
+        if len(plain.found) > 11:
+            continue
+        own = [plain_cost(*f) for f in plain.found]
+        parents = [path[-2][2] if len(path) > 1 else None for _, path in plain.found]
+        edges = [(i - 1, i, 0.6) for i in range(1, len(own))]
+        for j in range(len(own)):
+            before = [i for i in range(j) if parents[i] is parents[j]]
+            edges += [(before[-1], j, 1.2)] if before else []
+
+        def cost(labels):
+            paid = sum(pair[label] for pair, label in zip(own, labels, strict=True))
+            return paid + sum(w for a, b, w in edges if labels[a] != labels[b])
+
+        best = min(itertools.product([0, 1], repeat=len(own)), key=cost)
+        assert ht.main_text(page).split("\n\n") == [t for (t, _), keep in zip(plain.found, best, strict=True) if keep]
