@@ -8,6 +8,7 @@ arrays built below hold the hits of one query, at most k entries.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,61 @@ def positives_by_class(
     return queries.join(counted, "query_id", "left").withColumn("positives", F.coalesce("positives", F.lit(0)))
 
 
+def ideal_dcg(grades: Column, k: int) -> Column:
+    """Largest DCG of k places from an array of ``(rel, n)``: how many items have which grade.
+
+    Items are not listed: n items of a grade fill n places in a row, and what the
+    places up to each are worth is a table of k + 1 numbers.
+    """
+    worth = [0.0]
+    for place in range(1, k + 1):
+        worth.append(worth[-1] + 1 / math.log2(place + 1))
+    up_to = lambda n: F.element_at(F.array(*[F.lit(w) for w in worth]), F.least(n, F.lit(k)).cast("int") + 1)
+    start = F.struct(F.lit(0).cast("long").alias("place"), F.lit(0.0).alias("dcg"))
+
+    def fill(acc: Column, g: Column) -> Column:
+        end = acc["place"] + g["n"]
+        return F.struct(
+            end.alias("place"), (acc["dcg"] + g["rel"] * (up_to(end) - up_to(acc["place"]))).alias("dcg")
+        )
+
+    return F.aggregate(F.sort_array(grades, asc=False), start, fill, lambda acc: acc["dcg"])
+
+
+def _graded(counts: DataFrame, key: str, k: int) -> DataFrame:
+    grades = F.collect_list(F.struct(F.col("rel").cast("double").alias("rel"), F.col("n").cast("long").alias("n")))
+    return counts.where("rel > 0 and n > 0").groupBy(key).agg(ideal_dcg(grades, k).alias("ideal_dcg"))
+
+
+def ideal_per_query(queries: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """Queries with the ``ideal_dcg`` of all their judged items; grades are counted, items never listed."""
+    counts = qrels.groupBy("query_id", "rel").agg(F.count(F.lit(1)).alias("n"))
+    return queries.join(_graded(counts, "query_id", k), "query_id", "left").fillna(0.0, ["ideal_dcg"])
+
+
+def ideal_by_class(
+    queries: DataFrame,
+    query_class: DataFrame,
+    item_class: DataFrame,
+    rel: Column,
+    k: int,
+    reach: int = 0,
+    minus_self: bool = True,
+) -> DataFrame:
+    """Queries with the ``ideal_dcg`` of the whole corpus under relevance by class.
+
+    ``rel`` is a function of ``query_class`` and ``item_class`` that is 0 beyond
+    ``reach``. Only class sizes are joined, and every query of a class has one ideal.
+    """
+    sizes = item_class.groupBy("item_class").agg(F.count(F.lit(1)).alias("n"))
+    near = F.sequence(F.col("item_class") - reach, F.col("item_class") + reach) if reach else F.array("item_class")
+    pairs = sizes.withColumn("query_class", F.explode(near)).withColumn("rel", rel)
+    own = F.when(F.col("query_class") == F.col("item_class"), F.lit(int(minus_self))).otherwise(F.lit(0))
+    ideals = _graded(pairs.select("query_class", "rel", (F.col("n") - own).alias("n")), "query_class", k)
+    known = query_class.select("query_id", "query_class").join(ideals, "query_class").select("query_id", "ideal_dcg")
+    return queries.join(known, "query_id", "left").fillna(0.0, ["ideal_dcg"])
+
+
 def with_approaches(queries: DataFrame, approaches: Sequence[str]) -> DataFrame:
     """One row per query and approach name."""
     return queries.withColumn("approach", F.explode(F.array(*[F.lit(a) for a in approaches])))
@@ -100,8 +156,9 @@ def score_queries(queries: DataFrame, judged: DataFrame, by: Sequence[str] = ())
     """Precision, recall, F1, reciprocal rank and NDCG of every query.
 
     ``queries`` has ``query_id``, ``positives`` and the ``by`` columns. An item
-    counts as relevant when ``rel > 0``; NDCG uses the grade itself and its
-    ideal order is that of the retrieved items.
+    counts as relevant when ``rel > 0``; NDCG uses the grade itself. Its ideal
+    order is that of the retrieved items, or ``ideal_dcg`` of ``queries`` if that
+    column is there (``ideal_by_class``, ``ideal_per_query``).
     """
     keys = [*by, "query_id"]
     per_query = judged.groupBy(*keys).agg(
@@ -117,10 +174,12 @@ def score_queries(queries: DataFrame, judged: DataFrame, by: Sequence[str] = ())
         "recall", ratio(found, F.col("positives"))
     )
     p, r = F.col("precision"), F.col("recall")
+    of_corpus = "ideal_dcg" in queries.columns
+    ideal = F.col("ideal_dcg") if of_corpus else discounted(F.sort_array(rels, asc=False))
     return (
         scored.withColumn("f1", ratio(2 * p * r, p + r))
         .withColumn("mrr", F.coalesce(F.lit(1.0) / F.col("first_found"), F.lit(0.0)))
-        .withColumn("ndcg", ratio(discounted(rels), discounted(F.sort_array(rels, asc=False))))
+        .withColumn("ndcg", ratio(discounted(rels), ideal))
         .withColumn("retrieved", F.coalesce("retrieved", F.lit(0)))
         .drop("hits", "found", "first_found")
     )

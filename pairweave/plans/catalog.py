@@ -84,6 +84,16 @@ def write_results(spark, d):
     return results.read_results(spark, path, updated.schema)
 
 
+@query
+def chunked_results(spark, d):
+    """Results saved by chunk; the sparse updates replace the chunks they touch."""
+    rows = B.documents_with_results(spark, d)
+    path = own(spark, work_path(spark, "chunked"))
+    results.write_chunks(rows, path, chunk_rows=100)
+    results.update_chunks(B.label_updates(spark, d), path, rows.schema, SCORE_COLUMNS, chunk_rows=100)
+    return results.read_chunks(spark, path, rows.schema)
+
+
 @query
 def eval_json_roundtrip(spark, d):
     path = own(spark, work_path(spark, "evaluation"))
@@ -505,6 +515,15 @@ def graded_ndcg(spark, d):
     return rounded(scored.select("query_id", *ev.METRICS), *ev.METRICS)
 
 
+@query
+def graded_ndcg_corpus(spark, d):
+    """NDCG whose ideal is the best order of the whole corpus."""
+    rel = ev.graded_by_distance()
+    judged = ev.judge_by_class(B.hits(spark, d), *B.classes(spark, d), rel=rel)
+    queries = ev.ideal_by_class(B.query_table(spark, d, reach=2), *B.classes(spark, d), rel, B.TOP_K, reach=2)
+    return rounded(ev.score_queries(queries, judged).select("query_id", "ndcg"), "ndcg")
+
+
 def approach_averages(spark, d) -> DataFrame:
     judged = ev.judge_by_class(B.approach_hits(spark, d), *B.classes(spark, d))
     return ev.macro_average(ev.score_queries(B.approach_queries(spark, d), judged, ["approach"]), ["approach"])
@@ -659,6 +678,18 @@ def resumable_scoring(spark, d):
     return spark.read.parquet(sink)
 
 
+@query
+def resumable_scoring_rows(spark, d):
+    """The second delivery repeats every row of the first; each row index is scored once."""
+    source, sink, log = (own(spark, work_path(spark, n)) for n in ("arriving", "scored", "checkpoint"))
+    pairs, (first, _) = deliveries(spark, d)
+    score = lambda df: df.select("id", "label", *B.score_columns())
+    for lot in (first, pairs):
+        lot.repartition(4, "id").write.mode("append").parquet(source)
+        scoring.score_new_rows(spark, source, pairs.schema, "id", score, sink, log, files_per_batch=3)
+    return spark.read.parquet(sink)
+
+
 @query
 def score_pairs_job(spark, d):
     """Files of pairs through all models, the second failing on some, in two lots; a rerun adds only the new files."""
@@ -694,6 +725,18 @@ def stream_quality_metrics(spark, d):
     return rounded(scoring.quality_report(spark, sink), "completion", "accuracy")
 
 
+@query
+def stream_quality_totals(spark, d):
+    """As ``stream_quality_metrics`` from running totals, over two runs."""
+    source, sink, log = (own(spark, work_path(spark, n)) for n in ("arriving", "totals", "checkpoint"))
+    scored = B.partly_scored_pairs(spark, d).select("id", "label", F.col(SCORE_COLUMNS[1]).alias("score"))
+    totals = scoring.chunk_partials("id", 100, "score", "label", 0.1)
+    for label in (0, 1):
+        scored.where(F.col("label") == label).repartition(3, "id").write.mode("append").parquet(source)
+        scoring.track_totals(spark, source, scored.schema, totals, sink, log, files_per_batch=2)
+    return rounded(scoring.latest_totals(spark, sink), "completion", "accuracy")
+
+
 def load_cosine():
     def predict(batch):
         if batch.isna().any(axis=None):

@@ -572,6 +572,19 @@ ORACLES: dict[str, str] = {
             from embeddings e""",
         m=metrics_sql("qs", "jd"),
     ),
+    "graded_ndcg_corpus": sql(
+        f"""select vec_id as query_id, {r6('coalesce(case when idcg = 0 then 0.0 else dcg / idcg end, 0.0)::double')} as ndcg
+            from embeddings left join gained on query_id = vec_id left join ideals using (label)""",
+        "hits",
+        gained="""select query_id, sum(greatest(0, 3 - abs(q.label - c.label)) / log2(rank + 1.0)) as dcg from hits
+            join embeddings q on q.vec_id = query_id join embeddings c on c.vec_id = item_id group by query_id""",
+        sizes="select label, count(*) as n from embeddings group by label",
+        others="""select q.label, greatest(0, 3 - abs(q.label - c.label)) as rel,
+            unnest(range(least(5, c.n - (q.label = c.label)::int))) as copy from sizes q, sizes c""",
+        ideals="""select label, sum(rel / log2(r + 1.0)) as idcg
+            from (select label, rel, row_number() over (partition by label order by rel desc) as r from others)
+            where r <= 5 group by label""",
+    ),
     "evaluate_approaches": sql(
         averages("approach"), "ajudged", "aqueries", m=metrics_sql("aqueries", "ajudged", "approach, ")
     ),
@@ -726,5 +739,8 @@ ORACLES: dict[str, str] = {
                case when b.vec_id is null then 'ValueError: missing vector' else '' end as error
         from embeddings a left join embeddings b on b.vec_id = a.vec_id * 3 + 1""",
 }
+ORACLES["chunked_results"] = sql(f"select *, {CHUNK} as chunk from updated", "updated")
+ORACLES["resumable_scoring_rows"] = ORACLES["resumable_scoring"]
+ORACLES["stream_quality_totals"] = ORACLES["stream_quality_metrics"]
 ORACLES["pair_similarity_reusing"] = ORACLES["pair_similarity"]
 ORACLES["eval_summary_csv"] = ORACLES["pair_eval_summary"]

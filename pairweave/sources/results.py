@@ -5,12 +5,18 @@ Every sink commits atomically through Spark's own writer; a rerun replaces it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairweave.operators.eval_retrieval import METRICS
+from pairweave.operators.incremental import CHUNK_ROWS, apply_updates, chunk_number
 from pairweave.operators.ordering import range_parts
+from pairweave.session import discard, materialize
+
+LISTED_CHUNKS = 1000  # as many touched chunks are named in the scan's partition filter, more are joined
 
 EVALUATION = T.StructType(
     [
@@ -70,6 +76,55 @@ def read_results(
     return reader.format(fmt).load(path)
 
 
+def write_chunks(df: DataFrame, path: str, index: str = "global_index", chunk_rows: int = CHUNK_ROWS) -> None:
+    """Result table as parquet, one folder ``chunk=n`` per ``chunk_rows`` indexes, rows in order inside.
+
+    Chunks that ``df`` has rows of are replaced whole, other chunks at ``path`` stay
+    as they are, so a job may save one chunk at a time and repeat it.
+    """
+    _save_chunks(df.withColumn("chunk", chunk_number(index, chunk_rows)), path, index)
+
+
+def _save_chunks(df: DataFrame, path: str, index: str) -> None:
+    ordered = df.repartition("chunk").sortWithinPartitions("chunk", index)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+
+
+def read_chunks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All chunks as one table with its ``chunk``; a filter on ``chunk`` reads those folders only."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("chunk", T.LongType())])).parquet(path)
+
+
+def update_chunks(
+    updates: DataFrame,
+    path: str,
+    schema: T.StructType,
+    result_columns: Sequence[str],
+    index: str = "global_index",
+    chunk_rows: int = CHUNK_ROWS,
+    version: str | None = None,
+) -> None:
+    """Merge sparse results into the stored chunks; only chunks with an update are read and rewritten.
+
+    Semantics are those of ``apply_updates``; updates beyond the stored rows are
+    ignored. The new chunks are written to a work table first and replace the old
+    ones from there, so a repeated call gives the same table. Without updates
+    nothing is written.
+    """
+    spark = updates.sparkSession
+    touched = updates.select(chunk_number(index, chunk_rows).alias("chunk")).where("chunk is not null").distinct()
+    listed = [row["chunk"] for row in touched.limit(LISTED_CHUNKS + 1).collect()]
+    stored = read_chunks(spark, path, schema)
+    if len(listed) <= LISTED_CHUNKS:
+        old = stored.where(F.col("chunk").isin(listed))
+    else:
+        old = stored.join(touched, "chunk", "left_semi")
+    fresh = materialize(apply_updates(old, updates, result_columns, index, version), "chunks")
+    if not fresh.isEmpty():
+        _save_chunks(fresh, path, index)
+    discard(fresh)
+
+
 def evaluation_records(queries: DataFrame, hits: DataFrame, averages: DataFrame) -> DataFrame:
     """Nested records: an approach's averages with the hits and sentences of one query.
 
