@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from pairweave.llm.cells import CELL, cell_tables
 from pairweave.llm.graph import components
-from pairweave.llm.texts import PlacedHasher, lean, mixed, shingles, text_views
+from pairweave.llm.texts import PlacedHasher, groups, lean, mixed, shingles, text_views
 from pairweave.session import discard, materialize
 
 PERMUTATIONS = 64  # hash evaluations per shingle; the signature holds twice as many values
 BAND_ROWS = 4  # 32 bands of 4: a pair at similarity 0.8 meets in none of them once in 2e7
 BLOCK = 1024  # rows of a bucket compared in one task step
+BLOCK_SHINGLES = 1 << 22  # and their shingles, 32 MB, if no text has more
+SET_BYTES = 1 << 22  # of text whose sets are given back at once
 BROADCAST_IDS = 1_000_000  # a longer list of removed ids is joined by shuffle
 SLOTS = 1 << 24  # bits of the bitmap of wanted ids, 2 MB
 SURE_BELOW = 0.6  # estimates below this are 5.7 standard deviations under 0.8
@@ -93,15 +95,17 @@ def _setter(size: int, wanted):
         for batch in batches:
             slot = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((marks[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            sets = [
-                np.unique(shingles(hasher.words(v), size)) if v is not None else np.zeros(0, np.uint64)
-                for v in text_views(batch.column(1))
-            ]
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "items"]
-            )
+            for first, end in groups(batch.column(1), SET_BYTES):
+                part = batch.slice(first, end - first)
+                sets = [
+                    np.unique(shingles(hasher.words(v), size)) if v is not None else np.zeros(0, np.uint64)
+                    for v in text_views(part.column(1))
+                ]
+                ends = np.cumsum([0, *map(len, sets)])
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "items"]
+                )
 
     return run
 
@@ -248,7 +252,8 @@ def near_duplicates(
     schema = "id long, n_shingles long, digest binary, signature binary"
     sketches = materialize(texts.mapInArrow(lean(_sketcher(size, permutations, seed)), schema), "sketches")
     full = sketches.where("n_shingles > 0 and id is not null")
-    classes = materialize(full.groupBy("digest", "signature").agg(F.min("id").alias("id")), "classes")
+    of_set = full.groupBy("digest", "signature").agg(F.min("id").alias("id"), F.max("n_shingles").alias("size"))
+    classes = materialize(of_set, "classes")
 
     keys = classes.select("id", "signature").mapInArrow(lean(_bander(band_rows)), "id long, key long")
     shared = keys.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -263,8 +268,11 @@ def near_duplicates(
     named = named.select("key", "n", "id", "least", F.coalesce("component_id", "id").alias("component"))
     mixed_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_rows = named.join(mixed_keys.where("lo != hi").select("key"), "key", "left_semi")
-    open_rows = open_rows.join(classes.select("id", "signature"), "id")
-    halves = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    open_rows = materialize(open_rows.join(classes.select("id", "size"), "id"), "open-ids")
+    # a bucket's blocks are bounded by rows and by the shingles that will be fetched for them
+    weights = open_rows.groupBy("key").agg(F.sum("size").alias("weight")).where(F.col("weight") > BLOCK_SHINGLES)
+    open_ids, open_rows = open_rows, open_rows.join(weights, "key", "left").join(classes.select("id", "signature"), "id")
+    halves = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK), F.col("weight") / F.lit(BLOCK_SHINGLES))).cast("int")
     cells = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), halves).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), halves - 1))
     )
@@ -284,37 +292,38 @@ def near_duplicates(
         whole = materialize(components(known.unionByName(cross)), "components")
         discard(found)
         found = whole
-    discard(members, stars, cross, wanted)
+    discard(members, open_ids, stars, cross, wanted)
 
     of_class = classes.join(found, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
-    placed = sketches.drop("signature").join(of_class, "digest", "left")
+    rows = sketches.drop("signature").join(of_class, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
-    return placed.select(
-        F.col("id").alias(id), "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    return rows.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of near duplicates, all columns as they were.
 
     Only the ids of rows that go are joined, broadcast up to a checked number.
-    Rows without an id stay. Of rows repeated under a kept id one stays, the one
+    Rows without an id stay. Rows under one id are one node of the groups, whatever
+    their texts, so ids should be unique. Of rows repeated under a kept id one stays, the one
     whose text hashes lowest; it is found by a top-1 per task before any shuffle.
     """
+    clear = "_" * (1 + max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0))
+    here, row = clear + "id", clear + "row"  # names that no column has
     marked = near_duplicates(docs, id, text, **options).where(F.col(id).isNotNull())
-    marked = marked.groupBy(F.col(id).alias("__id")).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    marked = marked.groupBy(F.col(id).alias(here)).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
     marked = materialize(marked.where("not kept or n > 1"), "marked")
-    same = F.col(id) == F.col("__id")
+    same = F.col(id) == F.col(here)
 
     def listed(condition: str) -> DataFrame:
-        ids = marked.where(condition).select("__id")
+        ids = marked.where(condition).select(here)
         return F.broadcast(ids) if marked.count() <= BROADCAST_IDS else ids
 
     kept = docs.join(listed("not kept"), same, "left_anti")
     if marked.where("kept").isEmpty():
         return kept
     first = W.partitionBy(id).orderBy(F.xxhash64(text))
-    several = kept.join(listed("kept"), same, "left_semi").withColumn("__row", F.row_number().over(first))
-    return kept.join(listed("kept"), same, "left_anti").unionByName(several.where("__row = 1").drop("__row"))
+    several = kept.join(listed("kept"), same, "left_semi").withColumn(row, F.row_number().over(first))
+    return kept.join(listed("kept"), same, "left_anti").unionByName(several.where(F.col(row) == 1).drop(row))

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairweave.llm import minmax_dedup as mm
 from pairweave.llm.texts import WordHasher, shingles
@@ -116,3 +117,35 @@ def test_words_that_a_polynomial_confuses(spark):
         word, other = word + other, other + word
     docs = spark.createDataFrame([(1, word), (2, other), (3, f"{word} {other}"), (4, f"{other} {word}")], "doc_id long, text string")
     assert all(r.kept for r in mm.near_duplicates(docs, size=4).collect())
+
+
+def test_rows_of_the_stage_keep_their_columns(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(3, a, 1), (7, a + " more", 2), (8, b, 3), (8, b, 4), (9, b.upper(), 5), (5, None, 6), (6, " ", 7), (None, a, 8), (None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long").withColumn("__row", F.lit("x")).withColumn("id", F.lit(0))
+    out = mm.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(3, a), (8, b), (5, None), (6, " "), (None, a), (None, None)], key=repr)
+    assert mm.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_long_near_copies_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(mm, "BLOCK_SHINGLES", 50_000)
+    monkeypatch.setattr(mm, "SET_BYTES", 1 << 16)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(700):  # two copies share about 0.7 of their runs, a copy and its twin nearly all
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * i + 1, " ".join(words)), (2 * i, " ".join(words[:-50]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: r.component_id for r in mm.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain(rows, 5, 80)
