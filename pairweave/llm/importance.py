@@ -16,8 +16,8 @@ from pairweave.llm.texts import WordHasher, lean, mixed, text_views
 from pairweave.session import materialize
 
 BUCKETS = 1 << 14  # hashed words and pairs of words
+LENGTH = 100.0  # a document's weight is that of so many n-grams of its kind
 TARGET_ROWS = 20_000  # target documents that its model is fitted on, at most
-LENGTH = 100  # a document's weight is that of so many n-grams of its kind
 SHARE = 0.8  # documents selected
 STEPS = 16  # first cut of the ranking value, per unit
 FINE = 4096  # second cut, per first one
@@ -54,7 +54,7 @@ def _counter(target):
     return run
 
 
-def _weigher(ratio):
+def _weigher(ratio, length: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = WordHasher(), ratio.value
         for batch in batches:
@@ -62,7 +62,8 @@ def _weigher(ratio):
             for view in text_views(pc.utf8_lower(batch.column(1))):
                 found = grams(hasher.words(view)) if view is not None else np.zeros(0, np.int64)
                 sizes.append(len(found))
-                weights.append(float(table[found].mean() * LENGTH) if len(found) else None)
+                scale = 1.0 if length is None or not len(found) else length / len(found)
+                weights.append(float(table[found].sum() * scale) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(weights, pa.float64())], ["id", "n_grams", "log_weight"]
             )
@@ -77,6 +78,7 @@ def resample(
     text: str = "text",
     share: float = SHARE,
     rows: int = TARGET_ROWS,
+    length: float | None = LENGTH,
     seed: int = 8,
 ) -> DataFrame:
     """One row per document: ``id, n_grams, log_weight, rank_value, selected``.
@@ -84,8 +86,10 @@ def resample(
     ``target`` is a table of ids of target documents. Its n-gram model is fitted
     on at most ``rows`` of them, the first in a seeded order; the raw model
     counts every document. A document's log weight is the mean log ratio of the
-    two models over all its words and word pairs, times ``LENGTH``, so that long
-    and short documents of one kind weigh alike. Adding Gumbel noise from a
+    two models over all its words and word pairs, times ``length``, so that long
+    and short documents of one kind weigh alike; with ``length`` None it is the
+    sum, the ratio of the document's probabilities, under which short texts of
+    any kind can win over long ones of the target's. Adding Gumbel noise from a
     seeded digest of the id and taking the ``share`` largest values draws without
     replacement in proportion to the weights.
 
@@ -106,7 +110,7 @@ def resample(
         raw[r["gram"]] += r["raw"]
         aim[r["gram"]] += r["target"]
     ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
-    weighed = texts.mapInArrow(lean(_weigher(spark.sparkContext.broadcast(ratio))), "id long, n_grams long, log_weight double")
+    weighed = texts.mapInArrow(lean(_weigher(spark.sparkContext.broadcast(ratio), length)), "id long, n_grams long, log_weight double")
 
     u = (digest_number(seeded_digest(F.coalesce(F.col("id").cast("string"), F.lit("")), seed), 1, 13) + F.lit(0.5)) / F.lit(float(1 << 52))
     ranked = weighed.withColumn("rank_value", F.col("log_weight") - F.log(-F.log(u)))

@@ -24,7 +24,7 @@ def corpus():
     return rows
 
 
-def plain(rows, target, share):
+def plain(rows, target, share, length):
     """Counts in dictionaries, then a full sort."""
     hasher = im.WordHasher()
 
@@ -40,21 +40,21 @@ def plain(rows, target, share):
     out = []
     for i, text in rows:
         found = grams(text)
-        weight = float(ratio[found].mean() * im.LENGTH) if found else None
+        weight = float(sum(ratio[g] for g in found) * (length / len(found) if length else 1)) if found else None
         out.append((i, len(found), weight, None if weight is None else weight + noise(i)))
     able = sorted((r for r in out if r[3] is not None), key=lambda r: -r[3])
     last = able[: int(len(able) * share)]
     return out, last
 
 
-@pytest.mark.parametrize("share", [0.0, 0.25, 0.8, 1.0])
-def test_equals_plain_version(spark, share):
+@pytest.mark.parametrize("share, length", [(0.0, None), (0.25, None), (0.8, None), (1.0, None), (0.25, 100), (0.8, 100)])
+def test_equals_plain_version(spark, share, length):
     rows = corpus() + [(900, None), (901, ""), (902, " \n"), (903, "unseen words"), (None, "g1 g2"), (904, "g3 " * 50_000)]
     target = {i for i in range(200) if i % 3}
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, cut int").repartition(5)
     good = spark.createDataFrame([(i,) for i in target] + [(None,), (1,)], "doc_id long")
-    got = {r.doc_id: r for r in im.resample(docs, good, share=share).collect()}
-    want, last = plain(rows, target, share)
+    got = {r.doc_id: r for r in im.resample(docs, good, share=share, length=length).collect()}
+    want, last = plain(rows, target, share, length)
     assert len(got) == len(rows)
     for i, n, weight, value in want:
         assert got[i].n_grams == n
