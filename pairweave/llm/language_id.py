@@ -21,6 +21,7 @@ from pairweave.llm.texts import lean
 BUCKETS = 1 << 14  # hashed n-grams of one to three characters
 ORDERS = 3
 TRAIN_ROWS = 2000  # rows of each language that the classifier is fitted on, at most
+PARTS = 64  # a language is ranked in so many parts before it is ranked whole
 CALIBRATE = 5  # one row in so many of them sets the temperature instead
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-3, 1e-4
@@ -193,8 +194,9 @@ def fit(docs: DataFrame, learnable, id: str = "doc_id", text: str = "text", lang
     """Packed model from the documents for which the condition ``learnable`` holds; None if there are none.
 
     Inverse document frequencies are counted over all of them. The classifier is
-    fitted on at most ``rows`` rows of each language, the first in a seeded order
-    of ids, in one task that holds n-gram counts, not texts.
+    fitted on at most ``rows`` texts of each language, the first in a seeded order
+    of ids, in one task that holds n-gram counts, not texts; a repeated row of one
+    id, language and text is learnt from once.
     """
     usable = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     usable = usable.select(F.col(id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -206,11 +208,16 @@ def fit(docs: DataFrame, learnable, id: str = "doc_id", text: str = "text", lang
         else:
             frequency[r["gram"]] = r["docs"]
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    placed = usable.select("id", "lang", seeded_digest(F.coalesce("id", F.lit("")), seed).alias("place"))
-    first = W.partitionBy("lang").orderBy("place", "id")
-    chosen = placed.withColumn("row", F.row_number().over(first)).where(F.col("row") <= rows).select("id", "lang", "place").distinct()
-    # bounded by rows times languages, so it is broadcast; only the sample itself is moved to one task
-    sample = usable.join(F.broadcast(chosen), ["id", "lang"]).select("place", "lang", "text").repartition(1)
+    place = seeded_digest(F.coalesce("id", F.lit("")), seed)
+    named = usable.select(place.alias("place"), "lang", F.xxhash64("text").alias("digest"), "text")
+    placed = named.select("place", "lang", "digest").distinct()
+    # ranked in parts first, so that a frequent language is not one task's
+    part = F.pmod(F.crc32(F.col("place").cast("binary")), F.lit(PARTS))
+    chosen = placed.withColumn("row", F.row_number().over(W.partitionBy("lang", part).orderBy("place", "digest"))).where(F.col("row") <= rows)
+    chosen = chosen.withColumn("row", F.row_number().over(W.partitionBy("lang").orderBy("place", "digest"))).where(F.col("row") <= rows)
+    # bounded by rows times languages, so it is broadcast; only the sample itself is moved, each text once
+    sample = named.join(F.broadcast(chosen.drop("row")), ["place", "lang", "digest"]).drop("digest").dropDuplicates()
+    sample = sample.select("place", "lang", "text").repartition(1)
     model = sample.mapInArrow(lean(_trainer(idf, seed)), "model binary").first()
     return bytes(model[0]) if model else None
 

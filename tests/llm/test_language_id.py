@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,18 @@ def test_nothing_to_learn_from_and_empty_table(spark):
     model = li.fit(spark.createDataFrame([(1, "abc", "x")], docs.schema), F.lit(True))
     assert [r.lang_pred for r in li.identify(docs, model).collect()] == ["x"]
     assert li.identify(docs.limit(0), model).collect() == []
+
+
+def test_repeated_rows_are_learnt_from_once(spark, monkeypatch):
+    def trainer(idf, seed):
+        def run(batches):
+            n = sum(batch.num_rows for batch in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([str(n).encode()], pa.binary())], ["model"])
+
+        return run
+
+    monkeypatch.setattr(li, "_trainer", trainer)
+    rows = corpus(200)
+    often = spark.createDataFrame(rows + [rows[3], rows[3], rows[50]] * 300, "doc_id long, text string, lang string")
+    assert li.fit(often.repartition(4), F.lit(True), rows=40) == b"120"
+    assert li.fit(often.repartition(4), F.lit(True), rows=1000) == b"200"
