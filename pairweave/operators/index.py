@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pairweave.functions.vectors import check_metric, scaled_to_unit
 from pairweave.operators.retrieve import (
     BROADCAST_BYTES,
+    CELLS_PER_CORE,
+    ITEMS_AT_ONCE,
     PARTIAL_SCHEMA,
     as_items,
     as_queries,
@@ -35,6 +37,7 @@ from pairweave.operators.retrieve import (
     grid_topk,
     matrix_of,
     measured,
+    part_rows_for,
     unit_rows,
 )
 from pairweave.session import discard, materialize
@@ -90,7 +93,7 @@ def nearest_grid(df: DataFrame, id_name: str, centroids: DataFrame, sizes: DataF
     asked = df.select(F.col(id_name).alias("query_id"), F.concat(unit, F.array(F.lit(1.0))).alias("vector"))
     cells = centroids.select(F.col("cell").cast("long").alias("item_id"), F.concat("vector", F.array(half)).alias("vector"))
     n, width = measured(asked)
-    near = grid_topk(asked, cells, longest, "dot", False, n, block_rows_for(width))
+    near = grid_topk(asked, cells, longest, "dot", False, n, block_rows_for(width), width)
     near = near.select(F.col("query_id").alias(id_name), "rank", F.col("item_id").cast("int").alias("cell"))
     if sizes is not None:
         order = W.partitionBy(id_name).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
@@ -198,20 +201,28 @@ def index_topk(
     walked = nearest_cells(
         asked, "query_id", index.centroids, sizes, probes, k + int(exclude_self), broadcast_bytes
     )
-    return best_k(cell_hits(materialize(walked, "walks"), index.items, sizes, k, metric, exclude_self, block_rows), k)
+    return best_k(cell_hits(materialize(walked, "walks"), index.items, sizes, k, metric, exclude_self, block_rows, width), k)
 
 
 def cell_hits(
-    asked: DataFrame, items: DataFrame, sizes: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int
+    asked: DataFrame, items: DataFrame, sizes: DataFrame, k: int, metric: str, exclude_self: bool, block_rows: int, width: int
 ) -> DataFrame:
-    """``(query_id, item_id, similarity)``: the best k of every walked cell, or sub-block of one.
+    """``(query_id, item_id, similarity)``: the best k of every walked cell, or part of one.
 
     ``asked``: ``(query_id, vector, cell)``, stored; ``items``: ``(item_id, vector, cell)``;
-    ``sizes``: ``(cell, n)`` of the items. A cell is cut by its measured size on both sides.
+    ``sizes``: ``(cell, n)`` of the items. A cell is cut by its measured size on both sides into parts that a task
+    can hold. Beyond that only its queries are cut, into as many parts as its share of all comparisons asks for
+    to keep the cores busy, none of fewer than ``block_rows``: a part costs one more copy of the cell's items.
     """
-    blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
-    asked_sizes = asked.groupBy("cell").agg(blocks(F.count(F.lit(1))).alias("query_blocks"))
-    both = sizes.select("cell", blocks(F.col("n")).alias("item_blocks")).join(asked_sizes, "cell")
+    most, cores = part_rows_for(width), asked.sparkSession.sparkContext.defaultParallelism
+    parts = lambda n, rows: F.greatest(F.lit(1), F.ceil(n / F.lit(rows))).cast("int")
+    asked_sizes = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    both = materialize(sizes.join(asked_sizes, "cell"), "walked-sizes")
+    work = both.agg(F.sum(F.col("n").cast("double") * F.col("asked"))).first()[0] or 1.0
+    item_blocks = parts(F.col("n"), most)
+    busy = F.ceil(F.col("n") * F.col("asked").cast("double") / F.lit(work) * F.lit(cores * CELLS_PER_CORE) / item_blocks)
+    query_blocks = F.greatest(parts(F.col("asked"), most), F.least(busy, parts(F.col("asked"), min(block_rows, ITEMS_AT_ONCE))))
+    both = both.select("cell", item_blocks.alias("item_blocks"), query_blocks.cast("int").alias("query_blocks"))
     left = asked.join(both, "cell").select(
         "query_id",
         "vector",

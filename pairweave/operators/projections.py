@@ -145,7 +145,7 @@ def projection_topk(
         _placed(shared, index.tables, index.bits, "query_id", probes), "query_id long, vector array<double>, cell int"
     )
     sizes = materialize(index.items.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes")
-    hits = cell_hits(materialize(visit, "visits"), index.items, sizes, k, metric, exclude_self, block_rows)
+    hits = cell_hits(materialize(visit, "visits"), index.items, sizes, k, metric, exclude_self, block_rows, index.normals.shape[1])
     once = hits.groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"))
     return best_k(once.select(*[c.split()[0] for c in PARTIAL_SCHEMA.split(", ")]), k)
 

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairweave.operators.index import build_index, hit_places, index_topk, load_index, probes_for, recall_against
 from pairweave.operators.projections import build_projections, probe_order, projection_probes_for, projection_topk
-from pairweave.operators.retrieve import block_candidates, cut, exact_topk, similarity_to_vector, with_text
+from pairweave.operators import retrieve
+from pairweave.operators.retrieve import block_candidates, cut, exact_topk, grid_parts, running_best, similarity_to_vector, with_text
 from pairweave.plans import bindings as B
 
 
@@ -183,3 +185,31 @@ def test_projection_probes_reach_the_wanted_recall(spark):
     probes = projection_probes_for(df, index, df, 5, 0.9, exclude_self=True)
     recall = lambda p: recall_against(projection_topk(df, index, 5, p, exclude_self=True), exact).first().recall
     assert recall(probes) >= 0.9 and (probes == 1 or recall(probes - 1) < 0.9)
+
+
+def test_grid_parts_copy_little_and_hold_little():
+    assert grid_parts(600_000, 600_000, 65_536, 256, 32) == (10, 10)  # bounded by memory
+    a, b = grid_parts(100_000, 100_000, 65_536, 256, 32)
+    assert a * b >= 32 and a + b <= 12  # blocks of 256 rows copied either side 391 times
+    assert grid_parts(300, 300, 65_536, 256, 32) == (1, 1)
+
+
+def test_running_best_holds_k_of_many_ties():
+    queries, items = np.ones((2, 3)), np.ones((5_000, 3))
+    blocks = ((np.arange(5_000)[::-1][i : i + 500], items[i : i + 500]) for i in range(0, 5_000, 500))
+    rows, ids, _ = running_best(queries, np.array([7, 8]), blocks, 3, False)
+    assert rows.tolist() == [0, 0, 0, 1, 1, 1] and ids.tolist() == [0, 1, 2] * 2
+
+
+def test_distinct_scores_equal_vectors_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    few = rng.standard_normal((6, 4)).round(3)
+    df = spark.createDataFrame([(i, few[i * i % 6].tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    plain = rows_of(exact_topk(df, df, 12, exclude_self=False))
+    sizes = []
+    scan = retrieve.scan_topk
+    monkeypatch.setattr(retrieve, "scan_topk", lambda q, i, *a: (sizes.append((q.count(), i.count())), scan(q, i, *a))[1])
+    assert rows_of(exact_topk(df, df, 12, exclude_self=False, distinct=True)) == plain
+    assert sizes == [(4, 4)]
+    twice = df.unionByName(df.withColumn("embedding", F.reverse("embedding")))  # ids do not tell vectors apart
+    assert rows_of(exact_topk(twice, df, 3, exclude_self=False, distinct=True)) == rows_of(exact_topk(twice, df, 3, exclude_self=False))
