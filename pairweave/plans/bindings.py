@@ -220,7 +220,7 @@ def reply_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = ngram_vector()
     queries = asked.select(turn_id().alias("query_id"), vector(F.col("sentence1")).alias("vector"))
     items = replies.select(turn_id().alias("item_id"), vector(F.col("sentence2")).alias("vector"))
-    return exact_topk(queries, spread(items), TOP_K, "query_id", "item_id", "vector", exclude_self=False)
+    return exact_topk(queries, spread(items), TOP_K, "query_id", "item_id", "vector", exclude_self=False, distinct=True)
 
 
 def reply_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:

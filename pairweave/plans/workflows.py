@@ -72,7 +72,7 @@ def retrieve_with(
     indexed = time.perf_counter()
     first = max(k, approach.first_k) if approach.respond else k
     if index is None:
-        hits = exact_topk(asked, items, first, "query_id", "item_id", "vector", exclude_self=False)
+        hits = exact_topk(asked, items, first, "query_id", "item_id", "vector", exclude_self=False, distinct=True)
     else:
         probes = approach.probes or probes_for(asked, index, first, approach.recall, "query_id", "vector")
         hits = index_topk(asked, index, first, probes, "query_id", "vector")
