@@ -34,7 +34,8 @@ def cooccurrences(texts: DataFrame, window: int = WINDOW, least_count: int = 1,
     Words that occur fewer than ``least_count`` times are taken out before
     distances are counted from the remaining places, which stay as they were. A
     word beside itself counts twice, once from either side. Null and empty texts
-    have no words. Pairs are counted before they are shuffled.
+    have no words. Pairs are counted before they are shuffled, and the counts are
+    stored at once: joins look at a sample first, which would count them again.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
@@ -47,9 +48,12 @@ def cooccurrences(texts: DataFrame, window: int = WINDOW, least_count: int = 1,
     if least_count > 1:
         kept = materialize(cut.select(F.explode("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(
             F.col("c") >= least_count).select("word"), "vocabulary")
+        raw = ordered = materialize(ordered, "all-pairs")
         for side in ("a", "b"):
-            ordered = skew_join(ordered, kept.withColumnRenamed("word", side), side, ["a", "b"])
+            ordered = skew_join(ordered, kept.withColumnRenamed("word", side), side, ["a", "b"], probe=raw.sample(0.01, 7))
     stored = materialize(ordered, "word-pairs")
+    if least_count > 1:
+        discard(raw, kept)
     ends = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("context")), F.struct(F.col("b").alias("word"), F.col("a").alias("context"))
     )
@@ -62,8 +66,9 @@ def positive_information(counts: DataFrame) -> DataFrame:
     """``(word, context, ppmi)`` where it is positive: log of the count over what independence would give."""
     margins = materialize(counts.groupBy("word").agg(F.sum("n").alias("m")), "word-margins")
     total = margins.agg(F.sum("m")).first()[0] or 0
-    sided = skew_join(counts, margins, "word", ["context"])
-    sided = skew_join(sided, margins.select(F.col("word").alias("context"), F.col("m").alias("mc")), "context", ["word"])
+    probe = counts.sample(0.01, 7)  # of the input for both joins: a sample of the first join would run it twice
+    sided = skew_join(counts, margins, "word", ["context"], probe)
+    sided = skew_join(sided, margins.select(F.col("word").alias("context"), F.col("m").alias("mc")), "context", ["word"], probe)
     pmi = F.log(F.col("n").cast("double") * F.lit(float(total)) / (F.col("m").cast("double") * F.col("mc").cast("double")))
     return sided.select("word", "context", pmi.alias("ppmi")).where("ppmi > 0")
 
@@ -71,8 +76,9 @@ def positive_information(counts: DataFrame) -> DataFrame:
 def numbered(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(word, i)`` with contiguous numbers, and the entries as ``(i, j, v)`` with their stripe and cell."""
     vocabulary = materialize(global_index(entries.select("word").distinct(), "word", "i"), "word-numbers")
-    named = skew_join(entries, vocabulary, "word", ["context"])
-    named = skew_join(named, vocabulary.select(F.col("word").alias("context"), F.col("i").alias("j")), "context", ["word"])
+    probe = entries.sample(0.01, 7)
+    named = skew_join(entries, vocabulary, "word", ["context"], probe)
+    named = skew_join(named, vocabulary.select(F.col("word").alias("context"), F.col("i").alias("j")), "context", ["word"], probe)
     placed = named.select("i", "j", F.col("ppmi").alias("v"), F.expr(f"cast(j div {STRIPE} as int)").alias("stripe"))
     placed = materialize(placed, "word-matrix")
     sizes = placed.groupBy("stripe").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))

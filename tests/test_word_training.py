@@ -85,3 +85,19 @@ def test_no_words(spark):
     assert wt.train_word_vectors(spark.createDataFrame([(None,), ("",)], "text string"), dim=2).count() == 0
     with pytest.raises(ValueError):
         wt.cooccurrences(spark.createDataFrame([], "text string"), 0)
+
+
+def test_pairs_are_counted_once(spark):
+    """Joins take their sample from stored counts: each text is cut for the pairs once and for the vocabulary once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([("a b c a b",), ("b c d",)], "text string").mapInArrow(read, "text string")
+    counts = wt.cooccurrences(texts, least_count=2)
+    assert seen.value == 4
+    wt.positive_information(counts).collect()
+    assert seen.value == 4
