@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pairweave.operators.index import build_index, hit_places, index_topk, load_index, probes_for, recall_against
 from pairweave.operators.projections import build_projections, probe_order, projection_probes_for, projection_topk
-from pairweave.operators import retrieve
+from pairweave.operators import index, retrieve
 from pairweave.operators.retrieve import block_candidates, cut, exact_topk, grid_parts, running_best, similarity_to_vector, with_text
 from pairweave.plans import bindings as B
 
@@ -213,3 +213,32 @@ def test_distinct_scores_equal_vectors_once(spark, monkeypatch):
     assert sizes == [(4, 4)]
     twice = df.unionByName(df.withColumn("embedding", F.reverse("embedding")))  # ids do not tell vectors apart
     assert rows_of(exact_topk(twice, df, 3, exclude_self=False, distinct=True)) == rows_of(exact_topk(twice, df, 3, exclude_self=False))
+
+
+def test_candidates_held_at_once_do_not_grow_with_the_queries(monkeypatch):
+    held, plain = [], retrieve.cut
+    monkeypatch.setattr(retrieve, "cut", lambda rows, *a: (held.append(len(rows)), plain(rows, *a))[1])
+    for n in (1_000, 4_000):  # every score a tie: n x 200 candidates
+        retrieve.running_best(np.ones((n, 2)), np.arange(n), iter([(np.arange(200), np.ones((200, 2)))]), 3, False)
+        assert max(held) <= retrieve.QUERIES_AT_ONCE * 200
+
+
+def test_small_blocks_do_not_multiply_the_rows_of_cells(spark, monkeypatch):
+    m = np.random.default_rng(5).standard_normal((400, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    given = spark.createDataFrame([(0, m[0].tolist()), (1, m[1].tolist())], "cell int, vector array<double>")
+    seen, plain = spark.sparkContext.accumulator(0), index.cell_kernel
+
+    def counting(*args):
+        kernel = plain(*args)
+
+        def run(left, right):
+            seen.add(left.num_rows + right.num_rows)
+            return kernel(left, right)
+
+        return run
+
+    monkeypatch.setattr(index, "cell_kernel", counting)
+    got = rows_of(index_topk(df, build_index(df, centroids=given), 5, probes=2, exclude_self=True, block_rows=6))
+    same(got, brute(m, 5))
+    assert 0 < seen.value < 20_000  # 54 000 in blocks of 6
