@@ -25,6 +25,9 @@ from pairweave.session import materialize
 Embedder = Callable[[DataFrame], DataFrame]
 WORD_BLOCK_BYTES = 64 << 20
 WORD_BLOCKS = 16
+HEAD_BLOCKS = 4  # blocks' worth of the most frequent words that is broadcast when a word table is joined
+HEAD_SAMPLE = 0.1  # share of the texts on which they are found
+ROWS_AT_ONCE = 8_192
 
 
 def zero_vector(dim: int):
@@ -37,11 +40,14 @@ def distinct_texts(df: DataFrame, *columns: str) -> DataFrame:
     return texts.groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text"))
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each different word of a text with its count; a text is one row, so nothing needs a shuffle."""
-    cut = re.compile(BLANKS)
+def word_counts(batches: Iterator[pa.RecordBatch], leave_out=None) -> Iterator[pa.RecordBatch]:
+    """Each different word of a text with its count; a text is one row, so nothing needs a shuffle.
+
+    ``leave_out``: a broadcast whose first entry has words that are not wanted.
+    """
+    cut, known = re.compile(BLANKS), set(leave_out.value[0]) if leave_out else ()
     for batch in batches:
-        found = [Counter(w for w in cut.split(t or "") if w) for t in batch.column(1).to_pylist()]
+        found = [Counter(w for w in cut.split(t or "") if w and w not in known) for t in batch.column(1).to_pylist()]
         rows = np.repeat(np.arange(len(found)), [len(c) for c in found])
         words_ = pa.array([w for c in found for w in c], pa.string())
         counts = pa.array([n for c in found for n in c.values()], pa.int64())
@@ -52,7 +58,7 @@ def block_sums(shared, dim: int):
     """Per text: how many of its words the block knows, and the sum of their unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, units = shared.value
+        names, units, times = shared.value
         place, cut = {w: i for i, w in enumerate(names)}, re.compile(BLANKS)
         for batch in batches:
             total, sums = np.zeros(batch.num_rows, "i8"), np.zeros((batch.num_rows, dim))
@@ -60,7 +66,7 @@ def block_sums(shared, dim: int):
                 known = Counter(place[w] for w in cut.split(text or "") if w in place)
                 if known:
                     n = np.fromiter(known.values(), "f8", len(known))
-                    total[row], sums[row] = n.sum(), n @ units[list(known)]
+                    total[row], sums[row] = n @ times[list(known)], n @ units[list(known)]
             hit = pa.array(np.flatnonzero(total))
             vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), dim).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
@@ -70,6 +76,47 @@ def block_sums(shared, dim: int):
     return run
 
 
+def row_sums(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Per text of a task: how many words its rows stand for, and the sum of their unit vectors."""
+    place, total, sums = {}, np.zeros(0), np.zeros((0, dim))
+    for batch in batches:
+        batch = batch.filter(batch.column(0).is_valid())
+        if not batch.num_rows:
+            continue
+        coded = batch.column(0).dictionary_encode()
+        at = np.array([place.setdefault(k, len(place)) for k in coded.dictionary.to_pylist()])[coded.indices.to_numpy()]
+        if len(place) > len(total):
+            more = max(len(place) - len(total), len(total))
+            total, sums = np.r_[total, np.zeros(more)], np.vstack([sums, np.zeros((more, dim))])
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        n = batch.column(1).to_numpy()
+        vectors = matrix_of(batch.column(3)) * (n / batch.column(2).to_numpy())[:, None]
+        total[at[order[first]]] += np.add.reduceat(n[order], first)
+        sums[at[order[first]]] += np.add.reduceat(vectors[order], first)
+    keys = list(place)
+    for a in range(0, len(keys), ROWS_AT_ONCE):
+        part = slice(a, min(a + ROWS_AT_ONCE, len(keys)))
+        vectors = pa.FixedSizeListArray.from_arrays(pa.array(sums[part].ravel()), dim).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[part], pa.string()), pa.array(total[part].astype("i8")), vectors], ["text_key", "total", "sums"]
+        )
+
+
+def frequent_words(texts: DataFrame, word_vectors: DataFrame, most: int, sample: float) -> DataFrame:
+    """Up to ``most`` words of the table, those most frequent on a sample of the texts; equally frequent ones all or none."""
+    counted = texts.sample(min(sample, 1.0), 7).select("text_key", "text").mapInArrow(word_counts, "text_key string, word string, n long")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n")).join(word_vectors.groupBy("word").count(), "word")
+    counted = materialize(counted, "frequent-words")
+    least, held = None, 0
+    for n, words_ in counted.groupBy("n").agg(F.sum("count")).orderBy(F.desc("n")).toLocalIterator():
+        held += words_
+        if held > most:
+            break
+        least = n
+    return counted.where(F.lit(False) if least is None else F.col("n") >= least).select("word")
+
+
 def word_average(
     texts: DataFrame, word_vectors: DataFrame, dim: int, sample: float = 0.01, block_bytes: int = WORD_BLOCK_BYTES
 ) -> DataFrame:
@@ -78,10 +125,10 @@ def word_average(
     ``texts``: ``(text_key, text)`` with unique keys. ``word_vectors``:
     ``(word, vector)``. The word table's size is counted first. Up to
     ``WORD_BLOCKS`` blocks of ``block_bytes`` are broadcast one after the other,
-    and each is a scan of the texts that gives one row per text. A larger table
-    is joined: words are counted inside their row, the join carries vectors and
-    lengths, and frequent words, found on a sample, are spread over many tasks.
-    Both forms give the same numbers.
+    and each is a scan of the texts that gives one row per text. Of a larger table
+    the most frequent words, found on a sample, are broadcast in one block and
+    the others joined: a row of a text and a word carries the vector as it is to
+    the text's task, where it is added up. Both forms give the same numbers.
     """
     usable = word_vectors.where(F.exists("vector", lambda x: x != 0))
     measured = usable.select("word", "vector", norm("vector").alias("length"))
@@ -95,7 +142,7 @@ def word_average(
             if not table.num_rows:
                 continue
             units = matrix_of(table["vector"]) / table["length"].to_numpy()[:, None]
-            shared = texts.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), units))
+            shared = texts.sparkSession.sparkContext.broadcast((table["word"].to_pylist(), units, np.ones(len(units))))
             part = texts.select("text_key", "text").mapInArrow(block_sums(shared, dim), "text_key string, total long, sums array<double>")
             found = part if found is None else found.unionByName(part)
         if found is None:
@@ -104,11 +151,24 @@ def word_average(
             F.sum("total").alias("total"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim)]
         )
     else:
-        count = lambda df: df.select("text_key", "text").mapInArrow(word_counts, "text_key string, word string, n long")
-        joined = skew_join(count(texts), measured, "word", ["text_key"], probe=count(texts.sample(sample, 7)))
-        weighted = joined.select("text_key", "n", (F.col("n") / F.col("length")).alias("w"), "vector")
-        sums = weighted.groupBy("text_key").agg(
-            F.sum("n").alias("total"), *[F.sum(F.col("w") * F.col("vector")[i]).alias(f"s{i}") for i in range(dim)]
+        head = frequent_words(texts, measured, HEAD_BLOCKS * block_bytes // (dim * 8 + 100 + -(-letters // n)), max(sample, HEAD_SAMPLE))
+        table = measured.join(head, "word", "left_semi").toArrow()
+        names, at, times = np.unique(np.array(table["word"].to_pylist(), object), return_inverse=True, return_counts=True)
+        units = np.zeros((len(names), dim))
+        if len(names):
+            np.add.at(units, at, matrix_of(table["vector"]) / table["length"].to_numpy()[:, None])
+        shared = texts.sparkSession.sparkContext.broadcast((names.tolist(), units, times.astype("f8")))
+        rows = "text_key string, total long, sums array<double>"
+        found = texts.select("text_key", "text").mapInArrow(block_sums(shared, dim), rows)
+        count = lambda df: df.select("text_key", "text").mapInArrow(
+            lambda batches: word_counts(batches, shared), "text_key string, word string, n long"
+        )
+        others = measured.join(head, "word", "left_anti")
+        joined = skew_join(count(texts), others, "word", ["text_key"], probe=count(texts.sample(sample, 7)))
+        carried = joined.select("text_key", "n", "length", "vector").repartition("text_key")
+        found = found.unionByName(carried.mapInArrow(lambda batches: row_sums(batches, dim), rows))
+        sums = found.groupBy("text_key").agg(
+            F.sum("total").alias("total"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim)]
         )
     means = F.transform(F.array(*[f"s{i}" for i in range(dim)]), lambda s: s / F.col("total"))
     known = sums.select("text_key", means.alias("vector"))
