@@ -3,6 +3,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from pairweave import session
 from pairweave.operators import word_training as wt
 from pairweave.operators.embed import word_average
 
@@ -101,3 +104,80 @@ def test_pairs_are_counted_once(spark):
     assert seen.value == 4
     wt.positive_information(counts).collect()
     assert seen.value == 4
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def small(monkeypatch):
+    for name, value in {"PAIRS_AT_ONCE": 7, "PART_PAIRS": 9, "ROW_PAIRS": 3, "FETCHED": 2, "HASHED_AT_ONCE": 2}.items():
+        monkeypatch.setattr(wt, name, value)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+@pytest.mark.parametrize(("window", "least"), [(1, 1), (2, 3)])
+def test_small_runs_and_joined_words_give_the_same(spark, monkeypatch, held, window, least):
+    small(monkeypatch)
+    monkeypatch.setattr(wt, "HELD_BYTES", held)
+    texts = spark.createDataFrame([(t,) for t in TEXTS * 3], "text string").repartition(2)
+    counts = wt.cooccurrences(texts, window, least)
+    assert counts.dtypes == [("word", "string"), ("context", "string"), ("n", "bigint")]
+    want = plain_counts(TEXTS * 3, window, least)
+    assert sorted((r.word, r.context, r.n) for r in counts.collect()) == sorted((*pair, n) for pair, n in want.items())
+    words, m = plain_ppmi(want)
+    entries = {(words[i], words[j]): m[i, j] for i, j in zip(*np.nonzero(m), strict=True)}
+    information = wt.positive_information(counts)
+    for frame in (information, wt.positive_information(counts.where("n > 0"))):
+        assert {(r.word, r.context): r.ppmi for r in frame.collect()} == pytest.approx(entries)
+    vocabulary, _ = wt.numbered(information)
+    assert sorted(r.word for r in vocabulary.collect()) == sorted({a for a, _ in entries})
+    assert sorted(r.i for r in vocabulary.collect()) == list(range(vocabulary.count()))
+
+
+@pytest.mark.parametrize("vectors_bytes", [1 << 20, 5 * 8 * 3])
+def test_product_of_held_vectors_equals_numpy(spark, monkeypatch, vectors_bytes):
+    small(monkeypatch)
+    monkeypatch.setattr(wt, "HELD_VECTORS", vectors_bytes)
+    texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    vocabulary, matrix = wt.numbered(wt.positive_information(wt.cooccurrences(texts)))
+    words, m = plain_ppmi(plain_counts(TEXTS, 2, 1))
+    place = {r.i: words.index(r.word) for r in vocabulary.collect()}
+    x = np.random.default_rng(5).normal(size=(len(words), 3))
+    block = spark.createDataFrame([(i, x[w].tolist()) for i, w in place.items()], "i long, x array<double>")
+    got = wt.product(matrix, block, 3).collect()
+    assert sorted(r.i for r in got) == sorted(place)
+    for r in got:
+        assert np.allclose(r.x, (m @ x)[place[r.i]])
+
+
+def test_pairs_stay_in_place(spark):
+    """Information and words are added where the stored pairs are, and a product shuffles neither matrix nor vectors."""
+    texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    counts = wt.cooccurrences(texts, least_count=2)
+    information = wt.positive_information(counts)
+    assert exchanges(counts) == 0 and exchanges(information) == 0
+    vocabulary, matrix = wt.numbered(information)
+    seen = []
+    keep = wt.materialize
+    wt.materialize = lambda df, name, **kw: (seen.append((name, exchanges(df))), keep(df, name, **kw))[1]
+    try:
+        wt.leading_vectors(vocabulary, matrix, 2, rounds=1)
+    finally:
+        wt.materialize = keep
+    assert seen and all(n == 0 for _, n in seen)
+
+
+def test_words_of_one_digest(spark, monkeypatch):
+    """Digests that clash in the vocabulary are taken with another seed."""
+    real = wt._digests
+    monkeypatch.setattr(wt, "_digests", lambda words_, seed: real(words_, seed) * (seed > 0))
+    kept = spark.createDataFrame([("a",), ("b",)], "word string")
+    digests, names, seed = wt.held_vocabulary(kept, kept.limit(0))
+    assert seed == 1 and sorted(names.value.to_pylist()) == ["a", "b"] and (np.diff(digests.value) > 0).all()
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    before = spark.conf.get(session.NO_SHUFFLE_LEFT)
+    stored = session.materialize(spark.range(10).groupBy((F.col("id") % 3).alias("k")).count(), "counts", keep_shuffles=False)
+    assert stored.count() == 3 and spark.conf.get(session.NO_SHUFFLE_LEFT) == before
