@@ -273,7 +273,7 @@ def word_cooccurrence(spark, d):
 @query
 def word_information(spark, d):
     counts = word_training.cooccurrences(B.busy_table(spark, d, "documents", "text"), least_count=5)
-    return rounded(word_training.positive_information(counts), "ppmi")
+    return word_training.positive_information(counts).withColumn("ppmi", B.quick_r6("ppmi"))
 
 
 @query
