@@ -42,6 +42,8 @@ PART_PAIRS = 1 << 22  # counts of pairs aimed at in a task that adds them up
 MOST_PARTS = 1 << 13
 ROW_PAIRS = 1 << 9  # pairs in one stored row; Parquet's reader holds 4096 rows at once
 ROWS_READ = 1 << 9  # stored rows that a task takes at once
+PASSES = 4  # scans of the pairs that make the matrix, each for a share of its rows, whose shuffle files go before the next
+ONE_PASS = 1 << 24  # entries that are shuffled in one scan
 SPREAD = 16  # parts that the pairs of one word may be in, a power of 2
 PAIRS = "a array<int>, size array<int>, b array<int>, n array<long>"
 
@@ -383,14 +385,20 @@ def _numbered_rows(held: Held) -> tuple[DataFrame, DataFrame]:
     number = np.full(held.words, -1)
     number[present] = np.arange(len(present))
     broadcast = spark.sparkContext.broadcast
-    shared = broadcast((number, (ends - sizes[present]) // PART_PAIRS))
+    part_of = (ends - sizes[present]) // PART_PAIRS
+    shared = broadcast((number, part_of))
+    entered = int(ends[-1]) if len(ends) else 0
+    passes = PASSES if entered > ONE_PASS else 1
     names, known = held.names, broadcast(present)
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch], first: int, last: int) -> Iterator[pa.RecordBatch]:
         number, part_of = shared.value
         for pairs in runs_of(batches):
             a, b, _, n = positive(*pairs)
             i, j, n = both_orders(number[a], number[b], n)
+            if passes > 1:
+                now = (i >= first) & (i < last)
+                i, j, n = i[now], j[now], n[now]
             order = np.argsort((i << 32) | j)
             i, j, n = i[order], j[order], n[order]
             part, rows = packed(part_of[i], i, j, n)
@@ -402,7 +410,12 @@ def _numbered_rows(held: Held) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([names.value.take(pa.array(at)), batch.column(0)], ["word", "i"])
 
     vocabulary = materialize(spark.range(len(present)).mapInArrow(named, "word string, i long"), "word-numbers")
-    rows = held.rows.mapInArrow(lists, f"part int, {PAIRS}").groupBy("part").applyInArrow(matrix_rows(ROW_PAIRS), PAIRS)
+    edges = np.searchsorted(ends, np.arange(1, passes) * (entered / passes)).tolist()
+    rows = [
+        held.rows.mapInArrow(lambda batches, a=a, z=z: lists(batches, a, z), f"part int, {PAIRS}")
+        .groupBy("part").applyInArrow(matrix_rows(ROW_PAIRS), PAIRS)
+        for a, z in zip([0, *edges], [*edges, len(present)])
+    ]
     rows = materialize(rows, "matrix-cells", keep_shuffles=False)
     return vocabulary, _with(rows, Held(held.rows, names, len(present), broadcast(held.margins.value[present]), held.total))
 

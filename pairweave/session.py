@@ -73,26 +73,28 @@ _OWNED: dict[str, SparkSession] = {}
 NO_SHUFFLE_LEFT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, keep_shuffles: bool = True) -> DataFrame:
-    """Write ``df`` once to the shared folder and scan it back.
+def materialize(df: DataFrame | list[DataFrame], name: str, keep_shuffles: bool = True) -> DataFrame:
+    """Write ``df``, or several frames of one schema one after the other, once to the shared folder and scan it back.
 
     Used where several passes read an expensive result: the files outlive lost
     executors and the plan behind them is cut. The table belongs to this
     process: ``discard`` drops it early, and what is left goes when Python ends.
     Without ``keep_shuffles`` the shuffle files behind it go as soon as it is written.
     """
-    spark = df.sparkSession
+    frames = [df] if isinstance(df, DataFrame) else df
+    spark = frames[0].sparkSession
     path = work_path(spark, name)
     _OWNED[path] = spark
     before = spark.conf.get(NO_SHUFFLE_LEFT, "false")
     if not keep_shuffles:
         spark.conf.set(NO_SHUFFLE_LEFT, "true")
     try:
-        df.write.parquet(path)
+        for frame in frames:
+            frame.write.mode("append").parquet(path)
     finally:
         if not keep_shuffles:
             spark.conf.set(NO_SHUFFLE_LEFT, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(frames[0].schema).parquet(path)
 
 
 def own(spark: SparkSession, path: str) -> str:

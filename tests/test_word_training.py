@@ -136,10 +136,11 @@ def test_small_runs_and_joined_words_give_the_same(spark, monkeypatch, held, win
     assert sorted(r.i for r in vocabulary.collect()) == list(range(vocabulary.count()))
 
 
-@pytest.mark.parametrize("vectors_bytes", [1 << 20, 5 * 8 * 3])
-def test_product_of_held_vectors_equals_numpy(spark, monkeypatch, vectors_bytes):
+@pytest.mark.parametrize(("vectors_bytes", "one_pass"), [(1 << 20, 1 << 24), (5 * 8 * 3, 3)])
+def test_product_of_held_vectors_equals_numpy(spark, monkeypatch, vectors_bytes, one_pass):
     small(monkeypatch)
     monkeypatch.setattr(wt, "HELD_VECTORS", vectors_bytes)
+    monkeypatch.setattr(wt, "ONE_PASS", one_pass)
     texts = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     vocabulary, matrix = wt.numbered(wt.positive_information(wt.cooccurrences(texts)))
     words, m = plain_ppmi(plain_counts(TEXTS, 2, 1))
